@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["zones", "times"]
+AREAS = ["zones", "times", "tables"]
 
 
 def _areas():

@@ -464,20 +464,20 @@ def missing_days(spark, d):
     "gap_interpolation",
     bind.with_sql(
         """, a AS (SELECT zone_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM series GROUP BY zone_id),
-        j AS (SELECT a.zone_id, a.day, s.value, CASE WHEN s.value IS NOT NULL THEN a.day END AS at
+        j AS (SELECT a.zone_id, a.day, s.value, CASE WHEN s.value IS NOT NULL THEN a.day END AS seen
               FROM a LEFT JOIN series s ON s.zone_id = a.zone_id AND s.day = a.day),
-        n AS (SELECT *, last_value(at IGNORE NULLS) OVER b AS d0, last_value(value IGNORE NULLS) OVER b AS v0,
-                first_value(at IGNORE NULLS) OVER f AS d1, first_value(value IGNORE NULLS) OVER f AS v1 FROM j
+        n AS (SELECT *, last_value(seen IGNORE NULLS) OVER b AS d0, last_value(value IGNORE NULLS) OVER b AS v0,
+                first_value(seen IGNORE NULLS) OVER f AS d1, first_value(value IGNORE NULLS) OVER f AS v1 FROM j
               WINDOW b AS (PARTITION BY zone_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                      f AS (PARTITION BY zone_id ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
         SELECT zone_id, strftime(day, '%Y-%m-%d') AS day,
-           round(CASE WHEN value IS NOT NULL THEN value ELSE v0 + (v1 - v0) * (day - d0) / (d1 - d0) END, 4) AS value FROM n""",
+           round(CASE WHEN value IS NOT NULL THEN value ELSE v0 + (v1 - v0) * ((day - d0) / (d1 - d0)) END, 6) AS value FROM n""",
         bind.SERIES_SQL,
     ),
 )
 def gap_interpolation(spark, d):
     out = temporal.interpolate_days(bind.series(spark, d), ["zone_id"], "day", "value")
-    return out.select("zone_id", bind.day("day").alias("day"), F.round("value", 4).alias("value"))
+    return out.select("zone_id", bind.day("day").alias("day"), F.round("value", 6).alias("value"))
 
 
 @query(
@@ -490,7 +490,7 @@ def gap_interpolation(spark, d):
         q AS (SELECT t.zone_id, t.step, min(s.step) AS s1, arg_min(s.value, s.step) AS v1 FROM t
               LEFT JOIN s ON s.zone_id = t.zone_id AND s.step >= t.step GROUP BY ALL)
         SELECT zone_id, step, round(CASE WHEN s0 = s1 THEN v0 WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0
-           ELSE v0 + (v1 - v0) * (step - s0) / (s1 - s0) END, 4) AS value FROM p JOIN q USING (zone_id, step)""",
+           ELSE v0 + (v1 - v0) * ((step - s0) / (s1 - s0)) END, 6) AS value FROM p JOIN q USING (zone_id, step)""",
         bind.SERIES_SQL,
     ),
 )
@@ -499,10 +499,10 @@ def time_interp(spark, d):
         "zone_id", F.datediff("day", F.lit("1992-01-01").cast("date")).cast("bigint").alias("step"), "value"
     )
     targets = s.select("zone_id").distinct().select(
-        "zone_id", (F.explode(F.sequence(F.lit(-10), F.lit(400))) * 7).cast("bigint").alias("step")
+        "zone_id", F.explode(F.expr("sequence(-70L, 2800L, 7L)")).alias("step")
     )
     out = temporal.interpolate_onto(s, targets, ["zone_id"], "step", "value")
-    return out.withColumn("value", F.round("value", 4))
+    return out.withColumn("value", F.round("value", 6))
 
 
 @query(
