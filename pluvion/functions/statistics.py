@@ -107,14 +107,20 @@ def _gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
-def gamma_cdf(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
-    """Gamma distribution function with location 0; Spark SQL has none."""
+def _gamma_series(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     return pd.Series(_gamma_p(shape.to_numpy(float), x.to_numpy(float) / scale.to_numpy(float)))
 
 
-@F.pandas_udf("double")
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse of the standard normal distribution function."""
+def _quantile_series(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return p.map(lambda v: inv(v) if 0.0 < v < 1.0 else (np.nan if v != v else np.copysign(np.inf, v - 0.5)))
+
+
+def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
+    """Gamma distribution function with location 0; Spark SQL has none."""
+    return F.pandas_udf(_gamma_series, "double")(x, shape, scale)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution function."""
+    return F.pandas_udf(_quantile_series, "double")(p)

@@ -82,39 +82,50 @@ def follow_downstream(edges: DataFrame, stop: Column | None = None) -> DataFrame
 
 
 _FOLDS = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))),
     "min": (F.min, F.least),
     "max": (F.max, F.greatest),
 }
 
 
-def fold_upstream(edges: DataFrame, value: str, how: str, name: str) -> DataFrame:
-    """``(node, name)``: sum, minimum or maximum over a node and all nodes upstream of it.
+def fold_upstream(edges: DataFrame, values: dict[str, str], how: str) -> DataFrame:
+    """``(node, *names)``: fold of ``values`` (name -> column) over a node and all nodes upstream.
 
-    Sums need a network without cycles and fail otherwise; minimum and maximum
-    also work around cycles.
+    Sums need a network without cycles and fail otherwise. Minimum and maximum
+    also work around cycles and stop as soon as a round changes nothing, which
+    is then the fixed point.
     """
     agg, combine = _FOLDS[how]
-    state = cut_lineage(edges.select("node", F.col("next").alias("_p"), F.col(value).alias("_v")))
-    limit = MAX_ROUNDS if how == "sum" else max(1, math.ceil(math.log2(max(state.count(), 2))) + 1)
-    for _ in range(limit):
+    names = list(values)
+    state = cut_lineage(
+        edges.select(
+            "node", F.col("next").alias("_p"),
+            *[F.coalesce(c, F.lit(0)).alias(n) if how == "sum" else F.col(c).alias(n) for n, c in values.items()],
+            F.lit(True).alias("_changed"),
+        )
+    )
+    for _ in range(MAX_ROUNDS):
         open_ = state.where("_p IS NOT NULL")
-        if open_.isEmpty():
+        done = open_.isEmpty() or (how != "sum" and state.where("_changed").isEmpty())
+        if done:
             break
-        given = open_.groupBy(F.col("_p").alias("node")).agg(agg("_v").alias("_g"))
+        given = open_.groupBy(F.col("_p").alias("node")).agg(*[agg(n).alias(f"_g_{n}") for n in names])
         hop = open_.select("node", "_p").join(
             open_.select(F.col("node").alias("_p"), F.col("_p").alias("_q")), "_p", "left"
         ).select("node", "_q")
+        folded = {n: combine(F.col(n), F.col(f"_g_{n}")) for n in names}
+        changed = F.lit(False)
+        for n in names:
+            changed = changed | ~F.col(n).eqNullSafe(folded[n])
         state = cut_lineage(
-            state.select("node", "_v")
+            state.select("node", *names)
             .join(given, "node", "left")
             .join(hop, "node", "left")
-            .select("node", F.col("_q").alias("_p"), combine(F.col("_v"), F.col("_g")).alias("_v"))
+            .select("node", F.col("_q").alias("_p"), *[f.alias(n) for n, f in folded.items()], changed.alias("_changed"))
         )
     else:
-        if how == "sum" and not state.where("_p IS NOT NULL").isEmpty():
-            raise ValueError("the network has a cycle; repair it before summing")
-    return state.select("node", F.col("_v").alias(name))
+        raise ValueError("the network has a cycle; repair it before summing")
+    return state.select("node", *names)
 
 
 def upstream_members(edges: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -182,7 +193,7 @@ def cycle_members(edges: DataFrame) -> DataFrame:
             )
         )
     ring = caught.join(far.select(F.col("_p").alias("node")).distinct(), "node", "left_semi")
-    return fold_upstream(ring.withColumn("_id", F.col("node")), "_id", "min", "cycle")
+    return fold_upstream(ring, {"cycle": "node"}, "min")
 
 
 def break_cycles(edges: DataFrame, height: str) -> DataFrame:
@@ -206,9 +217,8 @@ def break_cycles(edges: DataFrame, height: str) -> DataFrame:
 
 def close_downstream(edges: DataFrame, flag: str, name: str = "closed") -> DataFrame:
     """Flagged nodes plus every node downstream of one."""
-    return fold_upstream(edges.withColumn(flag, F.coalesce(flag, F.lit(False)).cast("int")), flag, "max", name).withColumn(
-        name, F.col(name) == 1
-    )
+    marked = edges.withColumn(flag, F.coalesce(flag, F.lit(False)).cast("int"))
+    return fold_upstream(marked, {name: flag}, "max").withColumn(name, F.col(name) == 1)
 
 
 def flow_violations(edges: DataFrame, flag: str) -> DataFrame:
@@ -219,7 +229,7 @@ def flow_violations(edges: DataFrame, flag: str) -> DataFrame:
 
 def upstream_area(edges: DataFrame, area: str, threshold: float = 10.0) -> DataFrame:
     """Accumulated area with the river flag from ``threshold`` on."""
-    return fold_upstream(edges, area, "sum", "upstream_area").withColumn(
+    return fold_upstream(edges, {"upstream_area": area}, "sum").withColumn(
         "river", F.col("upstream_area") >= threshold
     )
 
@@ -369,7 +379,7 @@ def trace_chains(edges: DataFrame, position: str) -> DataFrame:
     """
     heads = headwaters(edges.select("node", "next")).select("node", F.lit(True).alias("_head"))
     marked = edges.join(heads, "node", "left").withColumn("_rank", F.when(F.col("_head"), F.col(position)))
-    first = fold_upstream(marked, "_rank", "min", "_first").join(edges.select("node", F.col(position).alias("_pos")), "node")
+    first = fold_upstream(marked, {"_first": "_rank"}, "min").join(edges.select("node", F.col(position).alias("_pos")), "node")
     chain = F.coalesce(F.col("_first"), F.col("_pos"))
     keyed = first.select("node", F.col("_first").isNull().cast("int").alias("_late"), chain.alias("_key"))
     ids = number_rows(keyed.select("_late", "_key").distinct(), [F.col("_late"), F.col("_key")], "river_id")
@@ -474,11 +484,15 @@ def classify_segments(segments: DataFrame, west: float, south: float, east: floa
 def select_basin(
     edges: DataFrame, seed: Column, area: str, target: float | None = None, low: float = 1 / 3, high: float = 3.0
 ) -> DataFrame:
-    """Members, area, ratio to the target and warning of the basin above each seed node."""
-    members = upstream_members(edges, edges.where(seed))
-    stats = members.join(edges.select("node", area), "node").groupBy("outlet").agg(
-        F.count("*").alias("n_polygons"), F.sum(area).alias("area_km2")
+    """Member count, area, ratio to the target and warning of the basin above each seed node.
+
+    Both sums come from one fold over the network, so overlapping basins cost
+    no member lists; ``upstream_members`` gives the lists.
+    """
+    sums = fold_upstream(
+        edges.withColumn("_one", F.lit(1).cast("bigint")), {"n_polygons": "_one", "area_km2": area}, "sum"
     )
+    stats = sums.join(edges.where(seed).select("node"), "node", "left_semi").withColumnRenamed("node", "outlet")
     ratio = F.col("area_km2") / F.lit(target) if target else F.lit(None).cast("double")
     return stats.withColumn("ratio", ratio).withColumn(
         "warning", F.when(F.col("ratio") < low, "under").when(F.col("ratio") > high, "over")
