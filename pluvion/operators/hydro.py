@@ -115,8 +115,8 @@ def ordinate_rows(df: DataFrame, keys: Sequence[str], array: Column) -> DataFram
 
 def wide_channel_stage(q: Column, bed: Column, n: float, width: float, slope: float, cap: float | None = None) -> Column:
     """Bed plus normal depth of a wide channel; the depth may be capped."""
-    depth = F.pow(F.greatest(q, F.lit(0.0)) * n / (width * math.sqrt(slope)), F.lit(0.6))
-    return bed + (F.least(depth, F.lit(cap)) if cap is not None else depth)
+    depth = F.pow(not_negative(q) * n / (width * math.sqrt(slope)), F.lit(0.6))
+    return bed + (F.when(depth > cap, F.lit(cap)).otherwise(depth) if cap is not None else depth)
 
 
 def section_flow(depth: Column | float, width: float, n: float, slope: float):
@@ -187,14 +187,19 @@ def pad_first(df: DataFrame, keys: Sequence[str], step: str, value: str, steps:
     return axis.join(moved, [*keys, step], "left").select(*keys, step, F.coalesce(value, F.lit(0.0)).alias(value))
 
 
+def not_negative(value: Column) -> Column:
+    """At least 0; NULL stays NULL (``greatest`` alone would turn it into 0)."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
+
+
 def to_units(kind: str, value: Column) -> Column:
     """Kelvin to Celsius, J/m2 per day to W/m2, metres per day to mm per day; others unchanged."""
     if kind in ("2t", "mx2t", "mn2t", "2d"):
         return value - 273.15
     if kind == "ssrd":
-        return F.greatest(value / 86400.0, F.lit(0.0))
+        return not_negative(value / 86400.0)
     if kind == "tp":
-        return F.greatest(value * 1000.0, F.lit(0.0))
+        return not_negative(value * 1000.0)
     return value
 
 

@@ -179,6 +179,37 @@ def zonal_extremes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"))
 
 
+def nearest_cells(zones: DataFrame, cells: DataFrame, zone: str, centre_lat: str, centre_lon: str) -> DataFrame:
+    """``(zone, lat, lon)``: the cell nearest to the centre of each zone.
+
+    The nearest row of the latitude axis and the nearest column of the
+    longitude axis are found separately, as for a regular grid; the lower
+    coordinate wins a tie.
+    """
+    from pluvion.operators.align import nearest_axis
+
+    near_lat = nearest_axis(zones, centre_lat, cells.select("lat").distinct(), "lat", zone)
+    near_lon = nearest_axis(zones, centre_lon, cells.select("lon").distinct(), "lon", zone)
+    return near_lat.join(near_lon, zone)
+
+
+def with_fallback_cells(
+    zoned: DataFrame, zones: DataFrame, cells: DataFrame, zone: str, valid: str,
+    centre_lat: str = "centre_lat", centre_lon: str = "centre_lon",
+) -> DataFrame:
+    """Zoned cells where every zone without a valid cell holds its nearest cell instead.
+
+    ``zoned`` is ``cells`` plus the zone column; the result adds ``fallback``.
+    Later reductions then need no special case for small zones.
+    """
+    alive = zoned.where(F.col(valid).isNotNull()).select(zone).distinct()
+    empty = zones.join(alive, zone, "left_anti")
+    picked = nearest_cells(empty, cells, zone, centre_lat, centre_lon).join(cells, ["lat", "lon"])
+    columns = [c for c in zoned.columns]
+    kept = zoned.join(alive, zone, "left_semi").withColumn("fallback", F.lit(False))
+    return kept.unionByName(picked.select(*columns).withColumn("fallback", F.lit(True)))
+
+
 def fill_empty_zones(
     zones: DataFrame,
     reduced: DataFrame,
@@ -186,26 +217,15 @@ def fill_empty_zones(
     zone: str,
     value: str,
     cell_value: str,
-    lat: str = "lat",
-    lon: str = "lon",
     centre_lat: str = "centre_lat",
     centre_lon: str = "centre_lon",
 ) -> DataFrame:
-    """Zones whose reduction is missing take the cell nearest to their centre.
-
-    The nearest row of the latitude axis and the nearest column of the
-    longitude axis are found separately, as for a regular grid; the lower
-    coordinate wins a tie.
-    """
-    from pluvion.operators.align import nearest_axis
-
+    """Zones whose reduction is missing take the value of the cell nearest to their centre."""
     joined = zones.join(reduced.select(zone, value), zone, "left")
     empty = joined.where(F.col(value).isNull()).select(zone, centre_lat, centre_lon)
-    near_lat = nearest_axis(empty, centre_lat, cells.select(lat).distinct(), lat, zone)
-    near_lon = nearest_axis(empty, centre_lon, cells.select(lon).distinct(), lon, zone)
     picked = (
-        near_lat.join(near_lon, zone)
-        .join(cells.select(lat, lon, F.col(cell_value).alias("_fallback")), [lat, lon], "left")
+        nearest_cells(empty, cells, zone, centre_lat, centre_lon)
+        .join(cells.select("lat", "lon", F.col(cell_value).alias("_fallback")), ["lat", "lon"], "left")
         .select(zone, "_fallback")
     )
     return joined.join(picked, zone, "left").withColumn(
