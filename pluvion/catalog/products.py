@@ -212,9 +212,9 @@ ORACLES["quantile_map"] = f"""WITH h AS (SELECT l_suppkey AS cell, quantile_cont
 _FORCE = """
 dy AS (SELECT l_suppkey % 100 // 10 AS "row", l_suppkey % 10 AS col, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, sum(l_quantity / 1e4) * 1000 AS precip, avg(l_extendedprice / 200) - 273.15 AS temp, greatest(sum(l_discount / 100 - 0.0004) * -1000, 0) AS pet
        FROM lineitem GROUP BY ALL),
-tg AS (SELECT c_custkey AS cell, (c_custkey * 7919 % 10007) / 10007.0::DOUBLE * 9 AS y, (c_custkey * 104729 % 10009) / 10009.0::DOUBLE * 9 AS x FROM customer WHERE c_mktsegment = 'BUILDING'),
+tg AS (SELECT c_custkey AS cell, (c_custkey * 7919 % 10007) / 10007.0::DOUBLE * 9 AS y, (c_custkey * 104729 % 10009) / 10009.0::DOUBLE * 9 AS x , c_mktsegment <> 'MACHINERY' AS keep FROM customer),
 fl AS (SELECT *, least(floor(y), 8) AS r, least(floor(x), 8) AS c FROM tg),
-wt AS (SELECT cell, r + dr AS "row", c + dc AS col, (CASE dr WHEN 1 THEN y - r ELSE 1 - (y - r) END) * (CASE dc WHEN 1 THEN x - c ELSE 1 - (x - c) END) AS w FROM fl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dr, dc))
+wt AS (SELECT cell, keep, r + dr AS "row", c + dc AS col, (CASE dr WHEN 1 THEN y - r ELSE 1 - (y - r) END) * (CASE dc WHEN 1 THEN x - c ELSE 1 - (x - c) END) AS w FROM fl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dr, dc))
 """
 
 
@@ -222,7 +222,7 @@ wt AS (SELECT cell, r + dr AS "row", c + dc AS col, (CASE dr WHEN 1 THEN y - r E
     "model_forcing",
     bind.with_sql(
         """SELECT cell, strftime(day, '%Y-%m-%d') AS day, CASE WHEN count(*) = 4 THEN round(sum(w * precip), 6) END AS precip, CASE WHEN count(*) = 4 THEN round(sum(w * temp), 6) END AS temp, CASE WHEN count(*) = 4 THEN round(sum(w * pet), 6) END AS pet
-        FROM wt JOIN dy USING ("row", col) WHERE w <> 0 AND cell % 10 <> 7 GROUP BY cell, day""",
+        FROM wt JOIN dy USING ("row", col) WHERE w <> 0 AND keep GROUP BY cell, day""",
         _FORCE,
     ),
 )
@@ -233,11 +233,11 @@ def model_forcing(spark, d):
         (F.col("l_quantity") / 1e4).alias("tp"), (F.col("l_extendedprice") / 200).alias("t2m"), (F.col("l_discount") / 100 - 0.0004).alias("pev"),
     )
     c = F.col("c_custkey")
-    targets = bind.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(
-        c.alias("cell"), ((c * 7919 % 10007) / F.lit(10007.0) * 9).alias("lat"), ((c * 104729 % 10009) / F.lit(10009.0) * 9).alias("lon")
+    targets = bind.table(spark, d, "customer").select(
+        c.alias("cell"), (F.col("c_mktsegment") != "MACHINERY").alias("keep"), ((c * 7919 % 10007) / F.lit(10007.0) * 9).alias("lat"), ((c * 104729 % 10009) / F.lit(10009.0) * 9).alias("lon")
     )
     weights = align.bilinear_weights(targets, "cell", 0.0, 0.0, 1.0, 10, 10)
-    out = forcing.on_model_grid(forcing.daily_forcing(hourly), weights, targets.where("cell % 10 <> 7"))
+    out = forcing.on_model_grid(forcing.daily_forcing(hourly), weights, targets.where("keep"))
     return out.select("cell", bind.day("day").alias("day"), *[F.round(v, 6).alias(v) for v in ("precip", "temp", "pet")])
 
 

@@ -12,7 +12,7 @@ QUERIES, ORACLES, query = bind.area()
 # ---- customers as points, nations as four-cornered zones that overlap a little
 
 POINT_SQL = """
-pts AS (SELECT c_custkey AS id, (c_custkey * 7919 % 10007) / 10007.0::DOUBLE * 10 AS lon, (c_custkey * 104729 % 10009) / 10009.0::DOUBLE * 10 AS lat FROM customer),
+pts AS (SELECT c_custkey AS id, (c_custkey * 7919 % 10007) / 10007.0::DOUBLE * 10 AS lon, (c_custkey * 104729 % 10009) / 10009.0::DOUBLE * 10 AS lat, c_mktsegment AS seg FROM customer),
 zones AS (SELECT n_nationkey AS zone, (n_nationkey % 5) * 2.0::DOUBLE AS x, (n_nationkey // 5) * 2.0::DOUBLE AS y FROM nation),
 ring AS (SELECT zone, [{'x': x - 0.3, 'y': y + 0.4}, {'x': x + 1.0, 'y': y - 0.5}, {'x': x + 2.2, 'y': y + 0.7}, {'x': x + 1.1, 'y': y + 2.3}, {'x': x - 0.3, 'y': y + 0.4}] AS r FROM zones),
 edge AS (SELECT zone, r[i].x AS x1, r[i].y AS y1, r[i + 1].x AS x2, r[i + 1].y AS y2 FROM ring, generate_series(1, 4) t(i)),
@@ -77,15 +77,16 @@ def outlet_snap(spark, d):
     "site_match",
     bind.with_sql(
         """, m AS (SELECT a.id, b.id AS entry, sqrt(power(a.lon - b.lon, 2) + power(a.lat - b.lat, 2)) AS d FROM pts a JOIN pts b ON abs(a.lon - b.lon) <= 0.2 AND abs(a.lat - b.lat) <= 0.2
-             WHERE a.id % 3 = 0 AND b.id % 3 = 1)
+             WHERE a.seg = 'BUILDING' AND b.seg <> 'BUILDING')
         SELECT id, arg_min(entry, (d, entry)) AS entry, round(min(d), 9) AS distance FROM m WHERE d <= 0.2 GROUP BY id""",
         POINT_SQL,
     ),
 )
 def site_match(spark, d):
-    p = points(spark, d)
-    entries = p.where("id % 3 = 1").withColumnRenamed("id", "entry")
-    out = spatial.nearest_site(p.where("id % 3 = 0"), entries, "id", "entry", 0.2)
+    kind = bind.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    p = points(spark, d).join(kind, "id")
+    entries = p.where("c_mktsegment <> 'BUILDING'").withColumnRenamed("id", "entry")
+    out = spatial.nearest_site(p.where("c_mktsegment = 'BUILDING'"), entries, "id", "entry", 0.2)
     return out.withColumn("distance", F.round("distance", 9))
 
 

@@ -331,3 +331,16 @@ def member_evidence(spark, d):
     out = ensemble.member_evidence(df, "zone_id", "member", ["cell"], "v", "threshold")
     names = ["member_def_frac", "member_spa_cov", "member_min_spi"]
     return out.withColumns({c: F.round(c, 9) for c in names})
+
+
+@query(
+    "cell_index_summary",
+    bind.with_sql(
+        """SELECT cell, round(avg(value), 6) AS mean_value, min(value) AS min_value, max(value) AS max_value FROM grid GROUP BY cell""",
+        bind.GRID_SQL,
+    ),
+)
+def cell_index_summary(spark, d):
+    return bind.grid(spark, d).groupBy("cell").agg(
+        F.round(F.avg("value"), 6).alias("mean_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")
+    )
