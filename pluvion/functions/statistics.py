@@ -52,16 +52,16 @@ def return_period_thresholds(periods: Sequence[int]) -> Column:
 
 
 def _log_gamma(a: np.ndarray) -> np.ndarray:
-    """Stirling series after shifting the argument above 10."""
+    """Stirling series after shifting the argument above 15."""
     a = a.astype(float)
     shift = np.zeros_like(a)
     x = a.copy()
-    for _ in range(10):
-        low = x < 10
+    for _ in range(15):
+        low = x < 15
         shift = np.where(low, shift + np.log(np.where(low, x, 1.0)), shift)
         x = np.where(low, x + 1, x)
     inv = 1.0 / x
-    series = inv * (1 / 12 - inv**2 * (1 / 360 - inv**2 * (1 / 1260 - inv**2 / 1680)))
+    series = inv * (1 / 12 - inv**2 * (1 / 360 - inv**2 * (1 / 1260 - inv**2 * (1 / 1680 - inv**2 / 1188))))
     return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + series - shift
 
 

@@ -99,7 +99,7 @@ def test_gamma_and_normal_functions(spark):
             logs = (r.a - 1) * np.log(np.maximum(t, 1e-300)) - t - math.lgamma(r.a)
             want = np.trapezoid(np.exp(logs), t)
         assert r.p == pytest.approx(want, abs=2e-5)
-    assert statistics._gamma_p(np.array([1.0]), np.array([2.0]))[0] == pytest.approx(1 - math.exp(-2), abs=1e-15)
+    assert statistics._gamma_p(np.array([1.0]), np.array([2.0]))[0] == pytest.approx(1 - math.exp(-2), abs=1e-14)
     z = [-9.0, -7.5, -3.0, -0.5, 0.0, 0.7, 2.0, 6.5, 8.0]
     got = spark.createDataFrame([(v,) for v in z], "z double").withColumn("p", statistics.normal_cdf(F.col("z"))).collect()
     for r in got:
@@ -162,6 +162,7 @@ def test_random_networks(spark):
     edges[0] = None
     for i in (50, 120, 121, 200):
         edges[i] = i + rng.randrange(1, 30)
+    edges[10], edges[16], edges[150], edges[151] = 11, 20, 151, 150
     for i in range(260, 300):
         edges[i] = 7
     df = spark.createDataFrame([(k, v, float(k % 7)) for k, v in edges.items()], "node long, next long, area double")
@@ -171,7 +172,7 @@ def test_random_networks(spark):
         assert ends[k] == ((None, None) if loop is not None else (path[-1], len(path) - 1))
     rings = {k for k, (path, loop) in walks.items() if loop == k}
     cyc = {r.node: r.cycle for r in graph.cycle_members(df).collect()}
-    assert set(cyc) == rings
+    assert set(cyc) == rings and len(rings) >= 4
     fixed = graph.break_cycles(df.withColumn("dem", F.col("node").cast("double")), "dem")
     assert graph.cycle_members(fixed.select("node", "next")).count() == 0
     clean = {r.node: r.next for r in fixed.collect()}
