@@ -221,8 +221,8 @@ wt AS (SELECT cell, keep, r + dr AS "row", c + dc AS col, (CASE dr WHEN 1 THEN y
 @query(
     "model_forcing",
     bind.with_sql(
-        """SELECT cell, strftime(day, '%Y-%m-%d') AS day, CASE WHEN count(*) = 4 THEN round(sum(w * precip), 6) END AS precip, CASE WHEN count(*) = 4 THEN round(sum(w * temp), 6) END AS temp, CASE WHEN count(*) = 4 THEN round(sum(w * pet), 6) END AS pet
-        FROM wt JOIN dy USING ("row", col) WHERE w <> 0 AND keep GROUP BY cell, day""",
+        """SELECT cell, strftime(day, '%Y-%m-%d') AS day, CASE WHEN count(*) = need THEN round(sum(w * precip), 6) END AS precip, CASE WHEN count(*) = need THEN round(sum(w * temp), 6) END AS temp, CASE WHEN count(*) = need THEN round(sum(w * pet), 6) END AS pet
+        FROM (SELECT *, count(*) OVER (PARTITION BY cell) AS need FROM wt WHERE w <> 0) JOIN dy USING ("row", col) WHERE keep GROUP BY cell, day, need""",
         _FORCE,
     ),
 )

@@ -223,14 +223,14 @@ def _bilinear_sql(inside: bool) -> str:
 @query("bilinear_regrid", bind.with_sql(_bilinear_sql(True), _SRC))
 def bilinear_regrid(spark, d):
     weights = align.bilinear_weights(_targets(spark, d), "id", -5.0, 30.0, 0.25, 10, 10)
-    out = align.apply_weights(_source(spark, d), weights, "id", "value")
+    out = align.apply_weights(_source(spark, d), weights, "id", ["value"])
     return out.withColumn("value", F.round("value", 6))
 
 
 @query("bilinear_extrapolate", bind.with_sql(_bilinear_sql(False), _SRC))
 def bilinear_extrapolate(spark, d):
     weights = align.bilinear_weights(_targets(spark, d), "id", -5.0, 30.0, 0.25, 10, 10, extrapolate=True)
-    out = align.apply_weights(_source(spark, d), weights, "id", "value")
+    out = align.apply_weights(_source(spark, d), weights, "id", ["value"])
     return out.withColumn("value", F.round("value", 6))
 
 

@@ -25,9 +25,9 @@ GROUP BY g.time, z.zone_id, g.variable
 
 def _zonal(method):
     def run(spark, d):
-        live = zonal.drop_empty_steps(bind.grid(spark, d), ["variable", "time"])
-        zoned = zonal.attach_zones(live, bind.cell_zone(spark, d), ["cell"])
-        reduced = zonal.zonal_reduce(zoned, ["variable", "time", "zone_id"], method=method)
+        reduced = zonal.zonal_reduce_live(
+            bind.grid(spark, d), bind.cell_zone(spark, d), ["cell"], ["variable", "time"], method=method
+        )
         lean = zonal.lean_table(reduced, "20260101T00", "20260101")
         return lean.withColumn("mean_value", F.round("mean_value", 6)).orderBy(
             "gtime", "zone_id", "variable"

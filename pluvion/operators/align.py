@@ -177,17 +177,20 @@ def bilinear_weights(
 
 
 def apply_weights(
-    grid: DataFrame, weights: DataFrame, key: str, value: str, by: Sequence[str] = (), name: str = "value"
+    grid: DataFrame, weights: DataFrame, key: str, values: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Weighted sum over the corner cells; NULL when any of them is missing."""
-    corners = weights.groupBy(key).agg(F.count("*").alias("_need"))
-    summed = (
-        weights.join(grid, ["row", "col"])
-        .groupBy(key, *by)
-        .agg(F.sum(F.col("weight") * F.col(value)).alias("_sum"), F.count(value).alias("_have"))
+    """Weighted sum over the corner cells; NULL when any of them is missing.
+
+    All values go through one join and one aggregate. The number of corners
+    comes from the weights themselves, carried as one small column.
+    """
+    need = weights.groupBy(key).agg(F.count("*").alias("_need"))
+    summed = weights.join(grid, ["row", "col"]).groupBy(key, *by).agg(
+        *[F.sum(F.col("weight") * F.col(v)).alias(f"_s_{v}") for v in values],
+        *[F.count(v).alias(f"_n_{v}") for v in values],
     )
-    return summed.join(corners, key).select(
-        key, *by, F.when(F.col("_have") == F.col("_need"), F.col("_sum")).alias(name)
+    return summed.join(need, key).select(
+        key, *by, *[F.when(F.col(f"_n_{v}") == F.col("_need"), F.col(f"_s_{v}")).alias(v) for v in values]
     )
 
 

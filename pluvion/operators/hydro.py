@@ -108,6 +108,20 @@ def convolve(flow: DataFrame, ordinates: DataFrame, keys: Sequence[str], step: s
     )
 
 
+def convolve_arrays(flow: Column, ordinates: Column) -> Column:
+    """Convolution of two short arrays inside a row, as long as the flow.
+
+    For event series that fit a row; ``convolve`` takes series of any length.
+    """
+    def at(i):
+        start = F.greatest(F.lit(0), i - F.size(ordinates) + 1)
+        part = F.slice(flow, start + 1, i - start + 1)
+        turned = F.reverse(F.slice(ordinates, F.lit(1), i - start + 1))
+        return F.aggregate(F.zip_with(part, turned, lambda q, u: q * u), F.lit(0.0), lambda a, x: a + x)
+
+    return F.transform(F.sequence(F.lit(0), F.size(flow) - 1), at)
+
+
 def ordinate_rows(df: DataFrame, keys: Sequence[str], array: Column) -> DataFrame:
     """``(keys, k, u)`` of an ordinate array."""
     return df.select(*keys, F.posexplode(array).alias("k", "u"))

@@ -17,14 +17,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+# Groups with at most this many distinct values are sorted whole.
+SMALL_GROUP = 20_000
 
 
 def with_value_buckets(df: DataFrame, keys: Sequence[str], value: str, n: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``, a number that grows with ``value`` inside each group."""
+    """Add ``_bucket``, a number that grows with ``value`` inside each group.
+
+    ``df`` has one row per distinct value; small groups stay in bucket 0.
+    """
     probes = [i / n for i in range(1, n)]
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(value, probes, 10000).alias("_cuts")
-    )
+    sketch = F.percentile_approx(value, probes, 10000)
+    kind = df.schema[value].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+    cuts = df.groupBy(*keys).agg(F.when(F.count("*") > SMALL_GROUP, sketch).otherwise(none).alias("_cuts"))
     if keys:
         joined = df.join(cuts, list(keys))
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pluvion.schema import VARIABLE_CODES
@@ -39,6 +40,22 @@ def zonal_reduce(
     return df.groupBy(*keys).agg(reducer(value).alias(name))
 
 
+def zonal_reduce_live(
+    grid: DataFrame, cell_zone: DataFrame, on: Sequence[str], step: Sequence[str], zone: str = "zone_id", value: str = "value",
+    method: str = "mean", name: str = "mean_value",
+) -> DataFrame:
+    """Zonal reduction that drops the steps without any valid cell, in one scan of the grid.
+
+    Cells outside all zones still count for the step, so they stay until after
+    the aggregate; the test then runs on the few rows per step and zone.
+    """
+    reducer = _METHODS.get(method, F.avg)
+    zoned = grid.join(cell_zone.select(*on, zone), list(on), "left").withColumn(zone, F.coalesce(zone, F.lit(0)))
+    reduced = zoned.groupBy(*step, zone).agg(reducer(value).alias(name), F.count(value).alias("_n"))
+    alive = F.sum("_n").over(W.partitionBy(*step))
+    return reduced.withColumn("_alive", alive).where((F.col("_alive") > 0) & (F.col(zone) != 0)).drop("_n", "_alive")
+
+
 def lean_table(
     df: DataFrame, processed_at: str | Column, source_date: str | Column, time: str = "time",
 ) -> DataFrame:

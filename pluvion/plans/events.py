@@ -17,17 +17,18 @@ def event_hydrographs(entries: DataFrame, gauges: DataFrame, key: str, rain: str
 
     Entries have x, y, area_km2 and bed. Gauge totals are spread to the entries,
     shaped by the storm profile, turned into runoff and routed by a triangular
-    unit hydrograph of each entry's size.
+    unit hydrograph of each entry's size. An event has 48 steps, so an entry is
+    one row with short arrays until the steps are written out: no shuffle.
     """
     c = hydro.EVENT_CHANNEL
     totals = inverse_distance(entries, gauges, [key, "area_km2", "bed"], "x", "y", rain)
-    steps = hydro.rainfall_steps(totals, [key, "area_km2", "bed"], rain, step_s)
-    flow = steps.select(key, "step", (F.col("intensity") * hydro.RUNOFF_SHARE * F.col("area_km2") * 1e6).alias("q"))
+    scale = F.col(rain) / 1000.0 / step_s * hydro.RUNOFF_SHARE * F.col("area_km2") * 1e6
+    flow = F.transform(F.array(*[F.lit(p) for p in hydro.storm_profile()]), lambda p: p * F.col("_scale"))
     shape = hydro.triangle("fixed", hydro.concentration_hours(F.col("area_km2")), step_s / 3600.0)
-    ordinates = hydro.ordinate_rows(entries, [key], shape)
-    routed = hydro.convolve(flow, ordinates, [key], "step", "q")
+    arrays = totals.withColumn("_scale", scale).withColumns({"_flow": flow, "_uh": shape})
+    routed = arrays.select(key, "bed", F.posexplode(hydro.convolve_arrays(F.col("_flow"), F.col("_uh"))).alias("step", "q"))
     stage = hydro.wide_channel_stage(F.col("q"), F.col("bed"), c["n"], c["width"], c["slope"])
-    return routed.join(entries.select(key, "bed"), key).select(key, "step", "q", stage.alias("stage"))
+    return routed.select(key, "step", "q", stage.alias("stage"))
 
 
 def event_table(balance: DataFrame, registry: DataFrame, zone: str, cell: Sequence[str], day: str) -> DataFrame:

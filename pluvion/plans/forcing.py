@@ -22,12 +22,11 @@ def daily_forcing(hourly: DataFrame, clip_evaporation: bool = True) -> DataFrame
 def on_model_grid(daily: DataFrame, weights: DataFrame, mask: DataFrame | None = None, key: str = "cell") -> DataFrame:
     """Bilinear fields on the model cells, all three variables in one pass over the weights.
 
-    With a mask table only its cells remain.
+    With a mask table only its cells remain; it is applied to the weights, so
+    cells outside it are never computed.
     """
-    long = daily.unpivot(["row", "col", "day"], ["precip", "temp", "pet"], "variable", "value")
-    fields = apply_weights(long, weights, key, "value", ["day", "variable"])
-    wide = fields.groupBy(key, "day").pivot("variable", ["precip", "temp", "pet"]).agg(F.first("value"))
-    return wide if mask is None else wide.join(mask.select(key), key, "left_semi")
+    used = weights if mask is None else weights.join(mask.select(key), key, "left_semi")
+    return apply_weights(daily, used, key, ["precip", "temp", "pet"], ["day"])
 
 
 def clean_fills(df: DataFrame) -> DataFrame:

@@ -86,18 +86,25 @@ def risk_probabilities(
     score = score + _pick(CDI_ADD, cdi)
     letters = {"c": current, "d": deficit, "s": spatial, "t": trend, "k": cdi, "r": tail}
     compare = {"=": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
-    probs = _vector(SCORE_BANDS[-1][1])
+    probs = _widened(SCORE_BANDS[-1][1], agreement)
     for limit, values in reversed(SCORE_BANDS[:-1]):
-        probs = F.when(score < limit, _vector(values)).otherwise(probs)
+        probs = F.when(score < limit, _widened(values, agreement)).otherwise(probs)
     for needs, values in reversed(SPECIAL_CASES):
         met = F.lit(True)
         for term in needs.split(" AND "):
             letter, sign, number = term.split()
-            met = met & compare[sign](letters[letter] - 1, int(number))
-        probs = F.when(met, _vector(values)).otherwise(probs)
-    mix = _pick(EVEN_MIX, agreement)
-    mixed = F.when(mix > 0, F.transform(probs, lambda p: (1.0 - mix) * p + mix * 0.2)).otherwise(probs)
-    return F.transform(mixed, lambda p: p / array_sum(mixed))
+            met = met & compare[sign](letters[letter], int(number) + 1)
+        probs = F.when(met, _widened(values, agreement)).otherwise(probs)
+    return probs
+
+
+def _widened(values: Sequence[float], agreement: Column) -> Column:
+    """A rule's vector mixed with an even one by agreement and normalised; three constants."""
+    rows = []
+    for mix in EVEN_MIX:
+        mixed = [(1.0 - mix) * v + mix * 0.2 for v in values]
+        rows.append(_vector([m / sum(mixed) for m in mixed]))
+    return F.element_at(F.array(*rows), agreement.cast("int"))
 
 
 def risk_table(spark: SparkSession, shared_signal: float = SHARED_SIGNAL) -> DataFrame:

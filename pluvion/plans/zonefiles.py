@@ -6,50 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvion.functions.dates import gtime_to_julian
-from pluvion.operators import align, temporal
-from pluvion.operators.filters import split_hindcast
+from pluvion.operators import temporal
 from pluvion.sources import zonetext
 
 
-def _by_day(lean: DataFrame, variable: int, places: DataFrame) -> DataFrame:
-    """``(zone, pos, julian, value)``: the last written value of a zone id and day."""
+def daily_values(lean: DataFrame, places: DataFrame) -> DataFrame:
+    """``(zone, pos, past, julian, rain, evap)``: the last written values of a zone id and day.
+
+    All three variables and both halves of the table come from one aggregate.
+    Rain is the sum of its two sources with 0 for a missing one.
+    """
     rank = F.struct("gtime", "source_date", "processed_at")
-    return (
-        lean.where(F.col("variable") == variable)
-        .withColumn("julian", gtime_to_julian(F.col("gtime")))
-        .groupBy("zone_id", "julian")
-        .agg(F.max_by("mean_value", rank).alias("value"))
-        .join(places, "zone_id")
-        .select("zone", "pos", "julian", "value")
+    last = lambda code: F.max_by(
+        F.when(F.col("variable") == code, F.col("mean_value")), F.when(F.col("variable") == code, rank)
+    )
+    marked = F.coalesce(F.startswith(F.col("source_date"), F.lit("hc_")), F.lit(False))
+    days = (
+        lean.where(F.col("variable").isin(1, 2, 3))
+        .groupBy(marked.alias("past"), "zone_id", gtime_to_julian(F.col("gtime")).alias("julian"))
+        .agg(last(1).alias("_a"), last(2).alias("evap"), last(3).alias("_b"))
+    )
+    both = F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))
+    return days.join(places, "zone_id").select(
+        "zone", "pos", "past", "julian",
+        F.when(F.col("_a").isNotNull() | F.col("_b").isNotNull(), both).alias("rain"), "evap",
     )
 
 
-def _rain(lean: DataFrame, places: DataFrame) -> DataFrame:
-    return align.outer_sum(_by_day(lean, 1, places), _by_day(lean, 3, places), ["zone", "pos", "julian"], "value", "value")
-
-
-def _merge(past: DataFrame, future: DataFrame) -> DataFrame:
+def _merge(values: DataFrame) -> DataFrame:
     """Past days before the first future day of the zone, then the future days."""
+    columns = ["zone", "pos", "julian", "value"]
+    past = values.where("past").select(*columns)
+    future = values.where(~F.col("past")).select(*columns)
     return temporal.cutoff_merge(past, future, ["zone"], "julian")
 
 
-def rain_values(lean: DataFrame, places: DataFrame) -> DataFrame:
-    past, future = split_hindcast(lean)
-    return _merge(_rain(past, places), _rain(future, places))
+def rain_values(days: DataFrame) -> DataFrame:
+    return _merge(days.where("rain IS NOT NULL").withColumn("value", F.col("rain")))
 
 
-def evaporation_values(lean: DataFrame, places: DataFrame) -> DataFrame:
+def evaporation_values(days: DataFrame) -> DataFrame:
     """Forecast rain days without evaporation take the values of its latest day."""
-    past, future = split_hindcast(lean)
-    evap = _by_day(future, 2, places)
-    rain_days = _rain(future, places).select("zone", "julian").distinct()
-    evap_days = evap.select("zone", "julian").distinct()
-    latest = evap_days.groupBy("zone").agg(F.max("julian").alias("_last"))
-    lacking = rain_days.join(evap_days, ["zone", "julian"], "left_anti").join(latest, "zone")
-    copied = lacking.withColumnRenamed("julian", "_day").join(
-        evap.withColumnRenamed("julian", "_last"), ["zone", "_last"]
-    ).select("zone", "pos", F.col("_day").alias("julian"), "value")
-    return _merge(_by_day(past, 2, places), evap.unionByName(copied))
+    evap = days.where("evap IS NOT NULL").select("zone", "pos", "past", "julian", F.col("evap").alias("value"))
+    ahead = days.where(~F.col("past")).groupBy("zone", "julian").agg(
+        F.count("rain").alias("_r"), F.count("evap").alias("_e")
+    )
+    latest = ahead.where("_e > 0").groupBy("zone").agg(F.max("julian").alias("_last"))
+    lacking = ahead.where("_r > 0 AND _e = 0").select("zone", F.col("julian").alias("_day")).join(latest, "zone")
+    copied = lacking.join(
+        evap.where(~F.col("past")).withColumnRenamed("julian", "_last"), ["zone", "_last"]
+    ).select("zone", "pos", "past", F.col("_day").alias("julian"), "value")
+    return _merge(evap.unionByName(copied))
 
 
 def zone_file_lines(lean: DataFrame, zone_header: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -57,8 +64,9 @@ def zone_file_lines(lean: DataFrame, zone_header: DataFrame, shapes: DataFrame)
     places = zonetext.header_positions(zone_header, shapes)
     size = zone_header.groupBy("zone").agg(F.count("*").cast("int").alias("size"))
     head = zonetext.header_lines(zone_header)
+    days = daily_values(lean, places)
     parts = None
-    for name, values in (("rain.txt", rain_values(lean, places)), ("evap.txt", evaporation_values(lean, places))):
+    for name, values in (("rain.txt", rain_values(days)), ("evap.txt", evaporation_values(days))):
         body = zonetext.zone_lines(values, size)
         rows = head.select("zone", F.lit("").alias("julian"), "line").unionByName(body)
         rows = rows.withColumn("file", F.lit(name))

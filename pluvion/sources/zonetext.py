@@ -136,13 +136,13 @@ def zone_lines(values: DataFrame, zone_size: DataFrame, day: str = "julian") ->
     line is as long as the zone's header, whatever the number of days.
     """
     cells = values.groupBy("zone", day).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", zone_value_text(F.col("value"))))).alias("_m")
-    )
-    texts = F.transform(
-        F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.coalesce(F.element_at("_m", i), F.lit("0"))
+        F.array_sort(F.collect_list(F.struct("pos", zone_value_text(F.col("value")).alias("t")))).alias("_v")
     )
+    before = lambda i: F.coalesce(F.get("_v", i - 1)["pos"], F.lit(-1))
+    pieces = F.transform("_v", lambda x, i: F.concat(F.repeat(F.lit("0,"), x["pos"] - before(i) - 1), x["t"]))
+    rest = F.repeat(F.lit(",0"), F.col("size") - 1 - F.element_at("_v", -1)["pos"])
     return cells.join(zone_size, "zone").select(
-        "zone", day, F.concat_ws(",", F.col(day), F.concat_ws(",", texts)).alias("line")
+        "zone", day, F.concat(F.col(day), F.lit(","), F.array_join(pieces, ","), rest).alias("line")
     )
 
 
