@@ -15,19 +15,21 @@ def array_sum(probs: Column) -> Column:
 
 
 def normalise(probs: Column) -> Column:
-    """Divide by the sum; a vector that sums to 0 stays as it is."""
+    """Divide by the sum; a vector that sums to 0 stays as it is.
+
+    The sum is repeated as an array beside the vector: inside a lambda it would
+    be computed again for every element.
+    """
     total = array_sum(probs)
-    return F.when(total > 0, F.transform(probs, lambda x: x / total)).otherwise(probs)
+    divisor = F.array_repeat(F.when(total > 0, total).otherwise(1.0), F.size(probs))
+    return F.zip_with(probs, divisor, lambda x, t: x / t)
 
 
 def confidence(probs: Column, states: int = 5) -> Column:
     """1 - H / ln k within 0..1: 0 for a flat vector, 1 for a certain one."""
-    total = array_sum(probs)
-    entropy = -F.aggregate(
-        F.transform(probs, lambda x: x / total * F.log(F.greatest(x / total, F.lit(1e-12)))), F.lit(0.0), lambda a, x: a + x
-    )
-    sharp = 1.0 - entropy / math.log(states)
-    return F.when(total > 0, F.least(F.greatest(sharp, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    terms = F.transform(normalise(probs), lambda x: x * F.log(F.greatest(x, F.lit(1e-12))))
+    sharp = 1.0 + array_sum(terms) / math.log(states)
+    return F.when(array_sum(probs) > 0, F.least(F.greatest(sharp, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
 def top_state(probs: Column) -> Column:

@@ -85,7 +85,9 @@ def triangle(kind: str, tc_h: Column, dt_h: float, steps: int = STORM_STEPS) ->
     else:
         raise ValueError(kind)
     whole = total(raw) * scale
-    return F.when(whole > 0, F.transform(raw, lambda x: x / whole)).otherwise(raw)
+    # Repeated beside the ordinates, so that the sum is not taken once per ordinate.
+    divisor = F.array_repeat(F.when(whole > 0, whole).otherwise(1.0), F.size(raw))
+    return F.zip_with(raw, divisor, lambda x, w: x / w)
 
 
 def convolve(flow: DataFrame, ordinates: DataFrame, keys: Sequence[str], step: str, value: str, steps: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvion.functions.categories import CDI_STATES, cdi_level, published_class, state_label
-from pluvion.functions.decision import array_sum, attention, top_state
+from pluvion.functions.decision import array_sum, attention, normalise, top_state
 from pluvion.operators.zonal import class_summary
 
 # Class and the conditions it needs, first match wins. The
@@ -119,9 +119,8 @@ def update_posterior(
     for level in levels:
         usable = usable | F.coalesce(F.col(level).between(1, 6), F.lit(False))
         product = F.zip_with(product, _likelihood(F.col(level)), lambda a, b: a * b)
-    total = array_sum(F.col("_product"))
-    changed = usable & (total > 0)
-    fresh = F.transform("_product", lambda x: x / total)
+    changed = usable & (array_sum(F.col("_product")) > 0)
+    fresh = normalise(F.col("_product"))
     work = joined.withColumn("_product", product).withColumn("updated", changed)
     work = work.withColumn("posterior_pre", F.col("posterior")).withColumn(
         "posterior", F.when(F.col("updated"), fresh).otherwise(F.col("posterior"))
