@@ -471,8 +471,8 @@ _NAMES = "['No_drought', 'Full_recovery', 'Partial_recovery', 'Watch', 'Warning'
 @query(
     "cdi_districts",
     bind.with_sql(
-        f"""SELECT zone_id, a.mk AS cdi_class_recomp, a.ml AS cdi_level_idx_recomp, {_NAMES}[a.ml] AS cdi_level_recomp, round(a.fr, 4) AS cdi_level_fraction_recomp, a.mode AS cdi_modal_class_recomp,
-             b.mk AS cdi_class_eadw, b.ml AS cdi_level_idx_eadw, {_NAMES}[b.ml] AS cdi_level_eadw, round(b.fr, 4) AS cdi_level_fraction_eadw, b.mode AS cdi_modal_class_eadw, a.ml = b.ml AS cdi_agreement
+        f"""SELECT zone_id, a.mk AS cdi_class_recomp, a.ml AS cdi_level_idx_recomp, {_NAMES}[a.ml] AS cdi_level_recomp, round_even(a.fr, 4) AS cdi_level_fraction_recomp, a.mode AS cdi_modal_class_recomp,
+             b.mk AS cdi_class_published, b.ml AS cdi_level_idx_published, {_NAMES}[b.ml] AS cdi_level_published, round_even(b.fr, 4) AS cdi_level_fraction_published, b.mode AS cdi_modal_class_published, a.ml = b.ml AS cdi_agreement
         FROM oa a JOIN ob b USING (zone_id)""",
         CDI_SQL,
         _district_sql("level", "klass", "a", "lvl"),

@@ -401,11 +401,11 @@ def latest_folder(spark, d):
     k = F.col("o_orderkey") % 3
     names = bind.table(spark, d, "orders").select(
         F.concat(
-            F.when(k == 0, "lt_stable_input_").when(k == 1, "other_").otherwise("lt_stable_input_x"),
+            F.when(k == 0, "zone_run_").when(k == 1, "other_").otherwise("zone_run_x"),
             F.date_format("o_orderdate", "yyyyMMdd"),
         ).alias("name")
     )
-    return manifest.latest_dated_folder(names, "name", "lt_stable_input_")
+    return manifest.latest_dated_folder(names, "name", "zone_run_")
 
 
 @query(

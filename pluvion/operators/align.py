@@ -181,11 +181,12 @@ def apply_weights(
 ) -> DataFrame:
     """Weighted sum over the corner cells; NULL when any of them is missing.
 
-    All values go through one join and one aggregate. The number of corners
-    comes from the weights themselves, carried as one small column.
+    All values go through one join and one aggregate; the number of corners
+    comes from the weights. Without ``by`` every target appears, also one whose
+    corners are all absent; with ``by`` the steps are those of the grid.
     """
     need = weights.groupBy(key).agg(F.count("*").alias("_need"))
-    summed = weights.join(grid, ["row", "col"]).groupBy(key, *by).agg(
+    summed = weights.join(grid, ["row", "col"], "inner" if by else "left").groupBy(key, *by).agg(
         *[F.sum(F.col("weight") * F.col(v)).alias(f"_s_{v}") for v in values],
         *[F.count(v).alias(f"_n_{v}") for v in values],
     )

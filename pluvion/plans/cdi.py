@@ -91,8 +91,8 @@ def compare_sources(recomputed: DataFrame, published: DataFrame, keys: Sequence[
     """Both sources side by side with the agreement flag."""
     return (
         district_levels(recomputed, keys, "_recomp")
-        .join(district_levels(published, keys, "_eadw"), list(keys))
-        .withColumn("cdi_agreement", F.col("cdi_level_idx_recomp") == F.col("cdi_level_idx_eadw"))
+        .join(district_levels(published, keys, "_published"), list(keys))
+        .withColumn("cdi_agreement", F.col("cdi_level_idx_recomp") == F.col("cdi_level_idx_published"))
     )
 
 
