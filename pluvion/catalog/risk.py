@@ -313,12 +313,29 @@ def agri_risk(spark, d):
     return rows.select("id", *rounded())
 
 
-@query("full_assessment")
+_AGRI_SQL = f"""
+mc AS (SELECT id, m, p[m] * q[c] AS wt, m + [0e0, 0.4e0, 0.9e0, 1.5e0][c] * (1 - 0.5e0 * (m - 1) / 4e0) AS t0
+       FROM crop, (VALUES (1), (2), (3), (4), (5)) a(m), (VALUES (1), (2), (3), (4)) b(c)),
+tt AS (SELECT id, wt, least(t0, 5) AS t FROM mc),
+ag AS (SELECT id, [{", ".join(f"sum(wt * CASE WHEN floor(t) = {i} THEN 1 - (t - floor(t)) WHEN floor(t) + 1 = {i} THEN t - floor(t) ELSE 0 END)" for i in range(1, 6))}] AS g FROM tt GROUP BY id)
+"""
+
+
+@query(
+    "full_assessment",
+    bind.with_sql(
+        f"""SELECT id, {_LEVEL} AS risk_level, {decided('p')} AS attention_state_met, ['No_Stress', 'Mild', 'Moderate', 'Severe'][list_position(q, list_max(q))] AS crop_stress,
+          {decided('g')} AS attention_state, round(greatest(least(1 + list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12)))) / ln(5), 1), 0), 6) AS confidence_met,
+          {_probs()}, round(g[1] + 1e-13, 9) AS agri_minimal, round(g[5] + 1e-13, 9) AS agri_extreme FROM crop JOIN ag USING (id)""",
+        EVIDENCE_SQL, risk_cte("r", "idx"), _CROP_SQL.replace("1 + id % 3 AS ph", "1 AS ph"), _AGRI_SQL,
+    ),
+)
 def full_assessment(spark, d):
-    out = risk.assess(evidence(spark, d), include_tail=True, include_cdi=True, include_crop=True, include_fpar=True)
+    out = risk.assess(evidence(spark, d), include_tail=True, include_cdi=True, include_crop=True, include_fpar=True, ratio=RATIO)
+    agri = F.col("agri")
     return out.select(
-        "id", "risk_level", "attention_state_met", "confidence_met", "crop_stress", "agri_risk_level", "attention_state",
-        "traffic_light", "explanation", "confidence", *risk.probability_columns(), *risk.probability_columns("agri", "agri_"),
+        "id", "risk_level", "attention_state_met", "crop_stress", "attention_state", F.round("confidence_met", 6).alias("confidence_met"),
+        *rounded(), F.round(agri[0] + 1e-13, 9).alias("agri_minimal"), F.round(agri[4] + 1e-13, 9).alias("agri_extreme"),
     )
 
 

@@ -149,7 +149,16 @@ def overlap_share(spark, d):
     return out.withColumn("share", F.round("share", 9))
 
 
-@query("building_coverage")
+@query(
+    "building_coverage",
+    bind.with_sql(
+        """, h AS (SELECT lon, lat, 0.02e0 + (id % 5) * 0.01e0 AS s FROM pts),
+        c AS (SELECT DISTINCT fr, fc FROM h, LATERAL (SELECT unnest(generate_series(CAST(floor(lat / 0.02e0) AS BIGINT), CAST(floor((lat + s) / 0.02e0) AS BIGINT))) AS fr) a,
+              LATERAL (SELECT unnest(generate_series(CAST(floor(lon / 0.02e0) AS BIGINT), CAST(floor((lon + s) / 0.02e0) AS BIGINT))) AS fc) b)
+        SELECT CAST(floor(fr / 5) AS BIGINT) AS "row", CAST(floor(fc / 5) AS BIGINT) AS col, round(count(*) / 25.0::DOUBLE, 6) AS fraction FROM c GROUP BY 1, 2""",
+        POINT_SQL,
+    ),
+)
 def building_coverage(spark, d):
     p = points(spark, d)
     size = 0.02 + (F.col("id") % 5) * 0.01
