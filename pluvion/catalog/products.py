@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pluvion.catalog import bind
 from pluvion.catalog.tables import LEAN_SQL, lean_rows
+from pluvion.functions.statistics import normal_cdf
 from pluvion.operators import align
 from pluvion.plans import bias, evidence, forcing, nodes, spi, zonefiles
 
@@ -174,17 +175,37 @@ def district_evidence(spark, d):
     )
 
 
-@query("precipitation_index")
-def precipitation_index(spark, d):
+def _index(spark, d):
     monthly = (
         bind.series(spark, d)
         .groupBy("zone_id", (F.year("day") * 12 + F.month("day") - 1).alias("m"))
         .agg((F.sum("value") / 1e5).alias("rain"))
     )
     dry = monthly.withColumn("rain", F.when(F.col("zone_id") % 5 == F.col("m") % 7, 0.0).otherwise(F.col("rain")))
-    first, last = 1992 * 12, 1998 * 12 - 1
-    out = spi.index(dry, ["zone_id"], "m", "rain", 3, first, last)
-    return out.withColumn("spi", F.round("spi", 6))
+    return spi.index(dry, ["zone_id"], "m", "rain", 3, 1992 * 12, 1998 * 12 - 1)
+
+
+@query("precipitation_index")
+def precipitation_index(spark, d):
+    return _index(spark, d).withColumn("spi", F.round("spi", 6))
+
+
+@query(
+    "precipitation_probability",
+    bind.with_sql(
+        """, mo AS (SELECT zone_id, CAST(year(day) * 12 + month(day) - 1 AS INTEGER) AS m, sum(value) / 1e5 AS rain FROM series GROUP BY ALL),
+        dr AS (SELECT zone_id, m, CASE WHEN zone_id % 5 = m % 7 THEN 0e0 ELSE rain END AS rain FROM mo),
+        ac AS (SELECT zone_id, m, CASE WHEN count(rain) OVER w = 3 THEN avg(rain) OVER w END AS a FROM dr WINDOW w AS (PARTITION BY zone_id ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
+        ft AS (SELECT zone_id, m % 12 AS s, avg(CASE WHEN a > 0 THEN a END) AS mu, avg(CASE WHEN a > 0 THEN ln(a) END) AS l, avg(CASE WHEN a = 0 THEN 1e0 WHEN a > 0 THEN 0e0 END) AS d FROM ac WHERE m BETWEEN 23904 AND 23975 GROUP BY ALL),
+        sh AS (SELECT *, (1 + sqrt(1 + 4 * (ln(mu) - l) / 3)) / (4 * (ln(mu) - l)) AS k FROM ft WHERE ln(mu) - l > 1e-9),
+        x AS (SELECT ac.zone_id, ac.m, d, k, a, a / (mu / k) AS x FROM ac LEFT JOIN sh ON sh.zone_id = ac.zone_id AND sh.s = ac.m % 12),
+        pr AS (SELECT zone_id, m, sum(exp((k + n) * ln(x) - x - lgamma(k + n + 1))) AS g FROM x, LATERAL (SELECT unnest(generate_series(0, CAST(x + 40 * sqrt(x) + 200 AS BIGINT))) AS n) t WHERE a > 0 AND k IS NOT NULL GROUP BY ALL)
+        SELECT zone_id, m, CASE WHEN a IS NOT NULL AND k IS NOT NULL THEN round(d + (1 - d) * coalesce(g, 0), 7) END AS p FROM x LEFT JOIN pr USING (zone_id, m)""",
+        bind.SERIES_SQL,
+    ),
+)
+def precipitation_probability(spark, d):
+    return _index(spark, d).select("zone_id", "m", F.round(normal_cdf(F.col("spi")), 7).alias("p"))
 
 
 @query("quantile_map")

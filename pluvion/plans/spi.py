@@ -12,6 +12,8 @@ from pluvion.operators import temporal
 
 # Largest absolute index.
 LIMIT = 8.21
+# Records whose values do not differ have no fit.
+NO_SPREAD = 1e-9
 
 
 def calibrate(df: DataFrame, keys: Sequence[str], month: str, value: str, start: int, end: int) -> DataFrame:
@@ -28,7 +30,7 @@ def calibrate(df: DataFrame, keys: Sequence[str], month: str, value: str, start:
     )
     a = F.log("_m") - F.col("_l")
     shape = (1.0 + F.sqrt(1.0 + 4.0 * a / 3.0)) / (4.0 * a)
-    return means.withColumn("shape", F.when(a > 0, shape)).select(
+    return means.withColumn("shape", F.when(a > NO_SPREAD, shape)).select(
         *keys, "season", "shape", (F.col("_m") / F.col("shape")).alias("scale"), "dry"
     )
 
