@@ -17,13 +17,21 @@ def region_subset(
     buffer: float = 1.0,
     lat: str = "lat",
     lon: str = "lon",
+    all_if_empty: bool = False,
 ) -> DataFrame:
-    """Rows in the buffered box, longitudes first brought to -180..180."""
+    """Rows in the buffered box, longitudes first brought to -180..180.
+
+    ``all_if_empty`` gives all rows when the box holds none, at the price of a
+    second, filtered scan.
+    """
     wrapped = df.withColumn(lon, F.when(F.col(lon) > 180, wrap_longitude(F.col(lon))).otherwise(F.col(lon)))
-    return wrapped.where(
-        F.col(lat).between(lat_bounds[0] - buffer, lat_bounds[1] + buffer)
-        & F.col(lon).between(lon_bounds[0] - buffer, lon_bounds[1] + buffer)
+    inside = F.col(lat).between(lat_bounds[0] - buffer, lat_bounds[1] + buffer) & F.col(lon).between(
+        lon_bounds[0] - buffer, lon_bounds[1] + buffer
     )
+    if not all_if_empty:
+        return wrapped.where(inside)
+    none = wrapped.where(inside).limit(1).agg((F.count("*") == 0).alias("v")).scalar()
+    return wrapped.where(inside | none)
 
 
 def time_window(df: DataFrame, time: str, start: Column, end: Column) -> DataFrame:

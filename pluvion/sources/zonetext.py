@@ -41,7 +41,7 @@ def parse_zone_lines(lines: DataFrame) -> DataFrame:
     """
     ids = F.transform(
         F.filter(
-            F.split(F.substring_index(F.col("_header"), "NA,", -1), ","), lambda x: F.trim(x).rlike("^[0-9]+$")
+            F.split(F.expr("substring(trim(_header), 4)"), ","), lambda x: F.trim(x).rlike("^[0-9]+$")
         ),
         lambda x: F.trim(x).cast("int"),
     )

@@ -309,3 +309,21 @@ def test_feature_switches(spark):
     assert df.select(picked.alias("v")).head().v == 2.0
     assert filters.soft_columns(df, "x", 3) is None
     assert df.select(filters.soft_columns(df, "x", 2).alias("v")).head().v == [0.4, 0.6]
+
+
+def test_region_without_points(spark):
+    df = spark.createDataFrame([(10.0, 350.0), (20.0, 40.0)], "lat double, lon double")
+    box = ((9.0, 11.0), (-12.0, -9.0))
+    assert [r.lon for r in filters.region_subset(df, *box).collect()] == [-10.0]
+    far = ((80.0, 81.0), (0.0, 1.0))
+    assert filters.region_subset(df, *far).count() == 0
+    assert filters.region_subset(df, *far, all_if_empty=True).count() == 2
+
+
+def test_bilinear_corners_and_edges(spark):
+    grid = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(3) for c in range(3) if (r, c) != (2, 2)], "row int, col int, value double")
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.0), (3, 1.5, 1.5), (4, 2.5, 0.0), (5, 0.25, 1.75)], "id int, lat double, lon double")
+    inside = align.apply_weights(grid, align.bilinear_weights(pts, "id", 0.0, 0.0, 1.0, 3, 3), "id", ["value"])
+    assert {r.id: r.value for r in inside.collect()} == {1: 5.5, 2: 11.0, 3: None, 5: pytest.approx(4.25)}
+    wide = align.apply_weights(grid, align.bilinear_weights(pts, "id", 0.0, 0.0, 1.0, 3, 3, extrapolate=True), "id", ["value"])
+    assert {r.id: r.value for r in wide.collect()}[4] == pytest.approx(25.0)

@@ -43,6 +43,12 @@ def test_zone_text_oddities(spark, tmp_path):
     assert {r.variable for r in out.collect()} == {1}
 
 
+def test_header_skips_what_is_no_id(spark, tmp_path):
+    (tmp_path / "rain.txt").write_text("NA,44,NA,46\n2024001,1,2,3\n")
+    rows = zonetext.parse_zone_lines(zonetext.read_lines(spark, str(tmp_path))).collect()
+    assert {r.zone_id: r.value for r in rows} == {44: 1.0, 46: 2.0}
+
+
 def test_large_file_keeps_its_header(spark, tmp_path):
     """Splitting a file into many read tasks must not lose the first line."""
     lines = ["NA,1,2"] + [f"{2000000 + i // 366 * 1000 + i % 366 + 1},{i},{i + 1}" for i in range(4000)]
