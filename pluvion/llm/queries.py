@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvion.llm import bpe, mixing, simhash, substrings
-from pluvion.llm.base import table
+from pluvion.llm import bpe, embeddings, licenses, mixing, quality, sharding, simhash, substrings, topk, toxicity
+from pluvion.llm.base import held_out, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,7 +34,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
     with parts as (
-      select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+      select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
     ), starts as (
       select doc_id, w, unnest(case when len(w) >= 50 then range(1, len(w) - 48) else [] end) as s from parts
     ), windows as (
@@ -43,14 +43,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
       select doc_id, s from windows qualify doc_id > min(doc_id) over (partition by h)
     ), gone as (
       select distinct doc_id, unnest(range(s, s + 50)) as p from flagged
-    ), lists as (
-      select doc_id, list(p) as gone from gone group by doc_id
+    ), words as (
+      select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from parts
     ), left_over as (
-      select p.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
-        list_transform(list_filter(range(1, len(w) + 1), i -> gone is null or not list_contains(gone, i)), i -> w[i]) as kept
-      from parts p left join lists using (doc_id)
+      select doc_id, count(*) as n_left, string_agg(word, ' ' order by p) as kept from words anti join gone using (doc_id, p) group by doc_id
     )
-    select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from left_over
+    select doc_id, len(w)::bigint as n_words, len(w)::bigint - coalesce(n_left, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+    from parts left join left_over using (doc_id)
     """
 )
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,3 +72,72 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.score_texts(docs, model), 0.5)
+
+
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return _predicted(quality.score_texts(docs, net), 0.3)
+
+
+def _predicted(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query()
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+    with usable as (
+      select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+      select q.vec_id as query_id, r.vec_id, list_inner_product(q.v, r.v)::bigint as score
+      from usable q join usable r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0
+    ), ranked as (
+      select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from scored
+    )
+    select query_id, rank, vec_id, score from ranked where rank <= 20
+    """
+)
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    """
+    with recursive unit as (
+      select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+    ), links as (
+      select a.vec_id as a, b.vec_id as b from unit a join unit b
+        on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.95
+    ), reach as (
+      select vec_id as node, vec_id as found from unit
+      union
+      select r.node, l.b from reach r join links l on l.a = r.found
+    ), groups as (
+      select node, min(found) as component_id from reach group by node
+    )
+    select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept
+    from unit join groups on node = vec_id
+    """
+)
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
