@@ -48,6 +48,17 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Bytes of one Arrow batch. Texts are long, and a worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES``, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "64m")).rstrip("b").replace("m", "000000").replace("k", "000").replace("g", "000000000")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """Apply ``fn(batch, texts)`` to Arrow batches; ``texts`` are UTF-8 bytes or None, row by row."""
 
@@ -56,6 +67,7 @@ def map_text(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch, list], pa.R
             texts = batch.column(text).cast(pa.large_binary() if pa.types.is_large_string(batch.column(text).type) else pa.binary())
             yield fn(batch, texts.to_pylist())
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -78,7 +90,7 @@ def held_out(doc_id) -> F.Column:
 class WordHash(dict):
     """64-bit hash per word; the dictionary is emptied when it grows beyond ``most`` words, which changes no value."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 150_000):
         super().__init__()
         self.seed, self.most = seed, most
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvion.llm.base import arrow_schema, map_text
+from pluvion.llm.base import arrow_schema, map_text, short_batches
 from pluvion.llm.toxicity import LETTERS
 
 #: Phrases that always count, and their labels.
@@ -60,6 +60,7 @@ def token_counts(docs: DataFrame, words: set[bytes], text: str = "text") -> dict
                 total.update(filter(words.__contains__, words_of(x)))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
+    short_batches(docs.sparkSession)
     found = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r["word"].encode(): r["n"] for r in found}
 

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvion.llm.base import WordHash, fresh, map_text, saved
+from pluvion.llm.base import WordHash, fresh, map_text, saved, short_batches
 
 #: Odd multipliers of the two rolling hashes and of the mixing step.
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = 0xFF51AFD7ED558CCD
-ROWS = 100_000
+ROWS = 50_000
 
 
 class Rolling:
@@ -121,6 +121,7 @@ def extended(docs: DataFrame, window: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
 
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", "mark", "shared", "text").mapInArrow(run, schema)
 
 
