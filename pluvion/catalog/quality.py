@@ -73,7 +73,7 @@ def _text_lines(spark, d, side):
     docs = bind.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
     if side == "a":
         docs = docs.where("file % 7 <> 0")
-    else:
+    elif side == "b":
         docs = docs.where("file % 11 <> 0").withColumn(
             "text", F.when(F.col("file") % 3 == 0, F.concat("text", F.lit("\n1,2,3"))).otherwise(F.col("text"))
         )
@@ -91,12 +91,12 @@ def _profiles(spark, d, side):
     bind.with_sql(
         """SELECT doc_id AS file, len(string_split(text, chr(10))) AS total_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS non_empty_lines,
           length(text) + 1 AS size, CASE WHEN contains(h, ',') THEN 'comma' WHEN contains(h, chr(9)) THEN 'tab' ELSE 'space' END AS separator
-        FROM (SELECT doc_id, text, trim(string_split(text, chr(10))[1], ' ') AS h FROM a)""",
+        FROM (SELECT doc_id, text, trim(string_split(text, chr(10))[1], ' ') AS h FROM documents)""",
         _TEXT_SQL,
     ),
 )
 def text_profile(spark, d):
-    return _profiles(spark, d, "a").select("file", "total_lines", "non_empty_lines", "size", "separator")
+    return _profiles(spark, d, "all").select("file", "total_lines", "non_empty_lines", "size", "separator")
 
 
 @query(

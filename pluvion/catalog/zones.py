@@ -29,9 +29,7 @@ def _zonal(method):
             bind.grid(spark, d), bind.cell_zone(spark, d), ["cell"], ["variable", "time"], method=method
         )
         lean = zonal.lean_table(reduced, "20260101T00", "20260101")
-        return lean.withColumn("mean_value", F.round("mean_value", 6)).orderBy(
-            "gtime", "zone_id", "variable"
-        )
+        return lean.withColumn("mean_value", F.round("mean_value", 6))
 
     return run
 

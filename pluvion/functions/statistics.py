@@ -103,6 +103,7 @@ def _gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
                 h = h * step
                 if np.all(np.abs(step - 1) < 1e-15):
                     break
+            h[~(np.abs(step - 1) < 1e-12)] = np.nan  # not converged: no value rather than a wrong one
             out[high] = 1.0 - lead[high] * h
     return out
 

@@ -74,6 +74,8 @@ def follow_downstream(edges: DataFrame, stop: Column | None = None) -> DataFrame
             .select("node", F.col("_last").alias("last"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_open").alias("open"))
         )
         state = cut_lineage(state.where(~F.col("open")).unionByName(moved))
+    else:
+        raise RuntimeError("paths go on after 2^64 steps")
     return state.select(
         "node",
         F.when(~F.col("open"), F.col("last")).alias("last"),
@@ -173,6 +175,8 @@ def outlet_chains(edges: DataFrame) -> DataFrame:
         if grown == size:
             break
         size = grown
+    else:
+        raise RuntimeError("pairs still grow after 2^64 steps")
     return pairs
 
 
@@ -335,9 +339,11 @@ def suppress_neighbours(points: DataFrame, value: str, distance: int = 5, keep:
         tile.join(spread, ["tr", "tc"]).where(close & (rank("h_") > rank(""))).select("row", "col", "h_row", "h_col")
     )
     state = cut_lineage(points.select("row", "col", value, F.lit("open").alias("state")))
-    for _ in range(10_000):
-        if state.where("state = 'open'").isEmpty():
-            break
+    before = None
+    while left := state.where("state = 'open'").count():
+        if left == before:
+            raise RuntimeError("a round settled no point; two points share row and column")
+        before = left
         known = state.select(F.col("row").alias("h_row"), F.col("col").alias("h_col"), F.col("state").alias("_s"))
         seen = above.join(known, ["h_row", "h_col"]).groupBy("row", "col").agg(
             F.bool_or(F.col("_s") == "kept").alias("_kept"), F.bool_or(F.col("_s") == "open").alias("_open")

@@ -281,13 +281,13 @@ def gap_summary(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
 def _neighbours(keys, step, value):
     base = W.partitionBy(*keys).orderBy(step)
     before = base.rowsBetween(W.unboundedPreceding, 0)
-    after = base.rowsBetween(0, W.unboundedFollowing)
+    after = W.partitionBy(*keys).orderBy(F.desc(step)).rowsBetween(W.unboundedPreceding, 0)  # grows row by row, unlike an open end
     at = F.when(F.col(value).isNotNull(), F.col(step))
     return (
         F.last(at, True).over(before),
         F.last(value, True).over(before),
-        F.first(at, True).over(after),
-        F.first(value, True).over(after),
+        F.last(at, True).over(after),
+        F.last(value, True).over(after),
     )
 
 

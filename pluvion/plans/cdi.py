@@ -11,21 +11,6 @@ from pluvion.functions.categories import CDI_STATES, cdi_level, published_class,
 from pluvion.functions.decision import array_sum, attention, normalise, top_state
 from pluvion.operators.zonal import class_summary
 
-# Class and the conditions it needs, first match wins. The
-# conditions are rain over 9-12 months (l), 3 months (q), 1 month (m), the same
-# a month earlier (pq, pm), soil moisture (s) and vegetation (v).
-CDI_RULES = [
-    (10, "v AND s AND l AND q"), (9, "v AND s AND q"), (8, "v AND q"), (7, "v AND m"),
-    (6, "s AND l AND q"), (5, "s AND q"), (4, "s AND m"),
-    (3, "l AND q"), (2, "q"), (1, "m"),
-    (12, "v AND pq"), (11, "v AND pm"),
-    (14, "pq"), (13, "pm"),
-]
-# Input column and limit of each condition.
-CDI_LIMITS = {
-    "l": ("spi9_12", -1.0), "q": ("spi3", -1.0), "m": ("spi1", -2.0), "pq": ("spi3_prev", -1.0),
-    "pm": ("spi1_prev", -2.0), "s": ("sma", -1.0), "v": ("fapar", -1.0),
-}
 # Likelihood of each level (rows, least stressed first) given the risk state.
 CDI_LIKELIHOOD = [
     (0.50, 0.30, 0.10, 0.05, 0.02),
@@ -51,22 +36,37 @@ def vegetation_source(target: str, mode: str = "auto") -> str:
 
 
 def classify_cells(df: DataFrame) -> DataFrame:
-    """Adds ``cdi_class`` and ``cdi_level_idx``; a missing input leaves its condition unmet."""
-    conditions = {}
-    for short, (column, limit) in CDI_LIMITS.items():
-        if column in df.columns:
-            x = F.nanvl(F.col(column).cast("double"), F.lit(None))
-            conditions[f"_{short}"] = F.coalesce(x < limit, F.lit(False))
-        else:
-            conditions[f"_{short}"] = F.lit(False)
-    klass = F.lit(0)
-    for number, needs in reversed(CDI_RULES):
-        met = F.lit(True)
-        for short in needs.split(" AND "):
-            met = met & F.col(f"_{short}")
-        klass = F.when(met, number).otherwise(klass)
-    out = df.withColumns(conditions).withColumn("cdi_class", klass).drop(*conditions)
-    return out.withColumn("cdi_level_idx", cdi_level(F.col("cdi_class")))
+    """Adds ``cdi_class`` and ``cdi_level_idx``; a missing input leaves its condition unmet.
+
+    Limits, class numbers and their order are fixed values; the first class whose conditions are met counts.
+    """
+
+    def below(column: str, limit: float) -> Column:
+        if column not in df.columns:
+            return F.lit(False)
+        return F.coalesce(F.nanvl(F.col(column).cast("double"), F.lit(None)) < limit, F.lit(False))
+
+    dry_year, dry_quarter, dry_month = below("spi9_12", -1.0), below("spi3", -1.0), below("spi1", -2.0)
+    was_dry_quarter, was_dry_month = below("spi3_prev", -1.0), below("spi1_prev", -2.0)
+    dry_soil, poor_leaf = below("sma", -1.0), below("fapar", -1.0)
+    klass = (
+        F.when(poor_leaf & dry_soil & dry_year & dry_quarter, 10)
+        .when(poor_leaf & dry_soil & dry_quarter, 9)
+        .when(poor_leaf & dry_quarter, 8)
+        .when(poor_leaf & dry_month, 7)
+        .when(dry_soil & dry_year & dry_quarter, 6)
+        .when(dry_soil & dry_quarter, 5)
+        .when(dry_soil & dry_month, 4)
+        .when(dry_year & dry_quarter, 3)
+        .when(dry_quarter, 2)
+        .when(dry_month, 1)
+        .when(poor_leaf & was_dry_quarter, 12)
+        .when(poor_leaf & was_dry_month, 11)
+        .when(was_dry_quarter, 14)
+        .when(was_dry_month, 13)
+        .otherwise(0)
+    )
+    return df.withColumn("cdi_class", klass).withColumn("cdi_level_idx", cdi_level(F.col("cdi_class")))
 
 
 def published_cells(df: DataFrame, value: str) -> DataFrame:

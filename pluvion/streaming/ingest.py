@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
+from pluvion.session import cut_lineage
+
+
+#: Most partitions that a batch may name in a filter of the table.
+PRUNED_PARTITIONS = 500
+
 
 def file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, name_pattern: str | None = None, files_per_batch: int | None = None
@@ -33,6 +40,25 @@ def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         return spark.createDataFrame([], schema)
 
 
+def _touched(table: DataFrame, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of the partitions that the batch touches.
+
+    Up to ``PRUNED_PARTITIONS`` partitions are named in a filter, which the
+    scan uses to read no other folder; a batch that touches more takes a join.
+    """
+    touched = batch.select(*partition_by).distinct()
+    named = touched.limit(PRUNED_PARTITIONS + 1).collect()
+    if len(named) > PRUNED_PARTITIONS:
+        return table.join(touched, list(partition_by), "left_semi")
+    wanted = F.lit(False)
+    for row in named:
+        match = F.lit(True)
+        for c in partition_by:
+            match = match & (F.col(c) == F.lit(row[c]) if row[c] is not None else F.col(c).isNull())
+        wanted = wanted | match
+    return table.where(wanted)
+
+
 def append_new_rows(
     stream: DataFrame, target: str, checkpoint: str, partition_by: Sequence[str], subset: Sequence[str] | None = None
 ) -> StreamingQuery:
@@ -49,8 +75,7 @@ def append_new_rows(
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(columns)
-        touched = batch.select(*partition_by).distinct()
-        held = _existing(spark, target, schema).join(touched, list(partition_by), "left_semi").select(*columns)
+        held = _touched(_existing(spark, target, schema), batch, partition_by).select(*columns)
         same = None
         for c in columns:
             equal = F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}"))
@@ -61,15 +86,22 @@ def append_new_rows(
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replace_days(stream: DataFrame, target: str, checkpoint: str, day: str) -> StreamingQuery:
-    """Each batch replaces the days it carries; other days stay as they are."""
+def replace_days(stream: DataFrame, target: str, checkpoint: str, day: str, run: str | None = None) -> StreamingQuery:
+    """Each run replaces the days it carries; other days stay as they are.
 
-    def write(batch: DataFrame, _: int) -> None:
-        (
-            batch.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(day)
-            .parquet(target)
-        )
+    The files of a day may fall into several batches of a run: a batch keeps
+    what earlier batches of its run wrote for that day. The table has the extra
+    columns ``_run`` and ``_batch``; a batch that runs again after a failure
+    replaces its own rows. Name the run when a stopped run is to go on.
+    """
+    run = run or uuid.uuid4().hex
+    schema = T.StructType(stream.schema.fields + [T.StructField("_run", T.StringType()), T.StructField("_batch", T.LongType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        tagged = batch.withColumns({"_run": F.lit(run), "_batch": F.lit(number).cast("long")})
+        kept = _touched(_existing(spark, target, schema), batch, [day]).where((F.col("_run") == run) & (F.col("_batch") != number))
+        kept = cut_lineage(kept.select(*schema.names))  # the files it is read from are about to be replaced
+        tagged.select(*schema.names).unionByName(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
