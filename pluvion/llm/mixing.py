@@ -87,9 +87,10 @@ def thresholds(sized: DataFrame, passes: int = PASSES) -> DataFrame:
             break
     taken = F.col("bucket_size") - (F.col("rest") - F.col("before")) < F.col("rest") - F.col("before")
     ends = edge.select(F.col("source").alias("end_source"), F.when(taken, F.col("low") + 1).otherwise(F.col("low")).alias("below"))
-    return budgets.join(ends, budgets["source"].eqNullSafe(ends["end_source"]), "left").select(
+    found = budgets.join(ends, budgets["source"].eqNullSafe(ends["end_source"]), "left").select(
         "source", "source_size", "target", "whole", F.coalesce("below", F.lit(0).cast("long")).alias("below")
     )
+    return saved(found, "thresholds")  # its size is known: a short list of sources is broadcast and no text is shuffled
 
 
 def sizes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
