@@ -1,0 +1,381 @@
+"""The ten operators against brute-force versions, with nulls, empty and long texts, ties, repeats and empty tables."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+
+from pluvion.llm import bpe, embeddings, licenses, mixing, quality, sharding, simhash, substrings, topk, toxicity
+from pluvion.llm.components import components
+
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, window long, head string, anchor string"
+
+
+def corpus():
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdeé!") for _ in range(draw.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(draw.randint(1, 90))) for _ in range(40)]
+    passage = " ".join(word() for _ in range(60))
+    texts += [passage, f"x {passage} y", f"{texts[0]}\t{passage}\n{texts[1]}", passage + " z", passage]
+    texts += [texts[3]] * 6 + [texts[4] + " tail", "", "   \n", None, None, "All rights reserved. CC BY, cc by", "one", "two words"]
+    texts += [" ".join(word() for _ in range(6000)), "w" * 50_000]
+    rows = [(i, t, "en", None if i % 9 == 0 else f"s{i % 4}", 1, 0, 0, "h", "a") for i, t in enumerate(texts)]
+    rows += [rows[41], rows[3], (None, passage, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def split(text):
+    return (text or "").encode().split()
+
+
+def test_components(spark):
+    draw = random.Random(1)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs + [(None, 3)], "a long, b long")).collect()}
+    assert got == {x: find(x) for x in got} and {x for p in pairs if p[0] != p[1] for x in p} == set(got)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bpe(docs, none):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert np.frombuffer(r.ids, "<u4").tolist() == coder.encode_ordinary(r.text or "")
+        assert bytes(r.decoded) == (r.text or "").encode()
+    own = bpe.byte_pairs(PATH, PATTERN)
+    for text in ("ab" * 20_000, "aaaa" * 3000, "   x", "<|endoftext|>", "it's 12 3 \r\n\n  z"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == coder.encode_ordinary(text)
+    assert bpe.encode(none, PATH, PATTERN).count() == 0
+
+
+def test_rank_queue():
+    queue, held, draw = bpe.RankQueue(300_000), [], random.Random(2)
+    for _ in range(3000):
+        if held and draw.random() < 0.45:
+            assert queue.pop() == held.pop(held.index(min(held)))
+        else:
+            held.append((draw.randrange(300_000), draw.randrange(50)))
+            queue.push(*held[-1])
+    assert [queue.pop() for _ in range(len(held))] == sorted(held) and queue.pop() is None
+
+
+def brute_fingerprint(text):
+    words = split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reach(marks, near):
+    """Smallest id reachable for each id, all pairs."""
+    low = {i: i for i in marks}
+    changed = True
+    while changed:
+        changed = False
+        for a in marks:
+            for b in marks:
+                if low[b] < low[a] and near(a, b):
+                    low[a], changed = low[b], True
+    return low
+
+
+def test_simhash(docs, none):
+    rows = simhash.near_groups(docs).collect()
+    assert len(rows) == docs.count()
+    marks = {r[0]: brute_fingerprint(r[1]) for r in corpus() if r[0] is not None}
+    low = reach(marks, lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 4)
+    for r in rows:
+        if r.doc_id is not None:
+            assert r.fingerprint & (1 << 64) - 1 == marks[r.doc_id] and r.component_id == low[r.doc_id]
+    assert simhash.near_groups(none).count() == 0
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in low if low[i] == i)
+
+
+def test_ball_links(spark):
+    draw = random.Random(3)
+    marks = [draw.getrandbits(64) for _ in range(60)]
+    for m in list(marks):
+        for flips in (1, 3, 4, 4, 5):
+            x = m
+            for b in draw.sample(range(64), flips):
+                x ^= 1 << b
+            marks.append(x)
+    marks = sorted(set(marks) | {0, 15, 31, (1 << 64) - 1})
+    low = reach(marks, lambda a, b: (a ^ b).bit_count() <= 4)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    links = simhash.ball_links(spark.createDataFrame([(signed(m),) for m in marks], "mark long"))
+    found = {r.node: r.component for r in components(links).collect()}
+    groups = {}
+    for m in marks:
+        groups.setdefault(low[m], set()).add(found.get(signed(m), signed(m)))
+    assert all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
+
+
+def test_substrings(docs, none):
+    data = [(i, t) for i, t, *_ in corpus()]
+    first = {}
+    for i, text in sorted((x for x in data if x[0] is not None), key=lambda x: x[0]):
+        words = split(text)
+        for k in range(len(words) - 49):
+            first.setdefault(tuple(words[k : k + 50]), i)
+    rows = substrings.remove_repeats(docs).collect()
+    assert len(rows) == len(data)
+    removed = 0
+    for r in rows:
+        words = split(r.text)
+        gone = [False] * len(words)
+        for k in range(len(words) - 49):
+            if r.doc_id is not None and first[tuple(words[k : k + 50])] < r.doc_id:
+                gone[k : k + 50] = [True] * 50
+        assert r.kept == b" ".join(w for w, g in zip(words, gone) if not g).decode()
+        assert (r.n_words, r.n_removed) == (len(words), sum(gone))
+        removed += sum(gone)
+    assert removed > 200
+    assert substrings.remove_repeats(none).count() == 0
+
+
+def test_mixing(docs, none):
+    rows = mixing.mixed_sizes(mixing.sizes_of(docs)).collect()
+    assert len(rows) == docs.count()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.source, []).append(r)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total = {s: sum(r.size for r in sizes[s]) for s in order}
+    target, free, left = {}, set(order), sum(total.values())
+    while True:
+        share = left / sum(weight[s] for s in free)
+        over = {s for s in free if share * weight[s] > 3 * total[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * total[s]
+            left -= target[s]
+        free -= over
+    target |= {s: share * weight[s] for s in free}
+    for s in order:
+        assert all(abs(r.target - target[s]) < 1e-6 and r.source_size == total[s] for r in sizes[s])
+        assert all(0 <= r.taken <= 3 * r.size and r.taken == r.passes * r.size for r in sizes[s])
+        assert abs(sum(r.taken for r in sizes[s]) - target[s]) <= max(r.size for r in sizes[s])
+    text_of = {r[0]: r[1] for r in corpus()}
+    assert all(r.size == len(split(text_of[r.doc_id])) for r in rows if r.doc_id is not None)
+    again = mixing.mixed_sizes(mixing.sizes_of(docs.repartition(2))).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert mixing.mixture(docs).count() == sum(r.passes for r in rows)
+    assert mixing.mixture(none).count() == 0
+
+
+def test_sharding(docs, none):
+    rows = sharding.shard(docs, 5).collect()
+    assert len(rows) == docs.count()
+    text_of = {r[0]: r[1] for r in corpus()}
+    place = {}
+    for r in rows:
+        if r.doc_id is not None:
+            text = text_of[r.doc_id]
+            assert r.size == len((text or "").encode()) + 16
+            assert r.text_crc32 == (None if text is None else zlib.crc32(text.encode()))
+            place.setdefault(text, set()).add(r.shard)
+    assert all(len(x) == 1 for x in place.values())
+    for s in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard(none, 5).count() == 0
+
+
+def test_capacity_is_minimal():
+    draw = np.random.default_rng(6)
+    for _ in range(60):
+        sizes = draw.integers(1, 40, size=draw.integers(1, 14))
+        loads = np.sort(draw.integers(0, 30, size=3))[::-1]
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        best = min(
+            max(*(w for w in (sums[i] + loads[0] if i else 0, sums[j] - sums[i] + loads[1] if j > i else 0, sums[-1] - sums[j] + loads[2] if j < len(sizes) else 0)), 0)
+            for i in range(len(sums))
+            for j in range(i, len(sums))
+        )
+        capacity = sharding.smallest_capacity(sums, loads)
+        assert capacity == best
+        ends = sharding.even_cuts(sums, loads, capacity)
+        runs = np.diff(np.concatenate([[0], ends]))
+        assert ends[-1] == sums[-1] and all(n == 0 or n + load <= capacity for n, load in zip(runs, loads))
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, node long, v string"
+
+
+def vectors():
+    draw = np.random.default_rng(8)
+    base = draw.standard_normal((30, 6))
+    rows = [(int(i), list(map(float, v))) for i, v in enumerate(base)]
+    rows += [(100 + i, list(map(float, v + 0.1 * draw.standard_normal(6)))) for i, v in enumerate(base)]
+    rows += [(200 + i, rows[5][1]) for i in range(25)] + [(240 + i, [2 * x for x in rows[6][1]]) for i in range(3)]
+    rows += [(300, None), (301, []), (302, [0.0] * 6), (303, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (304, [float("nan")] * 6), (305, [float("inf")] * 6), (320, [1.0, 2.0])]
+    return [(i, v, 0, 1, "x") for i, v in rows]
+
+
+def test_top_k(spark):
+    data = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, *_ in vectors() if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, a in data:
+        if q % 20 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in data if i != q and len(b) == len(a))[:7]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    rows = vectors()
+    for tile in (4096, 16):
+        old, topk.TILE_ROWS = topk.TILE_ROWS, tile
+        try:
+            got = topk.top_k(spark.createDataFrame(rows + rows[:3] + [(None, [1.0] * 6, 0, 0, "")], VECTORS), k=7).collect()
+        finally:
+            topk.TILE_ROWS = old
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
+    big = topk.products(np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [2.0**40, 1.0]]))
+    assert big.tolist() == [[2**60 + 3, 2**63 - 1]]
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_embeddings(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    data = {i: np.array(v, float) for i, v, *_ in vectors() if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    near = lambda a, b: a != b and len(data[a]) == len(data[b]) and data[a] @ data[b] / np.linalg.norm(data[a]) / np.linalg.norm(data[b]) >= 0.95
+    low = reach(data, near)
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(vectors(), VECTORS)).collect()}
+    assert len(got) == len(vectors())
+    for i in got:
+        links = sum(near(i, j) for j in data) if i in data else 0
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (links, low.get(i, i), low.get(i, i) == i)
+    assert embeddings.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_embedding_recall():
+    draw = np.random.default_rng(9)
+    unit = embeddings.unit_vectors(draw.standard_normal((3000, 64)))
+    other = embeddings.unit_vectors(draw.standard_normal((3000, 64)))
+    other = embeddings.unit_vectors(other - (other * unit).sum(axis=1, keepdims=True) * unit)
+    pair = 0.95 * unit + np.sqrt(1 - 0.95**2) * other
+    lsh = embeddings.PStable()
+    assert (lsh.keys(unit) == lsh.keys(pair)).any(axis=1).mean() > 0.98
+
+
+def test_licenses(spark, docs, none):
+    rows = licenses.labelled(docs).collect()
+    assert len(rows) == docs.count()
+    hit = [r for r in rows if r.text and r.text.startswith("All rights")][0]
+    assert (hit.n_words, hit.n_base, hit.first_word, hit.last_word, hit.base_labels, hit.score) == (7, 3, 0, 5, "cc-by,reserved", 1.0)
+    assert licenses.labelled(none).count() == 0
+    draw = random.Random(5)
+    vocabulary = sorted(w.decode() for w in licenses.vocabulary(licenses.TEMPLATES)) + ["foo", "bar"]
+    join = licenses.ContainmentJoin(licenses.TEMPLATES, {w.encode(): draw.randrange(100) for w in vocabulary}, 0.8)
+    for _ in range(150):
+        words = [draw.choice(vocabulary).encode() for _ in range(draw.randint(0, 70))]
+        notice = draw.choice(list(licenses.TEMPLATES)).encode().split()
+        at = draw.randint(0, len(words))
+        words[at:at] = [w for w in notice if draw.random() < 0.9]
+        want = set()
+        starts = range(0, max(0, -(-(len(words) - licenses.BLOCK) // licenses.STEP)) * licenses.STEP + 1, licenses.STEP)
+        for number, text in enumerate(licenses.TEMPLATES):
+            need = set(text.encode().split())
+            for start in starts:
+                share = len(need & set(words[start : start + licenses.BLOCK])) / len(need)
+                if share >= 0.8:
+                    want.add((number, start, round(share, 9)))
+        assert {(n, a, round(c, 9)) for n, a, _, c in join.blocks(words)} == want
+
+
+def test_byte_net_gradients():
+    net = quality.ByteNet(filters=5, hidden=4, chunk=32, step=24)
+    texts, y, weight = [b"", b"some text that spans more than a single chunk of bytes", b"short"], np.array([1.0, 0.0, 1.0]), np.ones(3)
+    for k in net.weights:
+        net.weights[k] = net.weights[k].astype(np.float64)
+
+    def loss():
+        z = net.logits(net.describe(texts)[0])[0].astype(np.float64)
+        return float((np.logaddexp(0, z) - y * z).mean())
+
+    grads = net.gradients(texts, y, weight)
+    for name, at in (("out", 1), ("hidden", (2, 1)), ("conv", (3, 2)), ("conv_bias", 1)):
+        step, value = 1e-3, net.weights[name][at]
+        net.weights[name][at] = value + step
+        high = loss()
+        net.weights[name][at] = value - step
+        low = loss()
+        net.weights[name][at] = value
+        assert grads[name][at] == pytest.approx((high - low) / 2 / step, abs=3e-3)
+
+
+def test_quality_covers_whole_texts(spark, docs, none):
+    net = quality.ByteNet()
+    text = bytes(random.Random(0).randrange(97, 120) for _ in range(10_000))
+    assert net.score([text])[0] != net.score([text[:-3] + b"!!!"])[0]
+    assert len(net.chunks(text)) * net.step >= len(text) - net.chunk
+    rows = quality.score_texts(docs, net).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert quality.score_texts(none, net).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert set(quality.fit_quality(docs, labels).score([b"", b"text"])) == {0.5}
+    assert toxicity.fit_toxicity(docs, labels).score([b"", b"text"]).tolist() == pytest.approx([0.05, 0.05])
+
+
+@pytest.mark.parametrize("name, label, least", [("op9_quality", 2, 0.93), ("op1_toxicity", 1, 0.93)])
+def test_held_out_accuracy(spark, name, label, least):
+    from pluvion.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.1"
+    scored = QUERIES[name](spark, folder).where("held_out")
+    both = scored.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    kind = "toxic" if label == 1 else "quality"
+    hits = [r.predicted == r[kind] for r in both]
+    ones = [r.predicted for r in both if r[kind] == 1]
+    assert sum(hits) / len(hits) > least and sum(ones) / len(ones) > 0.85
+
+
+def test_digests(spark):
+    from pluvion.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    text_of = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op10_bpe"](spark, folder).collect()
+    assert len(rows) == len(text_of)
+    assert all(r.decoded_sha256 == hashlib.sha256(text_of[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    current, counts = docs, [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        current = corpus_pipeline.saved(stage(spark, current, folder), "test")
+        assert current.columns == docs.columns
+        counts.append(current.count())
+    assert counts[0] >= counts[1] >= counts[2] == counts[3] > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, current, folder).count() == counts[-1]
