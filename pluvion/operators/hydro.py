@@ -167,12 +167,12 @@ def rating_stage(
         {"q0": section_flow(F.col("d0"), width, n, slope), "q1": section_flow(F.col("d1"), width, n, slope)}
     ).withColumn("_b", F.explode(F.sequence(F.floor("q0").cast("bigint"), F.floor("q1").cast("bigint"))))
     peak = section_flow(top, width, n, slope)
-    held = df.withColumn("_q", F.when(F.col(q) < 0, 0.0).otherwise(F.least(F.col(q), F.lit(peak * (1 - 1e-12))))).withColumn(
+    held = df.withColumn("_q", F.when(F.col(q) < 0, 0.0).when(F.col(q).isNotNull(), F.least(F.col(q), F.lit(peak * (1 - 1e-12))))).withColumn(
         "_b", F.floor("_q").cast("bigint")
     )
     hit = (F.col("_q") >= F.col("q0")) & (F.col("_q") < F.col("q1")) & (held["_b"] == table["_b"])
     depth = F.col("d0") + (F.col("d1") - F.col("d0")) * (F.col("_q") - F.col("q0")) / (F.col("q1") - F.col("q0"))
-    wet = F.least(depth, F.lit(cap)) if cap is not None else depth
+    wet = F.when(F.col(q).isNotNull(), F.least(depth, F.lit(cap))) if cap is not None else depth
     joined = held.join(F.broadcast(table), hit, "left")
     return joined.select(*df.columns, (F.col(bed) + F.when(F.col(q) <= 0, 0.0).otherwise(wet)).alias("stage"))
 
