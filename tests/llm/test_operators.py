@@ -72,6 +72,23 @@ def test_bpe(docs, none):
     assert bpe.encode(none, PATH, PATTERN).count() == 0
 
 
+def test_shared_queue_and_own_queue_agree():
+    own, draw = bpe.byte_pairs(PATH, PATTERN), random.Random(3)
+    pieces = ["".join(draw.choice(draw.choice(("ab", "etaoinshr", "a", "\u00e9\u65e5x0"))) for _ in range(draw.randint(1, 60))) for _ in range(800)]
+    pieces = [p.encode() for p in pieces]
+    assert own.merge(pieces) == [own.merge_long(p) for p in pieces]
+
+
+def test_new_filling_of_the_cache_changes_nothing(monkeypatch):
+    texts = [" ".join(f"w{i * k}xq" for k in range(40)) for i in range(30)] + ["", "z" * 3000]
+    want = bpe.BytePairs(PATH, PATTERN).encode_all(texts)
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "HELD_TOKENS", 90)
+    monkeypatch.setattr(bpe, "MERGE_BYTES", 40)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 200)
+    assert bpe.BytePairs(PATH, PATTERN).encode_all(texts) == want
+
+
 def test_rank_queue():
     queue, held, draw = bpe.RankQueue(300_000), [], random.Random(2)
     for _ in range(3000):
