@@ -142,10 +142,11 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> tuple[DataFrame, Data
     first = texts.join(lead.select("mark", "mark2", F.col("lead").alias("doc_id")), ["mark", "mark2", "doc_id"])
     places = first.select("doc_id", "mark", F.explode("anchors").alias("anchor"))
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = saved(shared, "anchors")  # a table on either side: the join's large partitions can be split
     wanted = saved(places.join(shared, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("shared")), "shared")
     windows = saved(extended(marked(docs.where("doc_id is not null")).join(wanted, ["doc_id", "mark"]), window), "windows")
     lowest = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    lowest = saved(lowest, "lowest")  # a table on either side: the join's large partitions can be split
+    lowest = saved(lowest, "lowest")
     starts = windows.join(lowest, ["anchor", "window"]).where("doc_id > low").groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts"))
     return found, starts.select("doc_id", "mark", "starts", F.lit(False).alias("all")).unionByName(
         again.select("doc_id", "mark", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("all"))
