@@ -40,17 +40,25 @@ def first_cuts(sums: np.ndarray, loads: np.ndarray, capacity: float, whole: np.n
     return ends if ends[-1] >= sums[-1] else None
 
 
+def common_level(total: float, loads: np.ndarray) -> float:
+    """The level up to which ``total`` fills shards that hold ``loads``; fuller shards get nothing."""
+    held = np.sort(loads)
+    levels = (total + np.cumsum(held)) / np.arange(1, len(held) + 1)
+    return float(levels.min())
+
+
 def even_cuts(sums: np.ndarray, loads: np.ndarray, capacity: float) -> np.ndarray:
     """Ends of the shards' runs within a feasible capacity, each as near to an even share as the others allow.
 
-    The greedy check forwards gives the latest ends, and backwards the
-    earliest; between them the end nearest to the share is taken.
+    Even is what brings every shard to one level. The greedy check forwards
+    gives the latest ends, and backwards the earliest; between them the end
+    nearest to the share is taken.
     """
     latest = first_cuts(sums, loads, capacity)
     back = first_cuts((sums[-1] - sums)[::-1], loads[::-1], capacity)
     earliest = sums[-1] - np.concatenate([back[-2::-1], [0]])
     room = np.maximum(capacity - loads, 0)
-    share = np.cumsum(room) * (sums[-1] / max(1, room.sum()))
+    share = np.cumsum(np.maximum(common_level(float(sums[-1]), loads) - loads, 0))
     ends, at = np.empty(len(loads)), 0.0
     for i in range(len(loads)):
         reach = sums[np.searchsorted(sums, at + room[i], side="right") - 1]

@@ -245,6 +245,14 @@ def test_capacity_is_minimal():
         assert ends[-1] == sums[-1] and all(n == 0 or n + load <= capacity for n, load in zip(runs, loads))
 
 
+def test_shards_below_the_fullest_are_even():
+    loads = np.array([4000, 90, 80, 50, 0, 0])
+    sums = np.arange(0, 301, 3)
+    assert sharding.common_level(300, loads) == 104
+    runs = np.diff(np.concatenate([[0], sharding.even_cuts(sums, loads, 4000)]))
+    assert runs[0] == 0 and np.abs(runs + loads - 104)[1:].max() <= 3
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, node long, v string"
 
 
