@@ -137,7 +137,59 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(
+    r"""
+    with parts as (
+      select doc_id, list_filter(
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+        lambda x: x <> '') as w
+      from documents
+    ), words as (
+      select doc_id, unnest(w) as word, unnest(range(0, len(w))) as p from parts
+    ), ahead as (
+      select doc_id, p, word, lead(word) over after as word2, lead(word, 2) over after as word3 from words
+      window after as (partition by doc_id order by p)
+    ), base as (
+      select doc_id, p, case when word = 'cc' then 'cc-by' when word = 'general' then 'gpl' else 'reserved' end as label from ahead
+      where (word = 'cc' and word2 = 'by') or (word = 'general' and word2 = 'public' and word3 = 'license')
+        or (word = 'all' and word2 = 'rights' and word3 = 'reserved')
+    ), templates as (
+      select label, list_distinct(string_split(template, ' ')) as t from (values
+        ('licensed under the apache license version 2 0', 'apache-2.0'),
+        ('you may not use this file except in compliance with the license', 'apache-2.0'),
+        ('released under the mit license', 'mit'),
+        ('permission is hereby granted free of charge to any person obtaining a copy of this software', 'mit'),
+        ('redistribution and use in source and binary forms with or without modification are permitted', 'bsd'),
+        ('this work is licensed under the gnu general public license version 3', 'gpl'),
+        ('this program is free software you can redistribute it and or modify it', 'gpl'),
+        ('licensed under cc by nc 4 0', 'cc-by-nc'),
+        ('licensed under a creative commons attribution 4 0 international license', 'cc-by'),
+        ('licensed under a creative commons attribution sharealike 4 0 international license', 'cc-by-sa'),
+        ('this work is dedicated to the public domain cc0 1 0', 'cc0'),
+        ('this source code form is subject to the terms of the mozilla public license', 'mpl-2.0'),
+        ('all rights reserved no part of this publication may be reproduced', 'reserved')) as given(template, label)
+    ), starts as (
+      select doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 32) / 16.0))::bigint * 16 + 1, 16)) as s from parts
+    ), blocks as (
+      select doc_id, w[s + 1 : s + 32] as b from starts
+    ), shares as (
+      select doc_id, label, len(t) as size, len(list_intersect(t, b)) as common from blocks, templates
+    ), near as (
+      select doc_id, label, common::double / size as share from shares where common * 5 >= size * 4
+    ), told as (
+      select doc_id, label from base union select doc_id, label from near
+    ), placed as (
+      select doc_id, count(*) as n_base, min(p) as first_word, max(p) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by doc_id
+    ), named as (
+      select doc_id, string_agg(label, ',' order by label) as labels from told group by doc_id
+    ), best as (
+      select doc_id, max(share) as share from near group by doc_id
+    )
+    select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+      coalesce(labels, '') as labels, case when n_base > 0 then 1.0::double else coalesce(share, 0) end as score
+    from parts left join placed using (doc_id) left join named using (doc_id) left join best using (doc_id)
+    """
+)
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
