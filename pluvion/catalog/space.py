@@ -106,9 +106,8 @@ def empty_zone_fallback(spark, d):
     p = points(spark, d)
     half = lambda c: F.rint(F.col(c) * 2) / 2
     rows, cols = p.select(half("lat").alias("lat")).distinct(), p.select(half("lon").alias("lon")).distinct()
-    cells = rows.withColumn("k", F.lit(1)).join(cols.withColumn("k", F.lit(1)), "k").select(
-        "lat", "lon", (F.col("lat") * 10 + F.col("lon")).alias("v")
-    )
+    across = cols.agg(F.collect_set("lon")).scalar()  # half degrees: 721 at most
+    cells = rows.select("lat", F.explode(across).alias("lon")).withColumn("v", F.col("lat") * 10 + F.col("lon"))
     hits = spatial.points_in_polygons(p, zones(spark, d), "zone", "ring", 1.0).where("zone % 3 <> 0")
     reduced = hits.groupBy("zone").agg(F.round(F.avg("lat"), 6).alias("value"))
     out = zonal.fill_empty_zones(zones(spark, d), reduced, cells, "zone", "value", "v")
@@ -265,7 +264,7 @@ def nearest_align(spark, d):
 )
 def nearest_irregular(spark, d):
     axis = bind.table(spark, d, "supplier").select(F.col("s_acctbal").alias("nearest")).distinct()
-    return align.nearest_axis(bind.table(spark, d, "customer"), "c_acctbal", axis, "nearest", "c_custkey")
+    return align.nearest_value(bind.table(spark, d, "customer"), "c_acctbal", axis, "nearest", "c_custkey")
 
 
 @query(

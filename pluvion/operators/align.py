@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pluvion.session import cut_lineage
+
 
 # ---------------------------------------------------------------- time
 
@@ -117,7 +120,8 @@ def nearest_axis(wanted: DataFrame, at: str, axis: DataFrame, coord: str, key: s
 
     The axis of a grid is short (degrees over resolution) and is read once as
     one sorted array; the lower coordinate wins a tie. Regular axes need no
-    axis table, see ``nearest_on_regular_axis``.
+    axis table, see ``nearest_on_regular_axis``; for an axis that grows with
+    the data see ``nearest_value``.
     """
     points = axis.agg(F.array_sort(F.collect_set(coord)).alias("points")).scalar()
     best = F.array_min(
@@ -130,6 +134,40 @@ def nearest_axis(wanted: DataFrame, at: str, axis: DataFrame, coord: str, key: s
     )
 
 
+def nearest_value(wanted: DataFrame, at: str, axis: DataFrame, coord: str, key: str) -> DataFrame:
+    """``(key, coord)``: the value nearest to each wanted position, for an axis of any length.
+
+    Distinct positions and values are sorted together by ranges; each position
+    looks at the value before and after it, and a range takes over the last
+    and first values of its neighbours from a table with one row per range.
+    The lower value wins a tie. A missing position has no nearest value.
+    """
+    places = wanted.select(F.col(at).alias("_at")).where("_at is not null").distinct()
+    values = axis.select(F.col(coord).alias("_at")).where("_at is not null").distinct()
+    both = places.withColumn("_axis", F.lit(False)).unionByName(values.withColumn("_axis", F.lit(True)))
+    ranged = cut_lineage(both.repartitionByRange("_at").withColumn("_part", F.spark_partition_id()))
+    known = F.when(F.col("_axis"), F.col("_at"))
+    parts = ranged.groupBy("_part").agg(F.min(known).alias("_lo"), F.max(known).alias("_hi"))
+    order = W.partitionBy(F.lit(1)).orderBy("_part")
+    carried = parts.select(
+        "_part",
+        F.last("_hi", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_left"),
+        F.first("_lo", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_right"),
+    )
+    inside = W.partitionBy("_part")
+    upto = inside.orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    back = inside.orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    near = (
+        ranged.withColumns({"_below": F.last(known, True).over(upto), "_above": F.last(known, True).over(back)})
+        .where(~F.col("_axis"))
+        .join(F.broadcast(carried), "_part")
+        .withColumns({"_below": F.coalesce("_below", "_left"), "_above": F.coalesce("_above", "_right")})
+    )
+    lower = F.col("_above").isNull() | (F.col("_at") - F.col("_below") <= F.col("_above") - F.col("_at"))
+    found = near.select("_at", F.when(lower, F.col("_below")).otherwise(F.col("_above")).alias(coord))
+    return wanted.select(key, F.col(at).alias("_at")).join(found, "_at", "left").select(key, coord)
+
+
 def nearest_on_regular_axis(pos: Column, start: float, step: float, count: int) -> Column:
     """Index of the nearest point of a regular axis; halves go to the lower index."""
     raw = F.ceil((pos - F.lit(start)) / F.lit(step) - 0.5)
@@ -148,11 +186,12 @@ def bilinear_weights(
     lon: str = "lon",
     extrapolate: bool = False,
 ) -> DataFrame:
-    """Reusable table ``(key, row, col, weight)`` of a regular source grid.
+    """Reusable table ``(key, row, col, weight, corners)`` of a regular source grid.
 
     Targets outside the source get no rows unless ``extrapolate`` is set, which
     continues the edge cell linearly. Weights of zero are kept out, so a target
-    on a grid line does not depend on the next line.
+    on a grid line does not depend on the next line; ``corners`` counts those
+    that a target keeps.
     """
     def axis(pos, count):
         cell = F.greatest(F.lit(0), F.least(F.lit(count - 2), F.floor(pos)))
@@ -170,9 +209,9 @@ def bilinear_weights(
         F.struct((r + 1).alias("row"), (c + 1).alias("col"), (fy * fx).alias("weight")),
     )
     return (
-        source.select(key, F.inline(corners))
-        .where(F.col("weight") != 0)
-        .select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "weight")
+        source.select(key, F.filter(corners, lambda w: w["weight"] != 0).alias("_w"))
+        .select(key, F.size("_w").alias("corners"), F.inline("_w"))
+        .select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "weight", "corners")
     )
 
 
@@ -185,12 +224,12 @@ def apply_weights(
     comes from the weights. Without ``by`` every target appears, also one whose
     corners are all absent; with ``by`` the steps are those of the grid.
     """
-    need = weights.groupBy(key).agg(F.count("*").alias("_need"))
     summed = weights.join(grid, ["row", "col"], "inner" if by else "left").groupBy(key, *by).agg(
+        F.max("corners").alias("_need"),
         *[F.sum(F.col("weight") * F.col(v)).alias(f"_s_{v}") for v in values],
         *[F.count(v).alias(f"_n_{v}") for v in values],
     )
-    return summed.join(need, key).select(
+    return summed.select(
         key, *by, *[F.when(F.col(f"_n_{v}") == F.col("_need"), F.col(f"_s_{v}")).alias(v) for v in values]
     )
 

@@ -16,28 +16,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-# Groups with at most this many distinct values are sorted whole.
-SMALL_GROUP = 20_000
+#: Distinct values of a bucket; the number of buckets follows from the size of the group.
+BUCKET_ROWS = 20_000
+#: Cuts that the sketch places at most, and cuts that are looked at together.
+FINEST, STRIDE = 1024, 32
 
 
-def with_value_buckets(df: DataFrame, keys: Sequence[str], value: str, n: int = BUCKETS) -> DataFrame:
+def with_value_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add ``_bucket``, a number that grows with ``value`` inside each group.
 
-    ``df`` has one row per distinct value; small groups stay in bucket 0.
+    ``df`` has one row per distinct value. A group is cut into buckets of about
+    ``BUCKET_ROWS`` values; beyond ``FINEST`` buckets they grow with the group,
+    each still a thousandth of it. The bucket is found in two steps, first
+    among every ``STRIDE``-th cut and then among those that follow.
     """
-    probes = [i / n for i in range(1, n)]
-    sketch = F.percentile_approx(value, probes, 10000)
+    sketch = F.percentile_approx(value, [i / FINEST for i in range(1, FINEST)], 10000)
     kind = df.schema[value].dataType.simpleString()
     none = F.array().cast(f"array<{kind}>")
-    cuts = df.groupBy(*keys).agg(F.when(F.count("*") > SMALL_GROUP, sketch).otherwise(none).alias("_cuts"))
+    wanted = F.least(F.ceil(F.count("*") / BUCKET_ROWS), F.lit(FINEST))
+    sized = df.groupBy(*keys).agg(sketch.alias("_all"), wanted.alias("_wanted"))
+    place = lambda i: F.element_at("_all", F.ceil(i * FINEST / F.col("_wanted")).cast("int"))
+    picked = F.when(F.col("_wanted") > 1, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("_wanted") - 1, F.lit(1).cast("long"))), place)).otherwise(none)
+    cuts = sized.select(*keys, picked.alias("_cuts"))
     if keys:
         joined = df.join(cuts, list(keys))
     else:
-        joined = df.withColumn("_cuts", cuts.scalar())
-    return joined.withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    ).drop("_cuts")
+        joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    below = lambda c: c <= F.col(value)
+    coarse = F.filter("_cuts", lambda c, i: ((i + 1) % STRIDE == 0) & below(c))
+    before = F.size(coarse) * STRIDE
+    fine = F.filter(F.slice("_cuts", F.col("_bucket") + 1, F.lit(STRIDE)), below)
+    return joined.withColumn("_bucket", before).withColumn("_bucket", F.col("_bucket") + F.size(fine)).drop("_cuts")
 
 
 def _running_buckets(bucketed: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:

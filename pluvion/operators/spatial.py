@@ -171,20 +171,35 @@ def snap_outlets(
 ) -> DataFrame:
     """Polygon that holds each outlet, else the nearest one.
 
-    Outlets outside all polygons first look ``reach`` degrees around them; the
-    few without a hit look four times as far, until each has its nearest.
+    Outlets outside all polygons first look ``reach`` units around them; the
+    few without a hit look four times as far, until each has its nearest or
+    the whole extent of outlets and polygons was searched.
     """
     held = points_in_polygons(outlets, polygons, key, ring, tile).groupBy(outlet).agg(F.min(key).alias(key))
     found = cut_lineage(held.withColumn("inside", F.lit(True)))
     loose = cut_lineage(outlets.join(found, outlet, "left_anti").select(outlet, "lon", "lat"))
-    while reach <= 1440 and not loose.isEmpty():
+    farthest = _extent(loose, polygons, ring)
+    while not loose.isEmpty():
         near = cut_lineage(_within_reach(loose, polygons, outlet, key, ring, reach).withColumn("inside", F.lit(False)))
         found = found.unionByName(near)
         loose = cut_lineage(loose.join(near, outlet, "left_anti"))
+        if reach >= farthest:
+            break
         reach *= 4
     return outlets.select(outlet).join(found, outlet, "left")
 
 
+def _extent(points: DataFrame, polygons: DataFrame, ring: str) -> float:
+    """Width and height of the box around all points and rings, added up; 0 without any."""
+    box = bounding_box(F.col(ring))
+    corners = polygons.select(F.inline(F.array(
+        F.struct(box["west"].alias("lon"), box["south"].alias("lat")), F.struct(box["east"].alias("lon"), box["north"].alias("lat"))
+    )))
+    finite = (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf"))
+    span = lambda c: F.max(c) - F.min(c)
+    return points.select("lon", "lat").unionByName(corners).where(finite).agg((span("lon") + span("lat")).alias("v")).first()["v"] or 0.0
+
+
 def _within_reach(points: DataFrame, polygons: DataFrame, point: str, key: str, ring: str, reach: float) -> DataFrame:
     """Nearest polygon of each point whose edges come within ``reach``."""
     span = F.sequence(F.lit(-1), F.lit(1))

@@ -20,5 +20,7 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     status, rows, _, note = compare(spark, name, QUERIES[name], ORACLES.get(name), SF)
-    assert status in ("ok", "rows-only"), note
-    assert not note, note
+    if status == "rows-only":  # it runs, but nothing was compared here
+        assert rows > 0
+        pytest.skip("no SQL twin; held against brute force in its own test")
+    assert status == "ok" and not note, note
