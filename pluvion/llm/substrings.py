@@ -76,8 +76,9 @@ def seeds(docs: DataFrame, window: int) -> DataFrame:
     """``(doc_id, mark, mark2, n_words, anchors)``; the anchors of a text's windows count once."""
     schema = T.StructType.fromDDL("doc_id long, mark long, mark2 long, n_words long, anchors array<long>")
 
+    winnow = Winnow(window)  # every task has its own copy, which goes with it
+
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        winnow = worker(window)
         counts, found = [], []
         for text in texts:
             n, _, anchors = winnow.anchors(text)
@@ -90,22 +91,13 @@ def seeds(docs: DataFrame, window: int) -> DataFrame:
     return map_text(marked(docs.select("doc_id", "text")).select("doc_id", "mark", "mark2", "text"), "text", run, schema)
 
 
-_WORKERS: dict[int, Winnow] = {}
-
-
-def worker(window: int) -> Winnow:
-    if window not in _WORKERS:
-        _WORKERS[window] = Winnow(window)
-    return _WORKERS[window]
-
-
 def extended(docs: DataFrame, window: int) -> DataFrame:
     """``(anchor, window, doc_id, mark, start)`` of the windows around the anchors listed in the column ``shared``."""
     schema = T.StructType.fromDDL("anchor long, window long, doc_id long, mark long, start int")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        winnow = worker(window)
+        winnow = Winnow(window)
         for batch in batches:
             rows, held = [], 0
             for doc_id, mark, shared, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "shared", "text"))):
