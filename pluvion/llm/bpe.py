@@ -330,3 +330,23 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
         return batch.append_column(out, pa.array([coder.decode(x) if x else b"" for x in packed], pa.binary()))
 
     return map_text(tokens, ids, run, T.StructType(tokens.schema.fields + [T.StructField(out, T.BinaryType())]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` without its text, with the columns of :func:`encode` and :func:`decode`, in one pass.
+
+    Both steps share one worker and one vocabulary; the decoder sees nothing
+    but the packed ids. Cases are those of the two functions.
+    """
+    docs = docs.drop(*(c for c in (ids, out) if c in docs.columns))
+    others = [c for c in docs.columns if c != text]
+    fields = [docs.schema[c] for c in others] + T.StructType.fromDDL("i binary, d binary").fields
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip([*others, ids, out], fields)])
+
+    def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        coder = byte_pairs(path, pattern)
+        packed = coder.encode_all([x.decode("utf-8", "replace") if x else "" for x in texts])
+        made = [pa.array(packed, pa.binary()), pa.array(list(map(coder.decode, packed)), pa.binary())]
+        return pa.RecordBatch.from_arrays([*map(batch.column, others), *made], schema.names)
+
+    return map_text(docs, text, run, schema)

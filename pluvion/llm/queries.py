@@ -65,8 +65,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN).drop("text")
-    return bpe.decode(ids, RANKS, PATTERN).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN).select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

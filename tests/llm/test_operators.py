@@ -72,6 +72,14 @@ def test_bpe(docs, none):
     assert bpe.encode(none, PATH, PATTERN).count() == 0
 
 
+def test_round_trip_is_encode_then_decode(docs, none):
+    rows = docs.withColumnRenamed("head", "decoded")
+    both = bpe.round_trip(rows, PATH, PATTERN)
+    apart = bpe.decode(bpe.encode(rows, PATH, PATTERN).drop("text"), PATH, PATTERN).select(both.columns)
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert bpe.round_trip(none, PATH, PATTERN).count() == 0
+
+
 def test_shared_queue_and_own_queue_agree():
     own, draw = bpe.byte_pairs(PATH, PATTERN), random.Random(3)
     pieces = ["".join(draw.choice(draw.choice(("ab", "etaoinshr", "a", "\u00e9\u65e5x0"))) for _ in range(draw.randint(1, 60))) for _ in range(800)]
