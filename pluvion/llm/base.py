@@ -48,6 +48,19 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def representatives(docs: DataFrame, keep: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each ``(doc_id, text_mark)`` of ``keep``, and all rows without an id.
+
+    ``text_mark`` is the hash of the text. Of rows equal in both, that with the smallest hash of the whole row stays.
+    """
+    mark, key, kept_mark, whole = fresh(docs, "text_mark", "kept_id", "kept_mark", "whole")
+    kept = keep.select(F.col("doc_id").alias(key), F.col("text_mark").alias(kept_mark))
+    marked = docs.withColumn(mark, F.xxhash64(text))
+    found = marked.join(kept, (marked[doc_id] == kept[key]) & (marked[mark] == kept[kept_mark]), "left_semi")
+    one = found.groupBy(doc_id, mark).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(whole))
+    return one.select(*(F.col(whole)[c].alias(c) for c in docs.columns)).unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 #: Bytes of one Arrow batch. Texts are long, and a worker holds a batch several times over.
 BATCH_BYTES = 8 << 20
 
