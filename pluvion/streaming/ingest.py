@@ -49,7 +49,10 @@ def _touched(table: DataFrame, batch: DataFrame, partition_by: Sequence[str]) ->
     touched = batch.select(*partition_by).distinct()
     named = touched.limit(PRUNED_PARTITIONS + 1).collect()
     if len(named) > PRUNED_PARTITIONS:
-        return table.join(touched, list(partition_by), "left_semi")
+        same = F.lit(True)
+        for c in partition_by:
+            same = same & F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}"))
+        return table.alias("h").join(touched.alias("t"), same, "left_semi")
     wanted = F.lit(False)
     for row in named:
         match = F.lit(True)

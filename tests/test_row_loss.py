@@ -37,3 +37,17 @@ def test_a_day_over_two_batches(spark, tmp_path):
         ingest.replace_days(stream, f"{tmp_path}/table", f"{tmp_path}/{run}", "day").awaitTermination()
     table = spark.read.parquet(f"{tmp_path}/table")
     assert sorted((r.day, r.value) for r in table.collect()) == [("a", 1.0), ("a", 3.0), ("b", 2.0)]
+
+
+def test_null_partitions_of_a_large_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "PRUNED_PARTITIONS", 1)
+    schema = "day string, value double"
+    for rows in ([(None, 1.0), ("b", 2.0)], [(None, 3.0), ("c", 4.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    whole = [("None", 1.0), ("None", 3.0), ("b", 2.0), ("c", 4.0)]
+    stream = ingest.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_batch=1)
+    ingest.replace_days(stream, f"{tmp_path}/days", f"{tmp_path}/run", "day").awaitTermination()
+    assert sorted((str(r.day), r.value) for r in spark.read.parquet(f"{tmp_path}/days").collect()) == whole
+    for run in ("first", "second"):
+        ingest.append_new_rows(stream, f"{tmp_path}/rows", f"{tmp_path}/{run}", ["day"]).awaitTermination()
+    assert sorted((str(r.day), r.value) for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == whole
