@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvion.llm.base import forest, fresh, map_text, saved
+from pluvion.llm.base import forest, map_text, representatives, saved
 from pluvion.llm.components import components
 
 SHINGLE_BLOCK = 1 << 16
@@ -149,10 +149,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
     """The row with the smallest id of each near-duplicate group, columns unchanged.
 
-    Rows that repeat an id count once; rows without an id belong to no group and stay.
+    Groups are made of fingerprints, so rows that share an id but not a group
+    stand for themselves; in one group they count once, by the smallest text
+    hash. Rows without an id belong to no group and stay.
     """
-    groups = near_groups(docs, doc_id, text, radius, words)
-    (key,) = fresh(docs, "kept_id")
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(keep, docs[doc_id] == keep[key], "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_mark"), F.col(text).alias("text"))
+    marked = saved(fingerprints(plain, words=words), "fingerprints")
+    found = components(ball_links(marked.select(F.col("fingerprint").alias("mark")).distinct(), radius))
+    placed = marked.join(found, marked["fingerprint"] == found["node"], "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    keep = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_mark")).alias("first")).select("first.doc_id", "first.text_mark")
+    return representatives(docs, keep, doc_id, text)

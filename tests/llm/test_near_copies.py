@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pluvion.llm import simhash
 
 
 def shingles(text):
@@ -58,3 +59,12 @@ def test_repeated_ids_keep_the_clean_text(spark):
     want = sorted([(3, texts[0]), (5, texts[1]), (None, texts[1]), (None, None)], key=str)
     assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, None).collect()), key=str) == want
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), None).count() == 0
+
+
+def test_simhash_keeps_the_clean_text_of_a_repeated_id(spark):
+    draw = random.Random(2)
+    texts = [" ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(80)) for _ in range(3)]
+    rows = [(3, texts[0]), (5, texts[0].upper()), (5, texts[1]), (5, texts[1]), (5, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(3, texts[0]), (5, texts[1]), (5, texts[2])])
+    assert sorted(map(tuple, simhash.deduplicate(docs).collect())) == want
