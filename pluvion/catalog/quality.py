@@ -73,8 +73,12 @@ def _text_lines(spark, d, side):
     docs = bind.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
     if side == "a":
         docs = docs.where("file % 7 <> 0")
+    elif side == "whole_a":
+        docs = docs.where("file % 7 <> 0 OR file % 11 = 0")
     elif side == "b":
-        docs = docs.where("file % 11 <> 0").withColumn(
+        docs = docs.where("file % 11 <> 0")
+    if side in ("b", "whole_b"):
+        docs = docs.where("file % 11 <> 0 OR file % 7 = 0").withColumn(
             "text", F.when(F.col("file") % 3 == 0, F.concat("text", F.lit("\n1,2,3"))).otherwise(F.col("text"))
         )
     return docs.select("file", F.md5("text").alias("digest"), F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
@@ -113,7 +117,7 @@ def file_pair_status(spark, d):
 
 @query("file_pair_report")
 def file_pair_report(spark, d):
-    pairs = profile.compare_profiles(_profiles(spark, d, "a"), _profiles(spark, d, "b"), "file", "digest")
+    pairs = profile.compare_profiles(_profiles(spark, d, "whole_a"), _profiles(spark, d, "whole_b"), "file", "digest")
     return pairs.groupBy("status", "severity", "statistical_difference", "header_mismatch", "format_mismatch", "column_mismatch").agg(F.count("*").alias("n"))
 
 
