@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvion.llm import bpe, embeddings, licenses, mixing, quality, sharding, simhash, substrings, topk, toxicity
+from pluvion.llm import ballcodes, bpe, embeddings, hardneg, langid, licenses, mixing, quality, sharding, simhash, substrings, topk, toxicity
 from pluvion.llm.base import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -192,3 +192,81 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs.select("doc_id", "text", "lang"))
+    found = langid.predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    """
+    with usable as (
+      select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+      from embeddings
+      where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+      select a.vec_id as anchor_id, r.vec_id as other_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+      from usable a join usable r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0
+    ), positives as (
+      select anchor_id, other_id as positive_id, score as positive_score from scored where same
+      qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+    )
+    select anchor_id, positive_id, row_number() over within_window::integer as rank, s.other_id as negative_id, positive_score, s.score as negative_score
+    from positives join scored s using (anchor_id)
+    where not s.same and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+    window within_window as (partition by anchor_id, positive_id order by s.score desc, s.other_id)
+    qualify row_number() over within_window <= 5
+    """
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    """
+    with kept as (
+      select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), parts as (
+      select vec_id, label, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] as x from kept, range(16) as places(p)
+    ), book0 as (
+      select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c
+      from parts where vec_id in (select vec_id from kept order by vec_id limit 64)
+    ), near1 as (
+      select vec_id, p, any_value(x) as x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) ** 2))::bigint, e := e)) as best
+      from parts join book0 using (p) group by vec_id, p
+    ), means1 as (
+      select p, e, list(m order by k) as c from (
+        select p, best.e as e, k, floor(sum(x[k])::double / count(*))::bigint as m from near1, range(1, 1025) as t(k) where k <= len(x) group by all
+      ) group by p, e
+    ), book1 as (
+      select p, e, coalesce(means1.c, book0.c) as c from book0 left join means1 using (p, e)
+    ), near2 as (
+      select vec_id, p, any_value(x) as x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) ** 2))::bigint, e := e)) as best
+      from parts join book1 using (p) group by vec_id, p
+    ), means2 as (
+      select p, e, list(m order by k) as c from (
+        select p, best.e as e, k, floor(sum(x[k])::double / count(*))::bigint as m from near2, range(1, 1025) as t(k) where k <= len(x) group by all
+      ) group by p, e
+    ), book2 as (
+      select p, e, coalesce(means2.c, book1.c) as c from book1 left join means2 using (p, e)
+    ), near3 as (
+      select vec_id, p, any_value(label) as label, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) ** 2))::bigint, e := e)) as best
+      from parts join book2 using (p) group by vec_id, p
+    ), coded as (
+      select vec_id, any_value(label) as label, string_agg(lpad(lower(hex(best.e)), 2, '0'), '' order by p) as code, sum(best.d)::bigint as error
+      from near3 group by vec_id
+    ), told as (
+      select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from book2
+    )
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded, told
+    """
+)
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ballcodes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
