@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvion.llm.base import map_text, utf8
+from pluvion.llm.base import forget, map_text, saved, utf8
 
 #: Bounds of the sample the classifiers are fitted on: rows of one language, rows in all, bytes of one text.
 LANGUAGE_ROWS, SAMPLE_ROWS, SAMPLE_BYTES = 1000, 5000, 12_000
@@ -214,7 +214,7 @@ def fit_languages(
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= most_bytes))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = saved(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # of known size, so that texts are not dealt out by language
     drawn = usable.select("doc_id", "lang", F.xxhash64("text").alias("mark"), draw.alias("draw"))
     drawn = drawn.join(counts, "lang").where(F.col("draw") * F.col("n") <= 2 * language_rows + 50)
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "mark")
@@ -222,6 +222,7 @@ def fit_languages(
     wanted = ranked.where(F.col("place") <= language_rows).orderBy("place", "draw", "lang").limit(rows).select("doc_id", "lang", "mark")
     joined = usable.withColumn("mark", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "lang", "mark"])
     sample = sorted((r.lang, r.text) for r in joined.groupBy("doc_id", "lang", "mark").agg(F.min("text").alias("text")).collect())
+    forget(counts)
     return FamilyTree(families).fit([text for _, text in sample], [lang for lang, _ in sample])
 
 
