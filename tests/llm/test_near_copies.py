@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from pluvion.llm import simhash
+from pluvion.llm import minhash, simhash
 
 
 def shingles(text):
@@ -68,3 +68,64 @@ def test_simhash_keeps_the_clean_text_of_a_repeated_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted([(3, texts[0]), (5, texts[1]), (5, texts[2])])
     assert sorted(map(tuple, simhash.deduplicate(docs).collect())) == want
+
+
+def copies(members, least, most, words=150):
+    """Copies of one text with ``least`` to ``most`` words changed."""
+    draw = random.Random(members)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(words)]
+    out = []
+    for _ in range(members):
+        text = list(base)
+        for at in draw.sample(range(words), draw.randint(least, most)):
+            text[at] = word()
+        out.append(" ".join(text))
+    return out
+
+
+def compared(spark, monkeypatch, texts):
+    """Component of every text, and the number of pairs that were compared."""
+    pairs, kept = [], minhash.saved
+
+    def counted(df, name):
+        made = kept(df, name)
+        if name == "pairs":
+            pairs.append(made.count())
+        return made
+
+    monkeypatch.setattr(minhash, "saved", counted)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_mark long, text string")
+    nodes, found = minhash.near_groups(docs)
+    ids = {r.key: r.doc_id for r in nodes.collect()}
+    group = {}
+    for r in found.collect():
+        group.setdefault(r.component, []).append(ids[r.node])
+    monkeypatch.undo()
+    return sorted(sorted(g) for g in group.values()), sum(pairs)
+
+
+def test_pairs_grow_with_a_group_that_does_not_link(spark, monkeypatch):
+    seen = []
+    for members in (200, 400, 800):
+        groups, pairs = compared(spark, monkeypatch, copies(members, 5, 6))
+        assert groups == []
+        seen.append(pairs)
+    assert seen[0] < 200 * 16 and seen[2] < 3 * seen[1] < 9 * seen[0]
+
+
+def test_chains_of_copies_find_every_link(spark, monkeypatch):
+    texts = list(dict.fromkeys(copies(260, 0, 9)))
+    sets = [shingles(t) for t in texts]
+    low = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if jaccard(sets[a], sets[b]) >= 0.8 and low[a] != low[b]:
+                x, y = sorted((low[a], low[b]))
+                low = [x if v == y else v for v in low]
+    want = {}
+    for i, x in enumerate(low):
+        want.setdefault(x, []).append(i)
+    groups, pairs = compared(spark, monkeypatch, texts)
+    assert groups == sorted(g for g in want.values() if len(g) > 1) and len(groups) > 0
+    assert pairs < len(texts) * 30
