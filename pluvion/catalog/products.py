@@ -152,7 +152,7 @@ fd AS (SELECT zone_id, sum(pd * w) / sum(w) AS pd, sum(p1 * w) / sum(w) AS p1, c
           round_even(greatest(sc, hs), 4) AS spatial_coverage, round_even(sc, 4) AS spatial_cov_mean_p, round_even(hs, 4) AS hotspot_fraction, round_even(sp, 4) AS forecast_spread, round_even(e5, 4) AS ens_min_spi, round_even(emm, 4) AS ens_min_spi_mean,
           round_even(emp, 4) AS ens_min_spi_peak, round_even(m1, 4) AS ens_mean_lead1_spi, round_even(l1, 4) AS ens_min_lead1_spi, round_even(h1, 4) AS ens_max_lead1_spi,
           CASE WHEN sp IS NULL THEN 'Medium' WHEN sp < 0.5 THEN 'High' WHEN sp < 0.9 THEN 'Medium' ELSE 'Low' END AS forecast_agreement, '1998-12-01' AS target_date
-        FROM (SELECT n_nationkey AS z FROM nation WHERE n_nationkey < 14) LEFT JOIN ob ON ob.zone_id = z LEFT JOIN fd ON fd.zone_id = z""",
+        FROM (SELECT n_nationkey AS z FROM nation) LEFT JOIN ob ON ob.zone_id = z LEFT JOIN fd ON fd.zone_id = z""",
         _EVID,
     ),
 )
@@ -168,13 +168,71 @@ def district_evidence(spark, d):
         (F.col("raw").cast("double") * 10).alias("spi"), (-0.5 - 0.01 * (F.col("cell") % 50)).alias("rp"), F.lit(False).alias("fallback"),
     )
     cells = evidence.forecast_cells(f, -1.0, members=6)
-    districts = bind.table(spark, d, "nation").where("n_nationkey < 14").select(F.col("n_nationkey").alias("zone_id"))
+    districts = bind.table(spark, d, "nation").select(F.col("n_nationkey").alias("zone_id"))
     out = evidence.district_evidence(districts, o, cells, last, F.lit("1998-12-01").cast("date"))
     return out.select(
         "zone_id", *evidence.ROUNDED, "current_spi3_category", "spi3_trend", "forecast_agreement", "target_date"
     )
 
 
+_SEASON = """
+rq AS (SELECT n_nationkey AS zone_id, make_date(CASE WHEN n_nationkey >= 20 THEN 1998 ELSE 1997 END, 1 + n_nationkey % 12, 1) AS init, ['MAM', 'JJA', 'OND', 'DJF'][1 + n_nationkey % 4] AS season,
+         [5, 8, 11, 2][1 + n_nationkey % 4] AS anchor FROM nation),
+rs AS (SELECT *, CASE WHEN (anchor - month(init) + 12) % 12 BETWEEN 1 AND 6 THEN (anchor - month(init) + 12) % 12 END AS lead, year(init) * 12 + month(init) - 1 AS im,
+         (year(init) + CASE WHEN anchor < month(init) OR (season = 'DJF' AND anchor = month(init)) THEN 1 ELSE 0 END) * 12 + anchor - 1 AS tm FROM rq),
+oc AS (SELECT o_custkey % 25 AS zone_id, CAST(o_custkey % 20 AS DOUBLE) - 10 AS lat, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS m,
+         least(greatest((o_totalprice - 250000) / 60000, -4), 4) AS spi FROM orders),
+f0 AS (SELECT vec_id // 4 AS cell, 1997 * 12 + 3 * (vec_id % 4) AS im, 1 + (i - 1) % 8 AS lead, (i - 1) // 8 AS member, least(greatest(CAST(embedding[i] AS DOUBLE) * 10, -4), 4) AS spi
+       FROM embeddings, unnest(generate_series(1, len(embedding))) t(i)),
+rl AS (SELECT *, (SELECT max(m) FROM oc WHERE m <= tm) AS lm, (SELECT max(f0.im) FROM f0 WHERE f0.im <= rs.im) AS sm FROM rs),
+om AS (SELECT rl.zone_id, oc.m, lm, sum(spi * cos(radians(lat))) / sum(cos(radians(lat))) AS v FROM oc JOIN rl ON rl.zone_id = oc.zone_id AND oc.m BETWEEN lm - 5 AND lm GROUP BY ALL),
+ob AS (SELECT zone_id, max(v) FILTER (m = lm) AS cur, CASE WHEN count(v) = 6 THEN regr_slope(v, m) END AS slope FROM om GROUP BY zone_id),
+pc AS (SELECT rl.zone_id, cell, CAST(cell % 20 AS DOUBLE) - 10 AS lat, avg(CASE WHEN cell % 11 <> 0 AND spi <= -0.3 - 0.01 * (cell % 50) - 0.05 * f0.lead THEN 1.0 ELSE 0.0 END) AS pd, avg(spi) AS m1, min(spi) AS em, max(spi) AS h1, stddev_pop(spi) AS sp,
+         max(CASE WHEN cell % 11 <> 0 AND spi <= -0.3 - 0.01 * (cell % 50) - 0.05 * f0.lead THEN 1.0 ELSE 0.0 END) AS cr, cos(radians(CAST(cell % 20 AS DOUBLE) - 10)) AS w
+       FROM f0 JOIN rl ON rl.zone_id = cell % 25 AND f0.im = sm AND f0.lead = rl.lead WHERE member < 6 GROUP BY rl.zone_id, cell),
+fd AS (SELECT zone_id, sum(pd * w) / sum(w) AS pd, coalesce(sum(w) FILTER (pd >= 0.5), 0) / sum(w) AS sc, coalesce(sum(w) FILTER (cr >= 0.5), 0) / sum(w) AS hs, sum(sp * w) / sum(w) AS sp,
+         sum(em * w) / sum(w) AS emm, min(em) AS emp, sum(m1 * w) / sum(w) AS m1, sum(h1 * w) / sum(w) AS h1, quantile_cont(em, 0.05) AS e5 FROM pc GROUP BY zone_id)
+"""
+
+_SEASON_COLUMNS = """zone_id, season, CAST(lead AS INTEGER) AS lead, round_even(cur, 4) AS current_spi3, CASE WHEN cur IS NULL THEN 'Unknown' WHEN cur < -1.5 THEN 'Severe_Drought' WHEN cur < -1 THEN 'Moderate_Drought' WHEN cur < -0.5 THEN 'Mild_Drought' WHEN cur < 0.5 THEN 'Normal' ELSE 'Above_Normal' END AS current_spi3_category,
+  CASE WHEN slope > 0.1 THEN 'Improving' WHEN slope < -0.1 THEN 'Deteriorating' ELSE 'Stable' END AS spi3_trend, round_even(slope, 4) AS trend_slope_spi_per_month, round_even(pd, 4) AS forecast_deficit_prob, round_even(pd, 4) AS deficit_prob_lead1,
+  round_even(greatest(sc, hs), 4) AS spatial_coverage, round_even(sc, 4) AS spatial_cov_mean_p, round_even(hs, 4) AS hotspot_fraction, round_even(sp, 4) AS forecast_spread, round_even(e5, 4) AS ens_min_spi, round_even(emm, 4) AS ens_min_spi_mean,
+  round_even(emp, 4) AS ens_min_spi_peak, round_even(m1, 4) AS ens_mean_lead1_spi, round_even(emm, 4) AS ens_min_lead1_spi, round_even(h1, 4) AS ens_max_lead1_spi,
+  CASE WHEN sp IS NULL THEN 'Medium' WHEN sp < 0.5 THEN 'High' WHEN sp < 0.9 THEN 'Medium' ELSE 'Low' END AS forecast_agreement, strftime(make_date(tm // 12, 1 + tm % 12, 1), '%Y-%m-%d') AS target_date"""
+
+
+def _seasonal_inputs(spark, d):
+    """Season requests of the nations, monthly cells, forecast starts of every third month and limits by cell and lead."""
+    k, cell = F.col("n_nationkey"), F.col("cell")
+    requests = bind.table(spark, d, "nation").select(
+        k.alias("zone_id"), F.make_date(F.when(k >= 20, 1998).otherwise(1997), (k % 12 + 1).cast("int"), F.lit(1)).alias("init_date"),
+        F.element_at(F.array(*map(F.lit, ("MAM", "JJA", "OND", "DJF"))), (k % 4 + 1).cast("int")).alias("season"),
+    )
+    obs = bind.table(spark, d, "orders").select(
+        (F.col("o_custkey") % 25).alias("zone_id"), ((F.col("o_custkey") % 20).cast("double") - 10).alias("lat"),
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("m"), ((F.col("o_totalprice") - 250000) / 60000).alias("spi"), F.lit(False).alias("fallback"),
+    )
+    v, pos = F.col("vec_id"), F.col("pos")
+    fcst = bind.table(spark, d, "embeddings").select(
+        F.floor(v / 4).alias("cell"), (F.lit(1997 * 12) + 3 * (v % 4)).cast("int").alias("init_m"), F.posexplode("embedding").alias("pos", "raw")
+    ).select(
+        (cell % 25).alias("zone_id"), "cell", ((cell % 20).cast("double") - 10).alias("lat"), "init_m", (pos % 8 + 1).alias("lead"), F.floor(pos / 8).alias("member"),
+        (F.col("raw").cast("double") * 10).alias("spi"), F.lit(False).alias("fallback"),
+    )
+    places = bind.table(spark, d, "embeddings").select(F.floor(v / 4).alias("cell")).distinct().where(cell % 11 != 0)
+    limits = places.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    limits = limits.withColumn("limit", F.lit(-0.3) - F.lit(0.01) * (cell % 50) - F.lit(0.05) * F.col("lead"))
+    return requests, obs, fcst, limits
+
+
+@query("seasonal_evidence", bind.with_sql(f"SELECT {_SEASON_COLUMNS} FROM rl LEFT JOIN ob USING (zone_id) LEFT JOIN fd USING (zone_id)", _SEASON))
+def seasonal_evidence(spark, d):
+    out = evidence.seasonal_evidence(*_seasonal_inputs(spark, d), members=6)
+    return out.select(
+        "zone_id", "season", "lead", *evidence.ROUNDED, "current_spi3_category", "spi3_trend", "forecast_agreement", "target_date"
+    )
+
+
 def _index(spark, d):
     monthly = (
         bind.series(spark, d)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvion.functions import categories as C
+from pluvion.functions import dates
 from pluvion.functions.soft import add_soft_columns
 from pluvion.operators import ensemble, temporal, zonal
 from pluvion.operators.quantiles import exact_quantiles
@@ -14,17 +15,19 @@ from pluvion.operators.quantiles import exact_quantiles
 def observed(obs: DataFrame, last: Column, months: int = 6, clip_at: float = 4.0) -> DataFrame:
     """Current value and trend per zone from monthly cells.
 
-    ``obs`` has zone_id, lat, m (month number), spi and fallback. Zones that
-    stand on their nearest cell only have no trend.
+    ``obs`` has zone_id, lat, m (month number), spi and fallback; ``last`` is the
+    window's last month, one value or a column that is constant in a zone. Zones
+    that stand on their nearest cell only have no trend.
     """
-    window = obs.where((F.col("m") > last - months) & (F.col("m") <= last)).withColumn(
-        "spi", ensemble.clip(F.col("spi"), clip_at)
+    window = obs.withColumns({"_last": last, "spi": ensemble.clip(F.col("spi"), clip_at)}).where(
+        (F.col("m") > F.col("_last") - months) & (F.col("m") <= F.col("_last"))
     )
     monthly = window.groupBy("zone_id", "m").agg(
-        zonal.weighted_mean(F.col("spi"), zonal.latitude_weight(F.col("lat"))).alias("v"), F.bool_or("fallback").alias("fallback")
+        zonal.weighted_mean(F.col("spi"), zonal.latitude_weight(F.col("lat"))).alias("v"),
+        F.bool_or("fallback").alias("fallback"), F.max("_last").alias("_last"),
     )
     slopes = temporal.trend_slope(monthly.where(~F.col("fallback")), ["zone_id"], "m", "v", months, "slope")
-    current = monthly.where(F.col("m") == last).select("zone_id", F.col("v").alias("current_spi3"))
+    current = monthly.where(F.col("m") == F.col("_last")).select("zone_id", F.col("v").alias("current_spi3"))
     return current.join(slopes, "zone_id", "left")
 
 
@@ -83,17 +86,62 @@ def district_evidence(
     zones: DataFrame, obs: DataFrame, fcst_cells: DataFrame, last: Column, target_date: Column, months: int = 6,
     band: float = C.TREND_BAND, soft: bool = False,
 ) -> DataFrame:
-    """One evidence row per district.
+    """One evidence row per district from its months up to ``last`` and all leads of the forecast."""
+    rows = zones.join(observed(obs, last, months), "zone_id", "left").join(forecast(fcst_cells), "zone_id", "left")
+    return _told(rows, target_date, band, soft)
 
-    For the seasonal form pass cells of the single lead that reaches the
-    season, computed with the per-cell threshold.
+
+def season_requests(requests: DataFrame) -> DataFrame:
+    """``requests(zone_id, init_date, season)`` with ``lead``, ``target`` and the month numbers ``init_m`` and ``target_m``.
+
+    The lead is the one whose three-month window ends with the season; it is
+    NULL for an unknown season or one that no lead from 1 to 6 reaches.
     """
-    rows = (
-        zones.join(observed(obs, last, months), "zone_id", "left")
-        .join(forecast(fcst_cells), "zone_id", "left")
-        .withColumnRenamed("slope", "trend_slope_spi_per_month")
+    number = lambda c: F.year(c) * 12 + F.month(c) - 1
+    return requests.withColumns(
+        {"lead": dates.season_lead(F.month("init_date"), F.col("season")), "target": dates.season_month(F.col("init_date"), F.col("season"))}
+    ).withColumns({"init_m": number("init_date"), "target_m": number("target")})
+
+
+def _latest(asked: DataFrame, held: DataFrame, wish: str, have: str, name: str) -> DataFrame:
+    """``(wish, name)``: the largest held value up to each one asked for, from the union of both in order of their months."""
+    both = asked.select(F.col(wish).alias("v"), F.lit(None).cast("int").alias("h")).where("v is not null").unionByName(
+        held.select(F.col(have).alias("v"), F.col(have).cast("int").alias("h"))
     )
-    rows = rows.withColumns(
+    span = both.groupBy("v").agg(F.max("h").alias("h"))  # at most one row a month
+    filled = span.withColumn(name, F.max("h").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return filled.select(F.col("v").alias(wish), name)
+
+
+def seasonal_evidence(
+    requests: DataFrame, obs: DataFrame, fcst: DataFrame, thresholds: DataFrame, months: int = 6, band: float = C.TREND_BAND,
+    members: int = 25, soft: bool = False,
+) -> DataFrame:
+    """One evidence row per district for the season that it asks for, all districts in one plan.
+
+    ``requests`` has zone_id, init_date and season. The forecast (``fcst``:
+    zone_id, cell, lat, init_m, lead, member, spi, fallback) is read at the
+    latest start up to the district's and at the one lead that reaches its
+    season; ``thresholds(cell, lead, limit)`` gives the deficit limit and the
+    return-period limit of a cell at that lead. The observed window ends with
+    the latest month up to the season's. Districts whose season is out of reach
+    have observed values up to their target and no forecast; cells without a
+    limit have no deficit.
+    """
+    asked = season_requests(requests)
+    asked = asked.join(_latest(asked, obs.select("m").distinct(), "target_m", "m", "last_m"), "target_m", "left")
+    asked = asked.join(_latest(asked, fcst.select("init_m").distinct(), "init_m", "init_m", "start_m"), "init_m", "left")
+    seen = observed(obs.join(asked.select("zone_id", "last_m"), "zone_id"), F.col("last_m"), months)
+    wanted = asked.where("lead is not null").select("zone_id", F.col("start_m").alias("init_m"), "lead")
+    rows = fcst.join(wanted, ["zone_id", "init_m", "lead"]).join(thresholds.select("cell", "lead", "limit"), ["cell", "lead"], "left")
+    cells = forecast_cells(rows, "limit", "limit", members)
+    joined = asked.select("zone_id", "season", "lead", "target").join(seen, "zone_id", "left").join(forecast(cells), "zone_id", "left")
+    return _told(joined, F.col("target"), band, soft)
+
+
+def _told(rows: DataFrame, target_date: Column, band: float, soft: bool) -> DataFrame:
+    """Categories, labels, the date and the optional soft columns, values rounded."""
+    rows = rows.withColumnRenamed("slope", "trend_slope_spi_per_month").withColumns(
         {
             "current_spi3_category": C.spi_label(F.col("current_spi3")),
             "spi3_trend": C.state_label(C.trend_index(F.col("trend_slope_spi_per_month"), band), C.TREND_STATES),
