@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pluvion.catalog import bind
-from pluvion.operators import align, spatial, terrain, zonal
+from pluvion.operators import align, graph, polygons, spatial, terrain, zonal
 
 QUERIES, ORACLES, query = bind.area()
 
@@ -41,7 +41,7 @@ def zones(spark, d):
 
 @query("spatial_pip", bind.with_sql("SELECT id, zone FROM hit", POINT_SQL))
 def spatial_pip(spark, d):
-    return spatial.points_in_polygons(points(spark, d), zones(spark, d), "zone", "ring", 1.0).select("id", "zone")
+    return polygons.points_in_polygons(points(spark, d), zones(spark, d), "zone", "ring", 1.0).select("id", "zone")
 
 
 @query("rasterise_last", bind.with_sql("SELECT id, max(zone) AS zone FROM hit GROUP BY id", POINT_SQL))
@@ -55,7 +55,7 @@ def rasterise_last(spark, d):
     bind.with_sql("SELECT zone, count(*) AS n, round(avg(lon), 6) AS mean_lon FROM pts JOIN hit USING (id) GROUP BY zone", POINT_SQL),
 )
 def point_count_by_tile(spark, d):
-    hits = spatial.points_in_polygons(points(spark, d), zones(spark, d), "zone", "ring", 0.37)
+    hits = polygons.points_in_polygons(points(spark, d), zones(spark, d), "zone", "ring", 0.37)
     return hits.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("mean_lon"))
 
 
@@ -70,7 +70,58 @@ def point_count_by_tile(spark, d):
     ),
 )
 def outlet_snap(spark, d):
-    return spatial.snap_outlets(points(spark, d), zones(spark, d), "id", "zone", "ring", 1.0, 0.4)
+    return polygons.snap_outlets(points(spark, d), zones(spark, d), "id", "zone", "ring", 0.4)
+
+
+_NEAR_SQL = """
+far AS (SELECT p.id, zone, lon, lat, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM pts p, edge),
+t AS (SELECT *, least(greatest(((lon - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy), 0), 1) AS u FROM far),
+ring_d AS (SELECT id, zone, min(sqrt(power(lon - x1 - u * dx, 2) + power(lat - y1 - u * dy, 2))) AS d FROM t GROUP BY id, zone),
+dist AS (SELECT id, zone, CASE WHEN hit.id IS NULL THEN d ELSE 0 END AS d FROM ring_d LEFT JOIN hit USING (id, zone))
+"""
+
+
+@query("polygons_near", bind.with_sql("SELECT id, zone, round(d, 9) AS distance FROM dist WHERE d <= 0.5", POINT_SQL, _NEAR_SQL))
+def polygons_near(spark, d):
+    out = polygons.polygons_within(points(spark, d), zones(spark, d), "id", "zone", "ring", 0.5)
+    return out.withColumn("distance", F.round("distance", 9))
+
+
+@query(
+    "smart_snap",
+    bind.with_sql(
+        """, flow AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey >= 5 THEN n_nationkey - 5 END AS nxt, (n_nationkey * 17 % 29 + 3)::DOUBLE AS area FROM nation),
+        up AS (SELECT a.node, sum(b.area) AS area FROM flow a JOIN flow b ON b.node >= a.node AND (b.node - a.node) % 5 = 0 GROUP BY a.node),
+        cand AS (SELECT id, zone FROM dist WHERE d <= 0.2), n AS (SELECT id, count(*) AS n FROM cand GROUP BY id),
+        every AS (SELECT * FROM cand UNION ALL SELECT id, arg_min(zone, (d, zone)) FROM dist WHERE id NOT IN (SELECT id FROM cand) GROUP BY id),
+        score AS (SELECT id, zone, CASE WHEN id % 3 = 0 THEN -area ELSE abs(ln(area / (20 + id % 60))) END AS s FROM every JOIN up ON up.node = zone)
+        SELECT id, arg_min(zone, (s, zone)) AS node, coalesce(any_value(n), 0) AS n_candidates FROM score LEFT JOIN n USING (id) GROUP BY id""",
+        POINT_SQL, _NEAR_SQL,
+    ),
+)
+def smart_snap(spark, d):
+    k = F.col("n_nationkey")
+    flow = bind.table(spark, d, "nation").select(k.alias("node"), F.when(k >= 5, k - 5).alias("next"), (k * 17 % 29 + 3).cast("double").alias("area"))
+    sites = points(spark, d).withColumn("target", F.when(F.col("id") % 3 != 0, (F.col("id") % 60 + 20).cast("double")))
+    return graph.smart_snap(sites, zones(spark, d), flow, "id", "zone", "ring", "area", "target", 0.2)
+
+
+@query(
+    "zone_cells",
+    bind.with_sql(
+        """, c AS (SELECT zone, "row", col FROM (SELECT zone, x, unnest(range(CAST(floor((y - 0.5e0) / 0.125e0) AS BIGINT), CAST(floor((y + 2.3e0) / 0.125e0) AS BIGINT) + 1)) AS "row" FROM zones),
+          LATERAL (SELECT unnest(range(CAST(floor((x - 0.3e0) / 0.125e0) AS BIGINT), CAST(floor((x + 2.2e0) / 0.125e0) AS BIGINT) + 1)) AS col) q),
+        inner_cells AS (SELECT c.zone, "row", col FROM c JOIN edge USING (zone) WHERE (y1 > ("row" + 0.5e0) * 0.125e0) <> (y2 > ("row" + 0.5e0) * 0.125e0)
+          AND (col + 0.5e0) * 0.125e0 < (x2 - x1) * (("row" + 0.5e0) * 0.125e0 - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+        slab AS (SELECT zone, "row", col, (col * 0.125e0 - x1) / (x2 - x1) AS ta, (col * 0.125e0 + 0.125e0 - x1) / (x2 - x1) AS tb, ("row" * 0.125e0 - y1) / (y2 - y1) AS ua, ("row" * 0.125e0 + 0.125e0 - y1) / (y2 - y1) AS ub FROM c JOIN edge USING (zone)),
+        met AS (SELECT DISTINCT zone, "row", col FROM slab WHERE greatest(0, least(ta, tb), least(ua, ub)) <= least(1, greatest(ta, tb), greatest(ua, ub)))
+        SELECT zone, "row", count(*) AS n_cells, min(col) AS first_col, max(col) AS last_col FROM (SELECT * FROM inner_cells UNION SELECT * FROM met) GROUP BY zone, 2""",
+        POINT_SQL,
+    ),
+)
+def zone_cells(spark, d):
+    cells = polygons.touched_cells(zones(spark, d), "zone", "ring", 0.125)
+    return cells.groupBy("zone", "row").agg(F.count("*").alias("n_cells"), F.min("col").alias("first_col"), F.max("col").alias("last_col"))
 
 
 @query(
@@ -108,7 +159,7 @@ def empty_zone_fallback(spark, d):
     rows, cols = p.select(half("lat").alias("lat")).distinct(), p.select(half("lon").alias("lon")).distinct()
     across = cols.agg(F.collect_set("lon")).scalar()  # half degrees: 721 at most
     cells = rows.select("lat", F.explode(across).alias("lon")).withColumn("v", F.col("lat") * 10 + F.col("lon"))
-    hits = spatial.points_in_polygons(p, zones(spark, d), "zone", "ring", 1.0).where("zone % 3 <> 0")
+    hits = polygons.points_in_polygons(p, zones(spark, d), "zone", "ring", 1.0).where("zone % 3 <> 0")
     reduced = hits.groupBy("zone").agg(F.round(F.avg("lat"), 6).alias("value"))
     out = zonal.fill_empty_zones(zones(spark, d), reduced, cells, "zone", "value", "v")
     return out.select("zone", F.round("value", 6).alias("value"))
@@ -128,7 +179,7 @@ def domain_clip(spark, d):
     z = zones(spark, d)
     domain = z.where("zone IN (6, 7, 8, 12)").select(F.col("zone").alias("dom"), "ring")
     kept = spatial.representative_inside(z, domain, "zone", "dom", "ring", 1.0)
-    return spatial.points_in_polygons(points(spark, d), kept, "zone", "ring", 1.0).select("id", "zone")
+    return polygons.points_in_polygons(points(spark, d), kept, "zone", "ring", 1.0).select("id", "zone")
 
 
 @query(
@@ -141,7 +192,7 @@ def domain_clip(spark, d):
     ),
 )
 def overlap_share(spark, d):
-    hits = spatial.points_in_polygons(points(spark, d), zones(spark, d), "zone", "ring", 1.0)
+    hits = polygons.points_in_polygons(points(spark, d), zones(spark, d), "zone", "ring", 1.0)
     basins = hits.groupBy("id").agg(F.min("zone").alias("basin"))
     countries = hits.groupBy("id").agg((F.max("zone") % 5).alias("country"))
     out = spatial.overlap_shares(basins, countries, "basin", "country", ["id"])
@@ -163,7 +214,7 @@ def building_coverage(spark, d):
     size = 0.02 + (F.col("id") % 5) * 0.01
     pt = lambda dx, dy: F.struct((F.col("lon") + size * dx).alias("lon"), (F.col("lat") + size * dy).alias("lat"))
     houses = p.select("id", F.array(pt(0, 0), pt(1, 0), pt(1, 1), pt(0, 1)).alias("ring"))
-    out = spatial.coverage_fraction(houses, "id", "ring", 0.1)
+    out = polygons.coverage_fraction(houses, "id", "ring", 0.1)
     return out.withColumn("fraction", F.round("fraction", 6))
 
 

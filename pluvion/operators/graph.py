@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pluvion.operators.polygons import nearest_polygons, polygons_within
 from pluvion.session import cut_lineage
 
 # Row and column step of each drainage code; 5 is a pit.
@@ -518,3 +519,24 @@ def best_outlet(candidates: DataFrame, areas: DataFrame, group: str, target: Col
     return scored.withColumn("_score", score).groupBy(group).agg(
         F.min_by("node", F.struct("_score", "node")).alias("node")
     )
+
+
+def smart_snap(
+    points: DataFrame, polygons: DataFrame, edges: DataFrame, point: str, key: str, ring: str, area: str, target: str, radius: float = 0.5
+) -> DataFrame:
+    """``(point, node, n_candidates)``: the polygon within ``radius`` of each point whose upstream area fits the point's ``target`` best.
+
+    Candidates of all points are found at once (distance 0 inside a polygon);
+    a point without any takes the nearest polygon. The areas come from one fold
+    over the network, so no basin is walked per candidate. Points with a NULL
+    target take the largest area; the lower node wins a tie. ``key`` names the
+    polygons and is the node of ``edges``.
+    """
+    near = cut_lineage(polygons_within(points, polygons, point, key, ring, radius).select(point, F.col(key).alias("node")))
+    lonely = points.join(near.select(point).distinct(), point, "left_anti")
+    nearest = nearest_polygons(lonely, polygons, point, key, ring, radius).select(point, F.col(key).alias("node"))
+    candidates = near.unionByName(nearest).join(points.select(point, F.col(target).alias("_target")), point)
+    areas = fold_upstream(edges, {"upstream_area": area}, "sum").select("node", "upstream_area")
+    counts = near.groupBy(point).agg(F.count("*").alias("n_candidates"))
+    best = best_outlet(candidates, areas, point, F.col("_target"))
+    return best.join(counts, point, "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0).cast("bigint")))

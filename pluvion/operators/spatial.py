@@ -1,10 +1,4 @@
-"""Polygons, points and gauges without a geometry engine.
-
-Polygons are rows with a ring of points. They are cut into square tiles once;
-each tile row carries only the edges that can decide a point inside that tile.
-A point then needs one equality join on its tile and a row-local parity count,
-so nothing is grouped per point and no polygon meets a point outside its tiles.
-"""
+"""Extents, site matching, overlap shares, rasters and gauges. Polygons are rows with a ring of points; see ``polygons``."""
 
 from __future__ import annotations
 
@@ -13,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pluvion.session import cut_lineage
+from pluvion.operators.polygons import points_in_polygons
 
 
 def bounding_box(ring: Column) -> Column:
@@ -34,89 +28,12 @@ def snapped_extent(points: DataFrame, lon: str, lat: str, res: float) -> DataFra
     return box.withColumns({"n_cols": size("west", "east"), "n_rows": size("south", "north")})
 
 
-def polygon_tiles(polygons: DataFrame, key: str, ring: str, tile: float, carry: Sequence[str] = ()) -> DataFrame:
-    """``(key, tx, ty, edges)``: tiles a polygon's box touches with the edges that matter there.
-
-    For a ray to the east an edge counts in a tile when its latitude span meets
-    the tile's and it does not lie wholly west of the tile.
-    """
-    points = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), F.col(ring)).otherwise(
-        F.concat(F.col(ring), F.array(F.element_at(ring, 1)))
-    )
-    edges = F.zip_with(
-        F.slice("_pts", F.lit(1), F.size("_pts") - 1), F.slice("_pts", F.lit(2), F.size("_pts") - 1),
-        lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")),
-    )
-    at = lambda v: F.floor(v / tile).cast("bigint")
-    spread = (
-        polygons.select(key, *carry, points.alias("_pts"))
-        .withColumn("_box", bounding_box(F.col("_pts")))
-        .withColumn("_edges", edges)
-        .withColumn("tx", F.explode(F.sequence(at(F.col("_box.west")), at(F.col("_box.east")))))
-        .withColumn("ty", F.explode(F.sequence(at(F.col("_box.south")), at(F.col("_box.north")))))
-    )
-    south, west = F.col("ty") * tile, F.col("tx") * tile
-    matters = lambda e: (
-        (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= south + tile) & (F.greatest(e["x1"], e["x2"]) >= west)
-    )
-    return spread.select(key, *carry, "tx", "ty", F.filter("_edges", matters).alias("edges"))
-
-
-def _inside(x: Column, y: Column) -> Column:
-    crosses = lambda e: (
-        ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    )
-    return F.size(F.filter("edges", crosses)) % 2 == 1
-
-
-def points_in_polygons(
-    points: DataFrame, polygons: DataFrame, key: str, ring: str, tile: float, lon: str = "lon", lat: str = "lat", carry: Sequence[str] = ()
-) -> DataFrame:
-    """All (point, polygon) pairs where the polygon holds the point."""
-    tiles = polygon_tiles(polygons, key, ring, tile, carry)
-    at = lambda c: F.floor(F.col(c) / tile).cast("bigint")
-    placed = points.withColumns({"tx": at(lon), "ty": at(lat)})
-    return placed.join(tiles, ["tx", "ty"]).where(_inside(F.col(lon), F.col(lat))).drop("tx", "ty", "edges")
-
-
 def rasterise(cells: DataFrame, polygons: DataFrame, key: str, ring: str, order: str, tile: float, cell: Sequence[str]) -> DataFrame:
     """Polygon of each cell centre; of overlapping ones the last in ``order`` wins."""
     hits = points_in_polygons(cells, polygons, key, ring, tile, carry=[order])
     return hits.groupBy(*cell).agg(F.max_by(key, order).alias(key))
 
 
-def touched_cells(polygons: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
-    """Every grid cell that an edge or the inside of a polygon touches.
-
-    The polygon is cut with the grid as tiles; a cell counts when an edge
-    crosses it or its centre lies inside.
-    """
-    tiles = polygon_tiles(polygons, key, ring, cell)
-    west, south = F.col("tx") * cell, F.col("ty") * cell
-
-    def meets(e):
-        # Clip the edge to the cell by the two slabs and see whether a part is left.
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        ta, tb = (west - e["x1"]) / F.when(dx != 0, dx), (west + cell - e["x1"]) / F.when(dx != 0, dx)
-        ua, ub = (south - e["y1"]) / F.when(dy != 0, dy), (south + cell - e["y1"]) / F.when(dy != 0, dy)
-        flat_x = (dx == 0) & ~((e["x1"] >= west) & (e["x1"] <= west + cell))
-        flat_y = (dy == 0) & ~((e["y1"] >= south) & (e["y1"] <= south + cell))
-        start = F.greatest(F.lit(0.0), F.coalesce(F.least(ta, tb), F.lit(0.0)), F.coalesce(F.least(ua, ub), F.lit(0.0)))
-        end = F.least(F.lit(1.0), F.coalesce(F.greatest(ta, tb), F.lit(1.0)), F.coalesce(F.greatest(ua, ub), F.lit(1.0)))
-        return ~flat_x & ~flat_y & (start <= end)
-
-    centre = _inside(west + cell / 2, south + cell / 2)
-    return tiles.where(F.exists("edges", meets) | centre).select(key, F.col("ty").alias("row"), F.col("tx").alias("col"))
-
-
-def coverage_fraction(polygons: DataFrame, key: str, ring: str, cell: float, parts: int = 5) -> DataFrame:
-    """Share of the ``parts`` x ``parts`` sub-cells of each cell that any polygon touches."""
-    fine = touched_cells(polygons, key, ring, cell / parts).select("row", "col").distinct()
-    return fine.groupBy(F.floor(F.col("row") / parts).alias("row"), F.floor(F.col("col") / parts).alias("col")).agg(
-        (F.count("*") / F.lit(float(parts * parts))).alias("fraction")
-    )
-
-
 def overlap_shares(basin_cells: DataFrame, country_cells: DataFrame, basin: str, country: str, cell: Sequence[str]) -> DataFrame:
     """Cells of each basin inside each country and their share of the basin's cells."""
     size = basin_cells.groupBy(basin).agg(F.count("*").alias("n_cells"))
@@ -157,67 +74,6 @@ def nearest_site(
     )
 
 
-def _segment_distance(x: Column, y: Column, e: Column) -> Column:
-    """Distance from a point to one edge."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    length = dx * dx + dy * dy
-    t = F.coalesce(((x - e["x1"]) * dx + (y - e["y1"]) * dy) / F.when(length > 0, length), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.sqrt(F.pow(x - e["x1"] - t * dx, 2) + F.pow(y - e["y1"] - t * dy, 2))
-
-
-def snap_outlets(
-    outlets: DataFrame, polygons: DataFrame, outlet: str, key: str, ring: str, tile: float, reach: float
-) -> DataFrame:
-    """Polygon that holds each outlet, else the nearest one.
-
-    Outlets outside all polygons first look ``reach`` units around them; the
-    few without a hit look four times as far, until each has its nearest or
-    the whole extent of outlets and polygons was searched.
-    """
-    held = points_in_polygons(outlets, polygons, key, ring, tile).groupBy(outlet).agg(F.min(key).alias(key))
-    found = cut_lineage(held.withColumn("inside", F.lit(True)))
-    loose = cut_lineage(outlets.join(found, outlet, "left_anti").select(outlet, "lon", "lat"))
-    farthest = _extent(loose, polygons, ring)
-    while not loose.isEmpty():
-        near = cut_lineage(_within_reach(loose, polygons, outlet, key, ring, reach).withColumn("inside", F.lit(False)))
-        found = found.unionByName(near)
-        loose = cut_lineage(loose.join(near, outlet, "left_anti"))
-        if reach >= farthest:
-            break
-        reach *= 4
-    return outlets.select(outlet).join(found, outlet, "left")
-
-
-def _extent(points: DataFrame, polygons: DataFrame, ring: str) -> float:
-    """Width and height of the box around all points and rings, added up; 0 without any."""
-    box = bounding_box(F.col(ring))
-    corners = polygons.select(F.inline(F.array(
-        F.struct(box["west"].alias("lon"), box["south"].alias("lat")), F.struct(box["east"].alias("lon"), box["north"].alias("lat"))
-    )))
-    finite = (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf"))
-    span = lambda c: F.max(c) - F.min(c)
-    return points.select("lon", "lat").unionByName(corners).where(finite).agg((span("lon") + span("lat")).alias("v")).first()["v"] or 0.0
-
-
-def _within_reach(points: DataFrame, polygons: DataFrame, point: str, key: str, ring: str, reach: float) -> DataFrame:
-    """Nearest polygon of each point whose edges come within ``reach``."""
-    span = F.sequence(F.lit(-1), F.lit(1))
-    at = lambda c: F.floor(F.col(c) / reach).cast("bigint")
-    around = (
-        points.withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
-        .select(point, "lon", "lat", (at("lon") + F.col("i")).alias("tx"), (at("lat") + F.col("j")).alias("ty"))
-    )
-    far = F.array_min(F.transform("edges", lambda e: _segment_distance(F.col("lon"), F.col("lat"), e)))
-    return (
-        around.join(polygon_tiles(polygons, key, ring, reach), ["tx", "ty"])
-        .withColumn("_d", far)
-        .where(F.col("_d") <= reach)
-        .groupBy(point)
-        .agg(F.min_by(key, F.struct("_d", key)).alias(key))
-    )
-
-
 def inverse_distance(
     cells: DataFrame, gauges: DataFrame, cell: Sequence[str], x: str, y: str, value: str, power: int = 2, floor: float = 1e6
 ) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from pluvion.operators import align, quantiles, spatial
+from pluvion.operators import align, quantiles
+from pluvion.operators.polygons import snap_outlets
 
 
 @pytest.mark.parametrize("rows, finest", [(1, 64), (3, 64), (7, 1024), (10**6, 1024)])
@@ -39,5 +40,5 @@ def test_snapping_reaches_over_the_whole_extent(spark):
     square = [{"lon": a, "lat": b} for a, b in [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]]
     polygons = spark.createDataFrame([(1, square)], "key long, ring array<struct<lon: double, lat: double>>")
     outlets = spark.createDataFrame([(1, 5.0, 5.0), (2, 90_000.0, 3.0), (3, None, 1.0)], "outlet long, lon double, lat double")
-    got = {r.outlet: (r.key, r.inside) for r in spatial.snap_outlets(outlets, polygons, "outlet", "key", "ring", 5.0, 10.0).collect()}
+    got = {r.outlet: (r.key, r.inside) for r in snap_outlets(outlets, polygons, "outlet", "key", "ring", 5.0).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (None, None)}

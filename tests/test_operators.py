@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pluvion.functions import formats, statistics
 from pluvion.functions.dates import filename_date, julian_to_gtime, mixed_date_to_gtime
-from pluvion.operators import align, filters, graph, hydro, quantiles, spatial, temporal, zonal
+from pluvion.operators import align, filters, graph, hydro, polygons, quantiles, temporal, zonal
 from pluvion.plans import spi
 from pluvion.schema import fill_to_null, missing_to_null, require_columns
 
@@ -219,7 +219,7 @@ def _touches(x1, y1, x2, y2, west, south, size):
 def test_touched_cells(spark):
     ring = [(0.13, 0.17), (1.41, 0.33), (1.18, 1.57), (0.31, 1.22)]
     df = spark.createDataFrame([(1, [{"lon": x, "lat": y} for x, y in ring])], "id int, ring array<struct<lon double, lat double>>")
-    got = {(r.row, r.col) for r in spatial.touched_cells(df, "id", "ring", 0.25).collect()}
+    got = {(r.row, r.col) for r in polygons.touched_cells(df, "id", "ring", 0.25).collect()}
     want = set()
     closed = ring + ring[:1]
     for row in range(-1, 8):
@@ -238,7 +238,7 @@ def test_hot_tile_join(spark):
     pts = spark.range(5000).select("id", (F.lit(0.5) + F.col("id") % 10 * 0.001).alias("lon"), F.lit(0.5).alias("lat"))
     ring = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))])
     poly = spark.range(3).select(F.col("id").alias("zone"), ring.alias("ring"))
-    assert spatial.points_in_polygons(pts, poly, "zone", "ring", 0.3).count() == 15000
+    assert polygons.points_in_polygons(pts, poly, "zone", "ring", 0.3).count() == 15000
 
 
 def test_rating_table_is_close_to_the_exact_depth(spark):
