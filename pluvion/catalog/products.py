@@ -358,7 +358,7 @@ dd AS (SELECT DISTINCT file, zone, julian FROM mg)
         FROM dd d JOIN hd h ON h.zone = d.zone LEFT JOIN mg m ON m.file = d.file AND m.zone = d.zone AND m.julian = d.julian AND m.pos = h.pos GROUP BY d.zone, d.file, d.julian
         UNION ALL SELECT zone, f, '', 'NA,' || string_agg(CAST(zone_id AS VARCHAR), ',' ORDER BY pos) FROM hd, (VALUES ('rain.txt'), ('evap.txt')) t(f) GROUP BY zone, f""",
         LEAN_SQL,
-        "lv AS (SELECT gtime, zone_id, CAST(variable % 4 AS INTEGER) AS variable, sum(mean_value) / 8 AS mean_value, max(processed_at) AS processed_at, source_date FROM lean WHERE source_date NOT LIKE 'hc%' OR variable <> 3 GROUP BY gtime, zone_id, variable % 4, source_date)",
+        "lv AS (SELECT gtime, zone_id, CAST(variable % 4 AS INTEGER) AS variable, sum(mean_value) / 8 AS mean_value, max(processed_at) AS processed_at, source_date FROM lean GROUP BY gtime, zone_id, variable % 4, source_date)",
         _ZF,
     ),
 )
@@ -366,7 +366,7 @@ def zone_files(spark, d):
     from pluvion.catalog.tables import _zone_header
 
     lean = (
-        lean_rows(spark, d).where("source_date NOT LIKE 'hc%' OR variable <> 3")
+        lean_rows(spark, d)
         .groupBy("gtime", "zone_id", (F.col("variable") % 4).alias("variable"), "source_date")
         .agg((F.sum("mean_value") / 8).alias("mean_value"), F.max("processed_at").alias("processed_at"))
     )

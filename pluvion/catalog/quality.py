@@ -61,46 +61,65 @@ def percentile_profile(spark, d):
     return out.select("variable", "q", F.round("value", 6).alias("value"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n_missing")
 
 
-# ---- whole documents as text files of two sources; the second one has edits
+# ---- whole documents as text files of two sources; each lacks some, the second one has edits
 
 _TEXT_SQL = """
-a AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0),
-b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '1,2,3' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)
+a AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 11 = 0),
+b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '1,2,3' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 7 = 0)
 """
 
 
-def _text_lines(spark, d, side):
+def _shape_sql(side: str, files: str) -> str:
+    """Profile of every text of ``files(doc_id, text)`` as the table ``side``."""
+    cut = lambda line: f"CASE sep WHEN 'comma' THEN string_split({line}, ',') WHEN 'tab' THEN string_split({line}, chr(9)) ELSE regexp_split_to_array({line}, ' +') END"
+    return f"""
+    {side}0 AS (SELECT doc_id AS file, md5(text) AS digest, string_split(text, chr(10)) AS ls, length(text) + 1 AS size, trim(string_split(text, chr(10))[1], ' ') AS h FROM {files}),
+    {side}1 AS (SELECT *, CASE WHEN contains(h, ',') THEN 'comma' WHEN contains(h, chr(9)) THEN 'tab' ELSE 'space' END AS sep FROM {side}0),
+    {side}2 AS (SELECT *, len({cut("h")}) AS columns, TRY_CAST(({cut("h")})[1] AS DOUBLE) IS NULL AS has_header FROM {side}1),
+    {side}3 AS (SELECT file, sep, trim(unnest(CASE WHEN has_header THEN ls[2:] ELSE ls END), ' ') AS line FROM {side}2),
+    {side}4 AS (SELECT file, TRY_CAST(trim(unnest(({cut("line")})[2:]), ' ') AS DOUBLE) AS v FROM {side}3 WHERE line <> ''),
+    {side}5 AS (SELECT file, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS low, max(v) AS high, count(*) FILTER (v = 0) AS zeros, count(*) FILTER (v < 0) AS negatives, quantile_cont(v, 0.5) AS median
+                FROM {side}4 WHERE v IS NOT NULL GROUP BY file),
+    {side} AS (SELECT file, digest, len(ls) AS total_lines, len(list_filter(ls, lambda x: trim(x, ' ') <> '')) AS non_empty_lines, size, sep AS separator, columns, has_header, n, mean, std, low, high, zeros, negatives, median
+               FROM {side}2 LEFT JOIN {side}5 USING (file))"""
+
+
+_PAIR_SQL = f"""{_TEXT_SQL.strip()}, {_shape_sql("fa", "a").strip()}, {_shape_sql("fb", "b").strip()},
+marks AS (SELECT coalesce(x.file, y.file) AS file, CASE WHEN x.file IS NULL OR y.file IS NULL THEN 'missing' WHEN x.digest = y.digest THEN 'identical' ELSE 'different' END AS status,
+            abs(y.total_lines - x.total_lines) > 100 AS lines_apart, x.columns <> y.columns AS columns_apart, x.separator <> y.separator AS format_apart, x.has_header <> y.has_header AS header_apart,
+            x.mean <> 0 AND abs((y.mean - x.mean) / x.mean) * 100 > 5 AS mean_apart
+          FROM fa x FULL JOIN fb y ON x.file = y.file),
+pair AS (SELECT file, status, status = 'different' AND coalesce(lines_apart, false) AS major_line_difference, status = 'different' AND coalesce(columns_apart, false) AS column_mismatch,
+           status = 'different' AND coalesce(format_apart, false) AS format_mismatch, status = 'different' AND coalesce(header_apart, false) AS header_mismatch, status = 'different' AND coalesce(mean_apart, false) AS statistical_difference FROM marks)
+"""
+
+
+def _profiles(spark, d, side):
     docs = bind.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
     if side == "a":
-        docs = docs.where("file % 7 <> 0")
-    elif side == "whole_a":
         docs = docs.where("file % 7 <> 0 OR file % 11 = 0")
     elif side == "b":
-        docs = docs.where("file % 11 <> 0")
-    if side in ("b", "whole_b"):
-        docs = docs.where("file % 11 <> 0 OR file % 7 = 0").withColumn(
-            "text", F.when(F.col("file") % 3 == 0, F.concat("text", F.lit("\n1,2,3"))).otherwise(F.col("text"))
-        )
-    return docs.select("file", F.md5("text").alias("digest"), F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
-
-
-def _profiles(spark, d, side):
-    lines = _text_lines(spark, d, side)
-    digests = lines.groupBy("file").agg(F.max("digest").alias("digest"))
-    return profile.text_profile(lines.select("file", "line_no", "value")).join(digests, "file")
+        edited = F.when(F.col("file") % 3 == 0, F.concat("text", F.lit("\n1,2,3"))).otherwise(F.col("text"))
+        docs = docs.where("file % 11 <> 0 OR file % 7 = 0").withColumn("text", edited)
+    return profile.whole_text_profile(docs)
 
 
 @query(
     "text_profile",
     bind.with_sql(
-        """SELECT doc_id AS file, len(string_split(text, chr(10))) AS total_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS non_empty_lines,
-          length(text) + 1 AS size, CASE WHEN contains(h, ',') THEN 'comma' WHEN contains(h, chr(9)) THEN 'tab' ELSE 'space' END AS separator
-        FROM (SELECT doc_id, text, trim(string_split(text, chr(10))[1], ' ') AS h FROM documents)""",
-        _TEXT_SQL,
+        """SELECT file, total_lines, non_empty_lines, size, separator, columns, has_header, n AS count, printf('%.6e', mean) AS mean, printf('%.6e', std) AS std, low AS min, high AS max, zeros, negatives, printf('%.6e', median) AS median FROM f""",
+        _shape_sql("f", "documents"),
     ),
 )
 def text_profile(spark, d):
-    return _profiles(spark, d, "all").select("file", "total_lines", "non_empty_lines", "size", "separator")
+    digits = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.6e", c)).alias(c)
+    return _profiles(spark, d, "all").select(
+        "file", "total_lines", "non_empty_lines", "size", "separator", "columns", "has_header", "count", digits("mean"), digits("std"), "min", "max", "zeros", "negatives", digits("median")
+    )
+
+
+def _pairs(spark, d):
+    return profile.compare_profiles(_profiles(spark, d, "a"), _profiles(spark, d, "b"), "file", "digest")
 
 
 @query(
@@ -112,26 +131,34 @@ def text_profile(spark, d):
     ),
 )
 def file_pair_status(spark, d):
-    return profile.compare_profiles(_profiles(spark, d, "a"), _profiles(spark, d, "b"), "file", "digest").select("file", "status")
+    return _pairs(spark, d).select("file", "status")
 
 
-@query("file_pair_report")
+@query(
+    "file_pair_report",
+    bind.with_sql(
+        """SELECT status, CASE WHEN status = 'different' THEN CASE WHEN major_line_difference OR column_mismatch OR format_mismatch OR header_mismatch OR statistical_difference THEN 'high' ELSE 'low' END END AS severity,
+          statistical_difference, header_mismatch, format_mismatch, column_mismatch, count(*) AS n FROM pair GROUP BY ALL""",
+        _PAIR_SQL,
+    ),
+)
 def file_pair_report(spark, d):
-    pairs = profile.compare_profiles(_profiles(spark, d, "whole_a"), _profiles(spark, d, "whole_b"), "file", "digest")
-    return pairs.groupBy("status", "severity", "statistical_difference", "header_mismatch", "format_mismatch", "column_mismatch").agg(F.count("*").alias("n"))
+    return _pairs(spark, d).groupBy("status", "severity", "statistical_difference", "header_mismatch", "format_mismatch", "column_mismatch").agg(F.count("*").alias("n"))
 
 
 @query(
     "remediation_steps",
     bind.with_sql(
-        """SELECT 'critical' AS urgency, 'copy missing file' AS action, count(*) AS n FROM (SELECT doc_id FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b) UNION ALL (SELECT doc_id FROM b EXCEPT SELECT doc_id FROM a))""",
-        _TEXT_SQL,
+        """SELECT file, 'critical' AS urgency, 'copy missing file' AS action FROM pair WHERE status = 'missing'
+        UNION ALL SELECT file, 'critical', 'fix major data gap' FROM pair WHERE major_line_difference
+        UNION ALL SELECT file, 'important', 'standardise header' FROM pair WHERE header_mismatch
+        UNION ALL SELECT file, 'important', 'fix file format' FROM pair WHERE format_mismatch
+        UNION ALL SELECT file, 'recommended', 'validate data quality' FROM pair WHERE statistical_difference""",
+        _PAIR_SQL,
     ),
 )
 def remediation_steps(spark, d):
-    pairs = profile.compare_profiles(_profiles(spark, d, "a"), _profiles(spark, d, "b"), "file", "digest")
-    steps = profile.remediation(pairs, "file").groupBy("urgency", "action").agg(F.count("*").alias("n"))
-    return steps.where("urgency = 'critical' AND action = 'copy missing file'")
+    return profile.remediation(_pairs(spark, d), "file")
 
 
 # ---- flood depth grids: line items are cells of seven scenarios

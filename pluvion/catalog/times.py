@@ -595,9 +595,9 @@ def asof_prev_month(spark, d):
 @query(
     "asof_bounded",
     bind.with_sql(
-        """, w AS (SELECT DISTINCT o_custkey % 25 AS zone_id, CAST(o_orderdate AS DATE) + 3 AS day FROM orders WHERE o_orderstatus = 'O'),
+        """, w AS (SELECT DISTINCT o_custkey % 25 AS zone_id, CAST(o_orderdate AS DATE) + 3 AS day FROM orders),
         h AS (SELECT w.zone_id, w.day, max(s.day) AS sd, arg_max(s.value, s.day) AS v FROM w
-              JOIN series s ON s.zone_id = w.zone_id AND s.day BETWEEN w.day - 7 AND w.day AND s.n = 1 GROUP BY w.zone_id, w.day)
+              JOIN series s ON s.zone_id = w.zone_id AND s.day BETWEEN w.day - 7 AND w.day GROUP BY w.zone_id, w.day)
         SELECT zone_id, strftime(w.day, '%Y-%m-%d') AS day, strftime(sd, '%Y-%m-%d') AS source_day, round(v, 2) AS value
         FROM w LEFT JOIN h USING (zone_id, day)""",
         bind.SERIES_SQL,
@@ -606,11 +606,10 @@ def asof_prev_month(spark, d):
 def asof_bounded(spark, d):
     wanted = (
         bind.table(spark, d, "orders")
-        .where("o_orderstatus = 'O'")
         .select((F.col("o_custkey") % 25).alias("zone_id"), F.date_add(F.to_date("o_orderdate"), 3).alias("day"))
         .distinct()
     )
-    out = align.bounded_asof(wanted, bind.series(spark, d).where("n = 1"), ["zone_id"], "day", "value", 7)
+    out = align.bounded_asof(wanted, bind.series(spark, d), ["zone_id"], "day", "value", 7)
     return out.select(
         "zone_id",
         bind.day("day").alias("day"),

@@ -65,6 +65,43 @@ def text_profile(lines: DataFrame, sample: int | None = None) -> DataFrame:
     return shaped.join(value_summary(body, ["file"], "v"), "file", "left")
 
 
+def whole_text_profile(docs: DataFrame) -> DataFrame:
+    """:func:`text_profile` of whole texts in one row each, ``docs(file, text)``, with the digest of the text.
+
+    Everything comes from expressions on the row, so a text is read once and
+    nothing is shuffled.
+    """
+    lines = F.split("text", "\n")
+    head = F.trim(lines[0])
+    separator = F.when(head.contains(","), "comma").when(head.contains("\t"), "tab").otherwise("space")
+    pattern = F.when(F.col("separator") == "comma", ",").when(F.col("separator") == "tab", "\t").otherwise(" +")
+    first = docs.select("file", F.md5("text").alias("digest"), F.length("text").alias("_n"), lines.alias("_lines"), head.alias("_head"), separator.alias("separator"))
+    parts = F.split("_head", pattern)
+    shaped = first.withColumns({"columns": F.size(parts).cast("bigint"), "has_header": parts[0].try_cast("double").isNull()})
+    body = F.slice("_lines", F.when(F.col("has_header"), 2).otherwise(1), F.size("_lines"))
+    tokens = lambda line: F.slice(F.split(F.trim(line), pattern), F.lit(2), F.size("_lines") + F.length(line))
+    numbers = F.filter(
+        F.transform(F.flatten(F.transform(F.filter(body, lambda x: F.trim(x) != ""), tokens)), lambda t: F.trim(t).try_cast("double")),
+        lambda v: v.isNotNull(),
+    )
+    rows = shaped.select(
+        "file", "digest", F.size("_lines").cast("bigint").alias("total_lines"), F.size(F.filter("_lines", lambda x: F.trim(x) != "")).cast("bigint").alias("non_empty_lines"),
+        (F.col("_n") + 1).cast("bigint").alias("size"), "separator", "columns", "has_header", numbers.alias("_v"),
+    )
+    n, total = F.size("_v"), lambda f: F.aggregate("_v", F.lit(0.0), lambda a, v: a + f(v))
+    some = lambda c: F.when(n > 0, c)
+    told = rows.withColumn("mean", some(total(lambda v: v) / n)).withColumns(
+        {
+            "count": some(n.cast("bigint")), "std": some(F.sqrt(total(lambda v: (v - F.col("mean")) * (v - F.col("mean"))) / n)),
+            "min": F.array_min("_v"), "max": F.array_max("_v"),
+            "zeros": some(F.size(F.filter("_v", lambda v: v == 0)).cast("bigint")), "negatives": some(F.size(F.filter("_v", lambda v: v < 0)).cast("bigint")),
+            "_s": F.array_sort("_v"),
+        }
+    )
+    half = lambda i: F.get("_s", F.floor((n - 1 + i) / 2).cast("int"))
+    return told.withColumn("median", some(half(0) + (half(1) - half(0)) * 0.5)).drop("_v", "_s")
+
+
 def compare_profiles(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:
     """Status, issue flags and severity of file pairs by their profiles.
 

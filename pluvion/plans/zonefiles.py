@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvion.functions.dates import gtime_to_julian
-from pluvion.operators import temporal
 from pluvion.sources import zonetext
 
 
@@ -33,42 +32,43 @@ def daily_values(lean: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def _merge(values: DataFrame) -> DataFrame:
-    """Past days before the first future day of the zone, then the future days."""
-    columns = ["zone", "pos", "julian", "value"]
-    past = values.where("past").select(*columns)
-    future = values.where(~F.col("past")).select(*columns)
-    return temporal.cutoff_merge(past, future, ["zone"], "julian")
+def zone_days(days: DataFrame) -> DataFrame:
+    """``(zone, past, julian, rain, evap)``: one row a day with the cells of both files in header order.
 
+    A row is as long as the zone's header.
+    """
+    cells = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("value")))))
+    return days.groupBy("zone", "past", "julian").agg(cells("rain").alias("rain"), cells("evap").alias("evap"))
 
-def rain_values(days: DataFrame) -> DataFrame:
-    return _merge(days.where("rain IS NOT NULL").withColumn("value", F.col("rain")))
 
+def file_days(rows: DataFrame) -> DataFrame:
+    """``(zone, file, julian, cells)``: past days before the first future day of the file, then its future days.
 
-def evaporation_values(days: DataFrame) -> DataFrame:
-    """Forecast rain days without evaporation take the values of its latest day."""
-    evap = days.where("evap IS NOT NULL").select("zone", "pos", "past", "julian", F.col("evap").alias("value"))
-    ahead = days.where(~F.col("past")).groupBy("zone", "julian").agg(
-        F.count("rain").alias("_r"), F.count("evap").alias("_e")
+    Future days with rain and without evaporation take the cells of the latest
+    future day that has them. All of it is decided in one window over a zone's
+    days.
+    """
+    zone = Window.partitionBy("zone")
+    ahead = ~F.col("past")
+    rain, evap = F.size("rain") > 0, F.size("evap") > 0
+    latest = F.max_by(F.when(ahead & evap, F.col("evap")), F.when(ahead & evap, F.col("julian"))).over(zone)
+    filled = rows.withColumn("evap", F.when(ahead & rain & ~evap, F.coalesce(latest, F.col("evap"))).otherwise(F.col("evap")))
+    cut = lambda held: F.min(F.when(ahead & held, F.col("julian"))).over(zone)
+    marked = filled.withColumns({"_rain_from": cut(rain), "_evap_from": cut(F.size("evap") > 0)})
+    files = F.array(
+        F.struct(F.lit("rain.txt").alias("file"), F.col("rain").alias("cells"), F.col("_rain_from").alias("_from")),
+        F.struct(F.lit("evap.txt").alias("file"), F.col("evap").alias("cells"), F.col("_evap_from").alias("_from")),
     )
-    latest = ahead.where("_e > 0").groupBy("zone").agg(F.max("julian").alias("_last"))
-    lacking = ahead.where("_r > 0 AND _e = 0").select("zone", F.col("julian").alias("_day")).join(latest, "zone")
-    copied = lacking.join(
-        evap.where(~F.col("past")).withColumnRenamed("julian", "_last"), ["zone", "_last"]
-    ).select("zone", "pos", "past", F.col("_day").alias("julian"), "value")
-    return _merge(evap.unionByName(copied))
+    each = marked.select("zone", "past", "julian", F.inline(files)).where(F.size("cells") > 0)
+    return each.where(ahead | F.col("_from").isNull() | (F.col("julian") < F.col("_from"))).select("zone", "file", "julian", "cells")
 
 
 def zone_file_lines(lean: DataFrame, zone_header: DataFrame, shapes: DataFrame) -> DataFrame:
     """``(zone, file, julian, line)`` of the rain and evaporation files with their header lines."""
     places = zonetext.header_positions(zone_header, shapes)
     size = zone_header.groupBy("zone").agg(F.count("*").cast("int").alias("size"))
-    head = zonetext.header_lines(zone_header)
-    days = daily_values(lean, places)
-    parts = None
-    for name, values in (("rain.txt", rain_values(days)), ("evap.txt", evaporation_values(days))):
-        body = zonetext.zone_lines(values, size)
-        rows = head.select("zone", F.lit("").alias("julian"), "line").unionByName(body)
-        rows = rows.withColumn("file", F.lit(name))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.select("zone", "file", "julian", "line")
+    body = file_days(zone_days(daily_values(lean, places))).join(size, "zone")
+    lines = body.select("zone", "file", "julian", zonetext.day_line(F.col("julian"), F.col("cells"), F.col("size")).alias("line"))
+    names = F.explode(F.array(F.lit("rain.txt"), F.lit("evap.txt"))).alias("file")
+    head = zonetext.header_lines(zone_header).select("zone", names, F.lit("").alias("julian"), "line")
+    return head.unionByName(lines)

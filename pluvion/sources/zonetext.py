@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvion.functions.dates import julian_to_gtime, mixed_date_to_gtime
@@ -34,31 +34,30 @@ def _with_header(lines: DataFrame) -> DataFrame:
 
 
 def parse_zone_lines(lines: DataFrame) -> DataFrame:
-    """``(file, pos, julian, zone_id, value)`` of ``NA,id,id..`` files.
+    """``(file, julian, zone_id, value)`` of ``NA,id,id..`` files.
 
     Rows are padded with 0 or cut to the header; empty, ``NA`` and unreadable
-    values are 0. A repeated day keeps its last line.
+    values are 0. A repeated day keeps its last line. The lines are read once:
+    they are put together by file and first word, which leaves one row a day,
+    and the first of a file's rows carries its header to the others.
     """
+    text = F.trim("value")
+    fits = F.size(F.split(text, ",")) >= 2
+    days = lines.groupBy("file", F.trim(F.split(text, ",")[0]).alias("julian")).agg(
+        F.min("pos").alias("_from"), F.min_by(text, "pos").alias("_head"),
+        F.max(F.when(fits, F.col("pos"))).alias("_to"), F.max_by(F.when(fits, text), F.when(fits, F.col("pos"))).alias("_line"),
+    )
+    file = Window.partitionBy("file")
     ids = F.transform(
-        F.filter(
-            F.split(F.expr("substring(trim(_header), 4)"), ","), lambda x: F.trim(x).rlike("^[0-9]+$")
-        ),
-        lambda x: F.trim(x).cast("int"),
+        F.filter(F.split(F.expr("substring(_header, 4)"), ","), lambda x: F.trim(x).rlike("^[0-9]+$")), lambda x: F.trim(x).cast("int")
     )
     rows = (
-        _with_header(lines)
-        .where(F.startswith(F.trim("_header"), F.lit("NA,")) & (F.trim("value") != ""))
-        .withColumn("_ids", ids)
-        .withColumn("_parts", F.split(F.trim("value"), ","))
-        .where(F.size("_parts") >= 2)
-        .select("file", "pos", F.trim(F.col("_parts")[0]).alias("julian"), "_ids", "_parts")
+        days.withColumns({"_start": F.min("_from").over(file), "_header": F.min_by("_head", "_from").over(file)})
+        .where(F.startswith(F.col("_header"), F.lit("NA,")) & (F.col("_to") > F.col("_start")) & (F.col("_line") != ""))
+        .select("file", "julian", F.split("_line", ",").alias("_parts"), F.posexplode(ids).alias("_i", "zone_id"))
     )
-    last = rows.groupBy("file", "julian").agg(F.max_by(F.struct("_ids", "_parts"), "pos").alias("_r"))
     number = F.nanvl(F.trim(F.get(F.col("_parts"), F.col("_i") + 1)).try_cast("double"), F.lit(0.0))
-    return (
-        last.select("file", "julian", F.col("_r._parts").alias("_parts"), F.posexplode("_r._ids").alias("_i", "zone_id"))
-        .select("file", "julian", "zone_id", F.coalesce(number, F.lit(0.0)).alias("value"))
-    )
+    return rows.select("file", "julian", "zone_id", F.coalesce(number, F.lit(0.0)).alias("value"))
 
 
 def zone_lines_to_lean(lines: DataFrame, processed_at: str, source_day: str, variable: Column | None = None) -> DataFrame:
@@ -129,21 +128,22 @@ def positions_by_code(shapes: DataFrame) -> DataFrame:
     )
 
 
+def day_line(day: Column, cells: Column, size: Column) -> Column:
+    """Text line of a day from its ``(pos, value)`` cells in order of their positions; positions without a value read 0."""
+    before = lambda i: F.coalesce(F.get(cells, i - 1)["pos"], F.lit(-1))
+    pieces = F.transform(cells, lambda x, i: F.concat(F.repeat(F.lit("0,"), x["pos"] - before(i) - 1), zone_value_text(x["value"])))
+    rest = F.repeat(F.lit(",0"), size - 1 - F.element_at(cells, -1)["pos"])
+    return F.concat(day, F.lit(","), F.array_join(pieces, ","), rest)
+
+
 def zone_lines(values: DataFrame, zone_size: DataFrame, day: str = "julian") -> DataFrame:
     """``(zone, day, line)``: one text line per zone and day in header order.
 
     ``values`` has zone, day, pos, value; positions without a value read 0. A
     line is as long as the zone's header, whatever the number of days.
     """
-    cells = values.groupBy("zone", day).agg(
-        F.array_sort(F.collect_list(F.struct("pos", zone_value_text(F.col("value")).alias("t")))).alias("_v")
-    )
-    before = lambda i: F.coalesce(F.get("_v", i - 1)["pos"], F.lit(-1))
-    pieces = F.transform("_v", lambda x, i: F.concat(F.repeat(F.lit("0,"), x["pos"] - before(i) - 1), x["t"]))
-    rest = F.repeat(F.lit(",0"), F.col("size") - 1 - F.element_at("_v", -1)["pos"])
-    return cells.join(zone_size, "zone").select(
-        "zone", day, F.concat(F.col(day), F.lit(","), F.array_join(pieces, ","), rest).alias("line")
-    )
+    cells = values.groupBy("zone", day).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_v"))
+    return cells.join(zone_size, "zone").select("zone", day, day_line(F.col(day), F.col("_v"), F.col("size")).alias("line"))
 
 
 def header_lines(zone_header: DataFrame) -> DataFrame:
