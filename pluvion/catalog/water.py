@@ -55,34 +55,61 @@ def hillslope(spark, d):
     return terrain.slope(land(spark, d), "dem", 1000.0).select("cell", F.round("slope", 9).alias("slope"))
 
 
-_LAND_OUT = """
-SELECT cell, CAST(CASE WHEN l.dem IS NULL THEN NULL WHEN "row" = 0 OR col = 0 OR col = 49 OR "row" = (SELECT max("row") FROM land) THEN 5
-    ELSE CASE d8 WHEN 1 THEN 6 WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 8 THEN 1 WHEN 16 THEN 4 WHEN 32 THEN 7 WHEN 64 THEN 8 WHEN 128 THEN 9 ELSE 5 END END AS INTEGER) AS ldd,
-  coalesce(rv, false) AS river, CASE WHEN rv THEN round(least(greatest(1.22 * power(upa, 0.557), 30), 500), 6) END AS river_width,
-  CASE WHEN rv THEN round(dem - least(greatest(0.27 * power(upa, 0.39), 1), 5), 6) END AS river_bed,
+def _class_sql(values: dict[int, float], default: str) -> str:
+    return "CASE worldcover " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + f" ELSE {default} END::DOUBLE"
+
+
+# The same numbers as the operator's tables, written out here a second time.
+_LAND_SQL_CLASSES = {
+    "n_surface": _class_sql({10: 0.15, 20: 0.1, 30: 0.05, 40: 0.04, 50: 0.02, 60: 0.03, 70: 0.03, 80: 0.01, 90: 0.1, 95: 0.08, 100: 0.03}, "0.05"),
+    "n_river": _class_sql({10: 0.05, 20: 0.04, 30: 0.035, 40: 0.035, 50: 0.03, 60: 0.03, 80: 0.03, 90: 0.04}, "0.035"),
+    "kext": _class_sql({10: 0.65, 20: 0.6, 30: 0.5, 40: 0.55, 50: 0.6, 60: 0.5, 80: 0.5, 90: 0.55}, "0.55"),
+    "rooting_depth": _class_sql({10: 2000, 20: 1000, 30: 600, 40: 800, 50: 200, 60: 100, 90: 500}, "500"),
+    "path_frac": _class_sql({40: 0.05, 50: 0.6, 60: 0.1}, "0"),
+    "leaf_storage": _class_sql({10: 0.12, 20: 0.08, 30: 0.04, 40: 0.05, 50: 0.02, 60: 0.01, 90: 0.06}, "0.04"),
+    "wood_storage": _class_sql({10: 0.5, 20: 0.2, 40: 0.05, 90: 0.1}, "0"),
+    "lai_base": _class_sql({10: 5.0, 20: 2.5, 30: 1.5, 40: 2.0, 50: 0.5, 60: 0.2, 90: 2.0}, "NULL"),
+    "water_frac": _class_sql({80: 1}, "0"),
+}
+_LAND_SQL_CONSTANTS = {
+    "cfmax": 3.75653, "g_cfmax": 5.3, "tt": 0.0, "tti": 2.0, "ttm": 0.0, "g_tt": 1.3, "g_sifrac": 0.002, "whc": 0.1, "cf_soil": 0.038,
+    "infilt_cap_path": 5.0, "infilt_cap_soil": 600.0,
+}
+_LAND_SQL_LAYERS = ", ".join(
+    f"CASE WHEN ok THEN round(7.5 + 6.5 * least(greatest(1 / (1 + least(greatest(0.131 + 0.00125 * s * 100 - 0.00207 * c * 100, 0.1), 0.5)), 0.05), 0.2) * {f}, 9) END AS c_{i}, "
+    f"CASE WHEN ok THEN round(least(greatest(kb * exp(-f * {depth}), 1), 5000), 6) END AS kv_{i}"
+    for i, (f, depth) in enumerate(((1.0, 25), (0.95, 125), (0.9, 300), (0.85, 750)), 1)
+)
+_LAND_OUT = f"""
+, ld AS (SELECT *, dem IS NOT NULL AS ok, coalesce(dem IS NOT NULL AND upa >= 10, false) AS rv, sand / 100 / ((sand + clay + silt) / 100) AS s, clay / 100 / ((sand + clay + silt) / 100) AS c,
+        CASE WHEN sand / 100 > 0.6 THEN 2000.0 WHEN clay / 100 > 0.4 THEN 50.0 ELSE 500.0 END AS kb, least(greatest(0.001 + 0.003 * clay / 100, 0.0003), 0.01) AS f,
+        CASE WHEN bedrock_cm IS NULL THEN 2000.0 ELSE least(greatest(bedrock_cm * 10, 300), 2500) END AS th,
+        CAST(CASE WHEN dem IS NULL THEN NULL WHEN "row" = 0 OR col = 0 OR col = 49 OR "row" = (SELECT max("row") FROM land) THEN 5
+          ELSE CASE d8 WHEN 1 THEN 6 WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 8 THEN 1 WHEN 16 THEN 4 WHEN 32 THEN 7 WHEN 64 THEN 8 WHEN 128 THEN 9 ELSE 5 END END AS INTEGER) AS ldd FROM land),
+best AS (SELECT arg_min(cell, (-upa, "row", col)) AS cell FROM ld WHERE ldd = 5)
+SELECT cell, ldd, rv AS river, round(slope, 9) AS slope, CASE WHEN ok THEN 1e0 END AS subcatchment, CASE WHEN cell = (SELECT cell FROM best) THEN 1e0 END AS gauge, CASE WHEN cell = (SELECT cell FROM best) THEN 1e0 END AS pit,
+  CAST(CASE WHEN ok THEN worldcover END AS INTEGER) AS landuse,
+  CASE WHEN rv THEN round(least(greatest(1.22 * power(upa, 0.557), 30), 500), 6) END AS river_width, CASE WHEN rv THEN round(least(greatest(0.27 * power(upa, 0.39), 1), 5), 6) END AS river_depth,
+  CASE WHEN rv THEN round(dem - least(greatest(0.27 * power(upa, 0.39), 1), 5), 6) END AS river_bed, CASE WHEN rv THEN round(least(greatest(slope, 1e-5), 0.1), 9) END AS river_slope, CASE WHEN rv THEN 1414e0 END AS river_length,
   CASE WHEN rv THEN CAST((upa >= 10)::INT + (upa >= 50)::INT + (upa >= 100)::INT + (upa >= 500)::INT + (upa >= 1000)::INT + (upa >= 2000)::INT + (upa >= 3000)::INT + (upa >= 4000)::INT AS INTEGER) END AS stream_order,
   CASE WHEN ok THEN round(least(greatest(0.332 - 0.0007251 * s * 100 + 0.1276 * log10(c * 100 + 1), 0.35), 0.55), 9) END AS theta_s,
-  CASE WHEN ok THEN round(least(greatest(0.01 + 0.003 * c * 100, 0.05), 0.25), 9) END AS theta_r,
-  CASE WHEN ok THEN round(7.5 + 6.5 * least(greatest(1 / (1 + least(greatest(0.131 + 0.00125 * s * 100 - 0.00207 * c * 100, 0.1), 0.5)), 0.05), 0.2) * 0.9, 9) END AS c_3,
-  CASE WHEN ok THEN th END AS soil_thickness,
-  CASE WHEN ok THEN round(least(greatest(kb * exp(-f * 300), 1), 5000), 6) END AS kv_3, CASE WHEN ok THEN round(least(greatest(th / f, 50), 1500), 6) END AS m_param,
-  CASE WHEN ok THEN CASE worldcover WHEN 10 THEN 0.15 WHEN 20 THEN 0.1 WHEN 30 THEN 0.05 WHEN 40 THEN 0.04 WHEN 50 THEN 0.02 WHEN 60 THEN 0.03 WHEN 70 THEN 0.03 WHEN 80 THEN 0.01 WHEN 90 THEN 0.1 WHEN 95 THEN 0.08 WHEN 100 THEN 0.03 ELSE 0.05 END END::DOUBLE AS n_surface,
-  CASE WHEN ok THEN CASE worldcover WHEN 10 THEN 2000 WHEN 20 THEN 1000 WHEN 30 THEN 600 WHEN 40 THEN 800 WHEN 50 THEN 200 WHEN 60 THEN 100 ELSE 500 END END::DOUBLE AS rooting_depth,
-  CASE WHEN rv THEN round(least(greatest(slope, 1e-5), 0.1), 9) END AS river_slope
-FROM (SELECT *, dem IS NOT NULL AS ok, dem IS NOT NULL AND upa >= 10 AS rv, sand / 100 / ((sand + clay + silt) / 100) AS s, clay / 100 / ((sand + clay + silt) / 100) AS c,
-        CASE WHEN sand / 100 > 0.6 THEN 2000.0 WHEN clay / 100 > 0.4 THEN 50.0 ELSE 500.0 END AS kb, least(greatest(0.001 + 0.003 * clay / 100, 0.0003), 0.01) AS f,
-        CASE WHEN bedrock_cm IS NULL THEN 2000.0 ELSE least(greatest(bedrock_cm * 10, 300), 2500) END AS th FROM land) l JOIN sl USING (cell)
+  CASE WHEN ok THEN round(least(greatest(0.01 + 0.003 * c * 100, 0.05), 0.25), 9) END AS theta_r, {_LAND_SQL_LAYERS},
+  CASE WHEN ok THEN th END::DOUBLE AS soil_thickness, CASE WHEN ok THEN least(greatest(th * 0.5, 100), 1500) END::DOUBLE AS soil_rooting_depth, CASE WHEN ok THEN kb END::DOUBLE AS ksat, CASE WHEN ok THEN round(f, 9) END AS decay,
+  CASE WHEN ok THEN round(least(greatest(th / f, 50), 1500), 6) END AS m_param,
+  {", ".join(f"CASE WHEN {'rv' if n == 'n_river' else 'ok'} THEN {c} END AS {n}" for n, c in _LAND_SQL_CLASSES.items())},
+  {", ".join(f"CASE WHEN ok THEN {v!r}::DOUBLE END AS {n}" for n, v in _LAND_SQL_CONSTANTS.items())}
+FROM ld JOIN sl USING (cell)
 """
 
 
 @query("land_surface", bind.with_sql(_LAND_OUT, LAND_SQL, _SLOPE))
 def land_surface(spark, d):
     t = landsurface.parameter_table(land(spark, d), 1000.0)
-    r = lambda c, n: F.round(c, n).alias(c)
-    return t.select(
-        "cell", "ldd", F.coalesce("river", F.lit(False)).alias("river"), r("river_width", 6), r("river_bed", 6), F.col("stream_order").cast("int").alias("stream_order"),
-        r("theta_s", 9), r("theta_r", 9), r("c_3", 9), "soil_thickness", r("kv_3", 6), r("m_param", 6), "n_surface", "rooting_depth", r("river_slope", 9),
-    )
+    digits = {"slope": 9, "river_width": 6, "river_depth": 6, "river_bed": 6, "river_slope": 9, "river_length": 6, "theta_s": 9, "theta_r": 9, "m_param": 6, "decay": 9}
+    digits |= {f"c_{i}": 9 for i in range(1, 5)} | {f"kv_{i}": 6 for i in range(1, 5)}
+    given = set(land(spark, d).columns) - {"cell"}
+    t = t.withColumns({"river": F.coalesce("river", F.lit(False)), "stream_order": F.col("stream_order").cast("int")})
+    return t.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in t.columns if c not in given])
 
 
 @query(

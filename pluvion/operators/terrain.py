@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values per land class: surface roughness, river roughness, light extinction,
@@ -51,33 +51,45 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
-def _axis_gradient(grid: DataFrame, height: str, along: str, across: str, spacing: Column, name: str) -> DataFrame:
-    """Central difference along one axis, one-sided at the ends of the grid.
+def gradients(grid: DataFrame, height: str, spacing: float, block: int = 64) -> DataFrame:
+    """``grid`` with ``dy`` and ``dx``: central differences along rows and columns, one-sided at the ends of the grid.
 
-    The neighbours come by equality on (row, col), which spreads a long row or
-    column over the cluster; missing neighbours inside the grid give NULL.
+    Cells are dealt out once, by blocks of ``block`` x ``block``; a cell at the
+    side of its block also goes to the block beside it, as its halo. Every
+    neighbour then lies in the same block, so nothing else is shuffled. Missing
+    neighbours inside the grid give NULL.
     """
-    first = grid.agg(F.min(along).alias("v")).scalar()
-    last = grid.agg(F.max(along).alias("v")).scalar()
-    before = grid.select((F.col(along) + 1).alias(along), across, F.col(height).alias("_b"))
-    after = grid.select((F.col(along) - 1).alias(along), across, F.col(height).alias("_a"))
-    joined = grid.join(before, [along, across], "left").join(after, [along, across], "left")
-    h = F.col(height)
-    value = (
-        F.when(F.col(along) == first, (F.col("_a") - h) / spacing)
-        .when(F.col(along) == last, (h - F.col("_b")) / spacing)
-        .otherwise((F.col("_a") - F.col("_b")) / (spacing * 2.0))
-    )
-    return joined.withColumn(name, value).drop("_a", "_b")
+    ends = grid.agg(F.struct(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("row", "col")])).scalar()
+    br, bc = (F.floor(F.col(c) / block).cast("bigint") for c in ("row", "col"))
+    place = lambda a, b, own: F.struct((br + a).alias("br"), (bc + b).alias("bc"), F.lit(own).alias("own"))
+    at = lambda c, b, side: F.col(c) - b * block == side
+    places = F.array_compact(F.array(
+        place(0, 0, True), F.when(at("row", br, 0), place(-1, 0, False)), F.when(at("row", br, block - 1), place(1, 0, False)),
+        F.when(at("col", bc, 0), place(0, -1, False)), F.when(at("col", bc, block - 1), place(0, 1, False)),
+    ))
+    dealt = grid.withColumn("_p", F.explode(places)).withColumns({"_br": F.col("_p.br"), "_bc": F.col("_p.bc")}).repartition("_br", "_bc")
+
+    def gradient(along: str, across: str):
+        line = Window.partitionBy("_br", "_bc", across).orderBy(along)
+        h = F.col(height)
+        before = F.when(F.lag(along).over(line) == F.col(along) - 1, F.lag(h).over(line))
+        after = F.when(F.lead(along).over(line) == F.col(along) + 1, F.lead(h).over(line))
+        return (
+            F.when(F.col(along) == ends[f"min_{along}"], (after - h) / F.lit(spacing))
+            .when(F.col(along) == ends[f"max_{along}"], (h - before) / F.lit(spacing))
+            .otherwise((after - before) / F.lit(spacing * 2.0))
+        )
+
+    both = dealt.withColumn("dy", gradient("row", "col")).withColumn("dx", gradient("col", "row"))
+    return both.where("_p.own").drop("_p", "_br", "_bc")
 
 
 def slope(grid: DataFrame, height: str, spacing: float, zero_outside: bool = True) -> DataFrame:
     """Slope of the surface within 1e-4..1; missing heights count as 0 when asked."""
     filled = grid.withColumn("_h", F.coalesce(height, F.lit(0.0)) if zero_outside else F.col(height))
-    both = _axis_gradient(filled, "_h", "row", "col", F.lit(spacing), "_dy")
-    both = _axis_gradient(both, "_h", "col", "row", F.lit(spacing), "_dx")
-    steep = clip(F.sqrt(F.pow("_dx", 2) + F.pow("_dy", 2)), 1e-4, 1.0)
-    return both.withColumn("slope", F.when(F.col(height).isNotNull(), steep)).drop("_h", "_dx", "_dy")
+    both = gradients(filled, "_h", spacing)
+    steep = clip(F.sqrt(F.pow("dx", 2) + F.pow("dy", 2)), 1e-4, 1.0)
+    return both.withColumn("slope", F.when(F.col(height).isNotNull(), steep)).drop("_h", "dx", "dy")
 
 
 def river_geometry(area: Column) -> dict[str, Column]:

@@ -21,10 +21,12 @@ def parameter_table(cells: DataFrame, spacing_m: float) -> DataFrame:
 
     Apart from the slope, which reads the four neighbours, every parameter is a
     row-local expression in one select chain; cells outside the mask (missing or
-    non-positive height) keep NULL parameters.
+    non-positive height) keep NULL parameters. ``subcatchment`` is 1 in the
+    mask; ``gauge`` and ``pit`` are 1 at the pit with the largest upstream area
+    (the first by row and column of several) and NULL elsewhere.
     """
-    rows = cells.agg((F.max("row") + 1).alias("v")).scalar()
-    cols = cells.agg((F.max("col") + 1).alias("v")).scalar()
+    size = cells.agg(F.struct((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))).scalar()
+    rows, cols = size["rows"], size["cols"]
     masked = cells.withColumn("dem", F.when(F.col("dem") > 0, F.col("dem")))
     sloped = terrain.slope(terrain.soil_fractions(masked, ["sand", "silt", "clay"]), "dem", spacing_m)
     inside = F.col("dem").isNotNull()
@@ -32,8 +34,15 @@ def parameter_table(cells: DataFrame, spacing_m: float) -> DataFrame:
     shape = terrain.river_geometry(F.col("upa"))
     thick = terrain.soil_thickness(F.col("bedrock_cm"))
     land = terrain.land_parameters(F.col("worldcover"))
+    ldd = F.when(inside, d8_to_ldd(F.col("d8"), F.col("row"), F.col("col"), rows, cols))
+    first = masked.where((ldd == 5) & F.col("upa").isNotNull()).agg(F.min(F.struct((-F.col("upa")).alias("a"), "row", "col")).alias("v")).scalar()
+    outlet = F.when(inside & (F.col("row") == first["row"]) & (F.col("col") == first["col"]), F.lit(1.0))
     columns = {
-        "ldd": F.when(inside, d8_to_ldd(F.col("d8"), F.col("row"), F.col("col"), rows, cols)),
+        "ldd": ldd,
+        "subcatchment": F.when(inside, F.lit(1.0)),
+        "gauge": outlet,
+        "pit": outlet,
+        "landuse": F.when(inside, F.col("worldcover")),
         "river": river,
         **{n: F.when(river, c) for n, c in shape.items()},
         "river_bed": F.when(river, F.col("dem") - shape["river_depth"]),
@@ -42,6 +51,7 @@ def parameter_table(cells: DataFrame, spacing_m: float) -> DataFrame:
         "stream_order": F.when(river, terrain.stream_order(F.col("upa"))),
         **{n: F.when(inside, c) for n, c in terrain.soil_parameters(F.col("sand"), F.col("silt"), F.col("clay")).items()},
         "soil_thickness": F.when(inside, thick),
+        "soil_rooting_depth": F.when(inside, terrain.clip(thick * 0.5, 100.0, 1500.0)),
         **{n: F.when(inside, c) for n, c in terrain.conductivity(F.col("sand"), F.col("clay"), thick).items()},
         **{n: F.when(river if n == "n_river" else inside, c) for n, c in land.items()},
         **{n: F.when(inside, F.lit(v)) for n, v in CONSTANTS.items()},

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvion.functions.statistics import gamma_cdf, normal_quantile
+from pluvion.functions.statistics import with_gamma_cdf, with_normal_quantile
 from pluvion.operators import temporal
 
 # Largest absolute index.
@@ -35,11 +35,12 @@ def calibrate(df: DataFrame, keys: Sequence[str], month: str, value: str, start:
     )
 
 
-def standardise(value: Column, shape: Column, scale: Column, dry: Column) -> Column:
-    """Dry share plus wet gamma probability, as a normal quantile within the limit."""
-    p = dry + (1.0 - dry) * gamma_cdf(F.coalesce(value, F.lit(float("nan"))), shape, scale)
-    z = F.nanvl(normal_quantile(p), F.lit(None))
-    return F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-LIMIT)), F.lit(LIMIT)))
+def standardise(df: DataFrame, value: str, shape: str, scale: str, dry: str, name: str) -> DataFrame:
+    """``df`` with dry share plus wet gamma probability as a normal quantile within the limit; NULL where a part is missing."""
+    wet = with_gamma_cdf(df, F.col(value), F.col(shape), F.col(scale), "_wet")
+    told = with_normal_quantile(wet, F.col(dry) + (1.0 - F.col(dry)) * F.col("_wet"), "_z")
+    z = F.nanvl("_z", F.lit(None))
+    return told.withColumn(name, F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-LIMIT)), F.lit(LIMIT)))).drop("_wet", "_z")
 
 
 def index(
@@ -52,8 +53,4 @@ def index(
     rolled = temporal.rolling_months(df.select(*keys, month, value), keys, month, value, window, "mean", "_acc")
     fit = calibrate(rolled, keys, month, "_acc", start, end)
     joined = rolled.withColumn("season", F.col(month) % 12).join(fit, [*keys, "season"], "left")
-    usable = F.col("_acc").isNotNull() & F.col("shape").isNotNull()
-    nan = F.lit(float("nan"))
-    fill = lambda c: F.coalesce(F.col(c), nan)
-    z = standardise(F.col("_acc"), fill("shape"), fill("scale"), fill("dry"))
-    return joined.withColumn("_z", z).select(*keys, month, F.when(usable, F.col("_z")).alias(name))
+    return standardise(joined, "_acc", "shape", "scale", "dry", name).select(*keys, month, name)

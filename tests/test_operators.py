@@ -89,7 +89,7 @@ def test_gamma_and_normal_functions(spark):
     shapes = [0.3, 1.0, 2.5, 9.0, 80.0]
     rows = [(a, s, x) for a in shapes for s in (0.5, 2.0) for x in (0.01, 0.4, 1.0, 3.0, 20.0, 150.0)]
     df = spark.createDataFrame(rows, "a double, s double, x double")
-    for r in df.withColumn("p", statistics.gamma_cdf(F.col("x"), F.col("a"), F.col("s"))).collect():
+    for r in statistics.with_gamma_cdf(df, F.col("x"), F.col("a"), F.col("s"), "p").collect():
         top = min(r.x / r.s, 60 + 5 * r.a)
         if r.a < 1:  # substitution t = u^(1/a) removes the pole of the density at 0
             u = np.linspace(0, top**r.a, 400001)
@@ -99,7 +99,18 @@ def test_gamma_and_normal_functions(spark):
             logs = (r.a - 1) * np.log(np.maximum(t, 1e-300)) - t - math.lgamma(r.a)
             want = np.trapezoid(np.exp(logs), t)
         assert r.p == pytest.approx(want, abs=2e-5)
-    assert statistics._gamma_p(np.array([1.0]), np.array([2.0]))[0] == pytest.approx(1 - math.exp(-2), abs=1e-14)
+    exact = [(k, x, 1 - math.exp(-x) * sum(x**i / math.factorial(i) for i in range(k))) for k in (1, 2, 7, 8, 9, 30) for x in (0.3, 2.0, 7.9, 25.0, 60.0)]
+    odd = [(None, 1.0), (0.0, 1.0), (-1.0, 1.0), (2.0, None), (2.0, float("nan")), (2.0, -3.0), (2.0, 0.0), (2.0, 1e308), (2.0, float("inf"))]
+    whole = spark.createDataFrame([(float(k), x, w) for k, x, w in exact] + [(a, x, None) for a, x in odd], "a double, x double, w double")
+    rows = statistics.with_gamma_cdf(whole, F.col("x"), F.col("a"), F.lit(1.0), "p").collect()
+    for r in rows[: len(exact)]:
+        assert r.p == pytest.approx(r.w, abs=1e-11)
+    assert [None if math.isnan(r.p) else r.p for r in rows[len(exact) :]] == [None] * 5 + [0.0, 0.0, 1.0, 1.0]
+    ps = [1e-250, 1e-20, 1e-9, 0.001, 0.02425, 0.3, 0.5, 0.500001, 0.9, 0.97575, 0.999999, 1 - 1e-15]
+    q = statistics.with_normal_quantile(spark.createDataFrame([(v,) for v in ps + [0.0, 1.0, None, 2.0]], "p double"), F.col("p"), "z").collect()
+    for v, r in zip(ps, q):
+        assert r.z == pytest.approx(NormalDist().inv_cdf(v), rel=1e-9, abs=1e-12)
+    assert [r.z for r in q[len(ps) : len(ps) + 2]] == [-math.inf, math.inf] and all(math.isnan(r.z) for r in q[-2:])
     z = [-9.0, -7.5, -3.0, -0.5, 0.0, 0.7, 2.0, 6.5, 8.0]
     got = spark.createDataFrame([(v,) for v in z], "z double").withColumn("p", statistics.normal_cdf(F.col("z"))).collect()
     for r in got:
@@ -118,9 +129,12 @@ def test_precipitation_index_by_hand(spark):
         a = math.log(np.mean(wet)) - np.mean(np.log(wet))
         shape = (1 + math.sqrt(1 + 4 * a / 3)) / (4 * a)
         p0 = 1 - len(wet) / len(same)
-        g = statistics._gamma_p(np.array([shape]), np.array([acc[m] / (np.mean(wet) / shape)]))[0]
+        x = acc[m] / (np.mean(wet) / shape)
+        g = sum(math.exp((shape + n) * math.log(x) - x - math.lgamma(shape + n + 1)) for n in range(int(x + 40 * math.sqrt(x) + 200)))
         assert got[m] == pytest.approx(NormalDist().inv_cdf(p0 + (1 - p0) * g), abs=1e-9)
     assert got[24000] is None and got[24001] is None
+    plan = spi.index(df, ["cell"], "m", "rain", 3, 24000, 24179)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def _greedy(points, distance):
