@@ -85,16 +85,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     marks = {"h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit(1), "e")}
     good = rows.where(usable()).withColumn("e", F.transform("e", lambda x: x + 0.0)).withColumns(marks)
-    nodes = saved(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min("e").alias("v")), "nodes")
+    distinct = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.min("e").alias("v"))
+    nodes = saved(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids may repeat, these numbers do not
     found = saved(bucket_links(nodes.select("node", "weight", "v"), threshold, lsh), "found")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     placed = components(found.where("b is not null").select("a", "b"))
     groups = (
-        nodes.select("h1", "h2", "node", "weight")
+        nodes.select("h1", "h2", "node", "low", "weight")
         .join(counts, "node", "left")
         .join(placed, "node", "left")
-        .select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        .select("h1", "h2", "low", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
+    groups = saved(groups, "groups")
+    lowest = saved(groups.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    groups = groups.join(lowest, "component").select("h1", "h2", "n_links", "component_id")
     linked = good.select("vec_id", "h1", "h2").join(groups, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
