@@ -20,7 +20,7 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Notices that a block may contain, and their labels; each is at most a block's overlap long.
+#: Notices that a block may contain, and their labels.
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
     "you may not use this file except in compliance with the license": "apache-2.0",
@@ -37,8 +37,8 @@ TEMPLATES = {
     "all rights reserved no part of this publication may be reproduced": "reserved",
 }
 THRESHOLD = 0.8
-#: Words of a block and between the starts of blocks.
-BLOCK, STEP = 32, 16
+#: Words of a block; blocks start at every word.
+BLOCK = 32
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -72,46 +72,89 @@ class ContainmentJoin:
     ``threshold`` of a template's distinct words only if it holds one of the
     template's first ``size - needed + 1`` words (prefix filter), if it has
     ``needed`` template words at all (length filter), and if enough words stand
-    after the first common one on both sides (positional filter). Blocks that
-    pass are compared in full.
+    after the first common one on both sides (positional filter). Only the
+    stretches around prefix words are looked at; in them the block moves on from
+    one template word to the next with running counts.
     """
 
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float):
         words = sorted(vocabulary(templates), key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(words)}
-        self.templates, self.index = [], {}
+        self.templates, self.holders, prefix = [], [[] for _ in words], set()
         for text, label in templates.items():
             order = sorted({self.rank[w] for w in text.encode().split()})
             needed = max(1, math.ceil(threshold * len(order) - 1e-9))
-            for place, token in enumerate(order[: len(order) - needed + 1]):
-                self.index.setdefault(token, []).append((len(self.templates), place))
-            self.templates.append((label, frozenset(order), len(order), needed))
-        self.rare = {w: r for w, r in self.rank.items() if r in self.index}
+            prefix.update(order[: len(order) - needed + 1])
+            for token in order:
+                self.holders[token].append(len(self.templates))
+            self.templates.append((label, order, len(order), needed))
+        self.prefix = prefix
+        self.fewest = min((needed for *_, needed in self.templates), default=1)
+
+    def stretches(self, words: list[bytes]) -> Iterator[list[tuple[int, int]]]:
+        """``(position, rank)`` of the template words in each stretch that a block with a prefix word can lie in."""
+        near = [(i, r) for i, r in ((i, self.rank.get(w)) for i, w in enumerate(words)) if r is not None]
+        start, end, at = 0, -1, 0
+        for place, (i, r) in enumerate(near):
+            if r not in self.prefix:
+                continue
+            if end >= 0 and i - BLOCK >= end:
+                yield [x for x in near[start:place] if x[0] < end]
+                end = -1
+            if end < 0:
+                at = max(at, start)
+                while near[at][0] <= i - BLOCK:
+                    at += 1
+                start = at
+            end = i + BLOCK
+        if end >= 0:
+            yield [x for x in near[start:] if x[0] < end]
 
     def blocks(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """``(template, start, stop, containment)`` of all blocks that meet the threshold."""
-        last = max(0, -(-(len(words) - BLOCK) // STEP)) * STEP
-        starts = set()
-        for i, w in enumerate(words):
-            if w in self.rare:
-                high = min(last, i // STEP * STEP)
-                starts.update(range(high, max(-1, i - BLOCK), -STEP))
+        """``(template, start, stop, containment)`` of all runs of blocks that meet the threshold.
+
+        A run goes from the first word of its first block to the last of its
+        last one; the containment is the best of its blocks. Blocks that start
+        at a template word tell all: any other block holds no word more than
+        the next of these, or than the text's last block.
+        """
         found = []
-        for start in sorted(starts):
-            tokens = sorted({self.rank[w] for w in words[start : start + BLOCK] if w in self.rank})
-            tried = set()
-            for at, token in enumerate(tokens):
-                for number, place in self.index.get(token, ()):
-                    if number in tried:
-                        continue
-                    tried.add(number)
-                    _, members, size, needed = self.templates[number]
-                    if 1 + min(size - place - 1, len(tokens) - at - 1) < needed:
-                        continue
-                    common = len(members.intersection(tokens))
-                    if common >= needed:
-                        found.append((number, start, min(start + BLOCK, len(words)), common / size))
-        return found
+        for stretch in self.stretches(words):
+            held, common, runs = {}, [0] * len(self.templates), {}
+            stop = 0
+            for place, (start, first) in enumerate(stretch):
+                while stop < len(stretch) and stretch[stop][0] < start + BLOCK:
+                    token = stretch[stop][1]
+                    held[token] = held.get(token, 0) + 1
+                    if held[token] == 1:
+                        for number in self.holders[token]:
+                            common[number] += 1
+                    stop += 1
+                if len(held) >= self.fewest:
+                    for number, (_, order, size, needed) in enumerate(self.templates):
+                        if common[number] >= needed and self._can_reach(order, held, size, needed):
+                            share = common[number] / size
+                            last = min(start + BLOCK, len(words))
+                            run = runs.get(number)
+                            if run and start < run[2]:
+                                runs[number] = (run[0], run[1], last, max(run[3], share))
+                            else:
+                                if run:
+                                    found.append(run)
+                                runs[number] = (number, start, last, share)
+                held[first] -= 1
+                if not held[first]:
+                    del held[first]
+                    for number in self.holders[first]:
+                        common[number] -= 1
+            found.extend(runs.values())
+        return sorted(found)
+
+    @staticmethod
+    def _can_reach(order: list[int], held: dict[int, int], size: int, needed: int) -> bool:
+        """Positional filter: what stands after the first common word on both sides."""
+        place = next(i for i, token in enumerate(order) if token in held)
+        return 1 + min(size - place - 1, sum(token > order[place] for token in held)) >= needed
 
 
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
@@ -138,13 +181,13 @@ SCHEMA = (
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``n_words``, ``base`` (phrase places) and ``blocks`` (all that meet the threshold).
 
-    Blocks of ``BLOCK`` words start every ``STEP`` words, to the end of every
-    text. Texts that are NULL or have no words have neither places nor blocks.
+    Blocks of ``BLOCK`` words start at every word, to the end of every text;
+    those of one notice are one run. Texts that are NULL or have no words have neither places nor blocks.
     Repeated rows are scanned alike; columns called like the new ones are
     replaced; an empty table gives an empty table.
     """
     templates = TEMPLATES if templates is None else templates
-    docs = docs.drop("n_words", "base", "blocks")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "base", "blocks")))
     counts = token_counts(docs, vocabulary(templates), text)
     added = T.StructType.fromDDL(SCHEMA)
     schema, fields = T.StructType(docs.schema.fields + added.fields), list(arrow_schema(added))
@@ -164,7 +207,12 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
 
 def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with counts, labels and a score: 1 if a phrase stands in the text, else the best containment of a block."""
+    """``docs`` with counts, labels and a score: 1 if a phrase stands in the text, else the best containment of a block.
+
+    Texts that are NULL or empty have no words, empty labels and score 0. Equal
+    rows get equal results, columns called like the new ones are replaced, an
+    empty table gives an empty table.
+    """
     found = scan(docs, text)
     base = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
     every = F.array_sort(F.array_distinct(F.concat(F.transform("base", lambda b: b["label"]), F.transform("blocks", lambda b: b["label"]))))

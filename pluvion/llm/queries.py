@@ -167,12 +167,14 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ('this work is dedicated to the public domain cc0 1 0', 'cc0'),
         ('this source code form is subject to the terms of the mozilla public license', 'mpl-2.0'),
         ('all rights reserved no part of this publication may be reproduced', 'reserved')) as given(template, label)
-    ), starts as (
-      select doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 32) / 16.0))::bigint * 16 + 1, 16)) as s from parts
-    ), blocks as (
-      select doc_id, w[s + 1 : s + 32] as b from starts
+    ), tokens as (
+      select number, label, len(t) as size, unnest(t) as word from (select row_number() over (order by label, t) as number, label, t from templates)
+    ), occurs as (
+      select doc_id, number, label, size, p, word from words join tokens using (word)
     ), shares as (
-      select doc_id, label, len(t) as size, len(list_intersect(t, b)) as common from blocks, templates
+      select a.doc_id, a.label, a.size, a.number, a.p, count(distinct b.word) as common
+      from occurs a join occurs b on a.doc_id = b.doc_id and a.number = b.number and b.p between a.p and a.p + 31
+      group by a.doc_id, a.label, a.size, a.number, a.p
     ), near as (
       select doc_id, label, common::double / size as share from shares where common * 5 >= size * 4
     ), told as (
