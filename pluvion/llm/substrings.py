@@ -100,8 +100,9 @@ def extended(docs: DataFrame, window: int) -> DataFrame:
         winnow = Winnow(window)
         for batch in batches:
             rows, held = [], 0
-            for doc_id, mark, shared, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "shared", "text"))):
-                _, hashes, anchors = winnow.anchors(text.encode("utf-8"))
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            for doc_id, mark, shared, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "shared")), texts):
+                _, hashes, anchors = winnow.anchors(text)
                 anchors = anchors.view(np.int64)
                 starts = np.flatnonzero(np.isin(anchors, np.array(shared, dtype=np.int64)))
                 whole = winnow.long.grams(hashes, window).view(np.int64)[starts]
@@ -153,9 +154,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs of bytes other than ASCII white space. NULL and empty texts have no
     words. Rows that share an id are one document for this: they take nothing
     from each other. A row without an id is compared with nothing and keeps
-    all. Columns called like the new ones are replaced.
+    all. Bytes that are not UTF-8 stay as they are. An empty table gives an
+    empty table. Columns called like the new ones are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept")))
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     _, repeats = repeated_windows(plain, window)
     key, mark, starts, every = fresh(docs, "repeat_id", "repeat_mark", "repeat_starts", "repeat_all")
@@ -179,8 +181,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 words = [words[i] for i in np.flatnonzero(np.cumsum(steps[:n]) == 0)]
             counts.append(n)
             removed.append(n - len(words))
-            kept.append(b" ".join(words).decode("utf-8"))
-        columns = [batch.column(c) for c in others] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+            kept.append(b" ".join(words))
+        bytes_kept = pa.array(kept, pa.binary()).view(pa.string())  # the bytes of the text as they are, also where they are not UTF-8
+        columns = [batch.column(c) for c in others] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), bytes_kept]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
     return map_text(joined, text, run, schema)
