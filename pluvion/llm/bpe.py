@@ -311,7 +311,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     an empty table. Long pre-tokens take time n log n. Bytes that are not UTF-8
     count as U+FFFD.
     """
-    docs = docs.drop(ids) if ids in docs.columns else docs
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == ids.lower()))
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         coder = byte_pairs(path, pattern)
@@ -338,7 +338,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     Both steps share one worker and one vocabulary; the decoder sees nothing
     but the packed ids. Cases are those of the two functions.
     """
-    docs = docs.drop(*(c for c in (ids, out) if c in docs.columns))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in (ids.lower(), out.lower())))
     others = [c for c in docs.columns if c != text]
     fields = [docs.schema[c] for c in others] + T.StructType.fromDDL("i binary, d binary").fields
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip([*others, ids, out], fields)])

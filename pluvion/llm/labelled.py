@@ -32,4 +32,4 @@ def any_texts(docs: DataFrame, rows: int, most_bytes: int, seed: int = 2) -> lis
 
 def _texts(found: DataFrame, most_bytes: int, rows: int) -> list[tuple[bytes, int]]:
     picked = found.where(F.octet_length("text") <= most_bytes).select("doc_id", F.encode("text", "UTF-8").alias("b"), F.col("y").cast("int"))
-    return [(bytes(b), y) for _, b, y in sorted(tuple(r) for r in picked.limit(rows).collect())]
+    return [(bytes(b), y) for _, b, y in sorted(tuple(r) for r in picked.orderBy("doc_id", "b", "y").limit(rows).collect())]

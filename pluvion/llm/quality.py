@@ -158,9 +158,10 @@ def score_texts(docs: DataFrame, net, text: str = "text", out: str = "score") ->
     """``docs`` with ``out``: the probability of label 1 for every whole text (NULL like the empty text).
 
     Rows that repeat keep equal scores, other columns pass through, a column
-    called like ``out`` is replaced, an empty table gives an empty table.
+    called like ``out``, whatever its case, is replaced, an empty table gives an
+    empty table.
     """
-    docs = docs.drop(out) if out in docs.columns else docs
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == out.lower()))
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         scores = np.zeros(len(texts))
