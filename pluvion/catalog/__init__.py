@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["zones", "times", "tables", "network", "risk", "space", "quality", "water", "products", "streams"]
+AREAS = ["zones", "times", "tables", "network", "risk", "space", "quality", "water", "products", "streams", "files"]
 
 
 def _areas():

@@ -38,6 +38,19 @@ def upstream_members(spark, d):
     return graph.upstream_members(edges, edges.where("node IN (3, 5, 11, 22)"))
 
 
+@query(
+    "upstream_intervals",
+    "WITH RECURSIVE "
+    + NET_SQL.strip()
+    + """, walk(node, path) AS (SELECT node, [node] FROM net WHERE nxt IS NULL UNION ALL SELECT net.node, list_append(path, net.node) FROM walk JOIN net ON net.nxt = walk.node),
+    place AS (SELECT node, path, row_number() OVER (ORDER BY path) - 1 AS enter FROM walk),
+    size AS (SELECT up AS node, count(*) AS n FROM (SELECT unnest(path) AS up FROM walk) GROUP BY up)
+    SELECT node, enter, enter + n - 1 AS leave FROM place JOIN size USING (node)""",
+)
+def upstream_intervals(spark, d):
+    return graph.forest_intervals(net(spark, d))
+
+
 @query(
     "upstream_area",
     "WITH RECURSIVE "
@@ -229,7 +242,16 @@ def edge_entries(spark, d):
     return graph.name_entries(found, F.lit(3))
 
 
-@query("peak_suppression")
+@query(
+    "peak_suppression",
+    "WITH RECURSIVE "
+    + LDD_SQL.strip()
+    + """, pk AS (SELECT r, c, dem, row_number() OVER (ORDER BY dem DESC, r, c) AS k FROM g WHERE dem >= 950),
+    pass(k, kept) AS (SELECT 0::BIGINT, []::STRUCT(r BIGINT, c BIGINT, dem DOUBLE)[] UNION ALL
+      SELECT pk.k, CASE WHEN len(list_filter(kept, lambda x: abs(x.r - pk.r) <= 5 AND abs(x.c - pk.c) <= 5)) = 0 THEN list_append(kept, {'r': pk.r, 'c': pk.c, 'dem': pk.dem}) ELSE kept END
+      FROM pass JOIN pk ON pk.k = pass.k + 1)
+    SELECT x.r AS "row", x.c AS col, x.dem AS acc FROM (SELECT unnest(kept) AS x FROM pass WHERE k = (SELECT max(k) FROM pk))""",
+)
 def peak_suppression(spark, d):
     cells = ldd(spark, d).select("row", "col", F.col("dem").alias("acc")).where("acc >= 950")
     return graph.suppress_neighbours(cells, "acc", 5)

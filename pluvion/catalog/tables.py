@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pluvion.catalog import bind
 from pluvion.functions import dates, formats
-from pluvion.operators import filters
+from pluvion.operators import filters, graph
 from pluvion.sources import lean, manifest, vector, zonetext
 
 QUERIES, ORACLES, query = bind.area()
@@ -81,10 +81,14 @@ def append_dedupe(spark, d):
 
 @query(
     "total_sort",
-    bind.with_sql("SELECT gtime, zone_id, variable, mean_value FROM lean", LEAN_SQL),
+    bind.with_sql(
+        """SELECT gtime, zone_id, variable, mean_value, row_number() OVER (ORDER BY gtime, zone_id, variable, mean_value) - 1 AS place FROM lean""", LEAN_SQL
+    ),
 )
 def total_sort(spark, d):
-    return lean.sort_lean(lean_rows(spark, d)).select("gtime", "zone_id", "variable", "mean_value")
+    rows = lean_rows(spark, d).select("gtime", "zone_id", "variable", "mean_value")
+    placed = lean.sort_lean(rows, "mean_value").withColumn("_id", F.monotonically_increasing_id())  # grows with the order that the sort left
+    return graph.number_rows(placed, [F.col("_id")], "place").drop("_id")
 
 
 @query(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvion.operators.polygons import nearest_polygons, polygons_within
+from pluvion.operators.polygons import FANOUT, aligned_blocks, nearest_polygons, polygons_within
 from pluvion.session import cut_lineage
 
 # Row and column step of each drainage code; 5 is a pit.
@@ -131,54 +131,57 @@ def fold_upstream(edges: DataFrame, values: dict[str, str], how: str) -> DataFra
     return state.select("node", *names)
 
 
-def upstream_members(edges: DataFrame, outlets: DataFrame) -> DataFrame:
-    """``(outlet, node)``: all nodes that reach each outlet, the outlet included.
+def forest_intervals(edges: DataFrame) -> DataFrame:
+    """``(node, enter, leave)``: places of a walk over the network that meets every node before what lies upstream of it.
 
-    Outlets may lie upstream of one another. Every node is first sent to the
-    nearest outlet downstream of it; the few outlets are then linked to the
-    outlets below them.
+    The nodes upstream of a node, itself included, are those with ``enter``
+    between its ``enter`` and ``leave``, so whether one lies above another is a
+    range test and no pair of them is ever listed. Confluences are walked in
+    order of their nodes. Three steps: subtree sizes; for each node the sizes of
+    those before it at its confluence, as a running sum over the nodes in order;
+    and the sum of these along its path by pointer doubling. The network must
+    have no cycles.
     """
-    marked = edges.join(outlets.select("node").distinct().withColumn("_o", F.lit(True)), "node", "left")
-    nearest = (
-        follow_downstream(marked, stop=F.col("_o"))
-        .join(outlets.select(F.col("node").alias("last")).distinct(), "last", "left_semi")
-        .select("node", F.col("last").alias("outlet"))
-    )
-    below = (
-        outlets.select("node").distinct()
-        .join(edges.select("node", "next"), "node")
-        .join(nearest.select(F.col("node").alias("next"), F.col("outlet").alias("up")), "next", "left")
-        .select("node", F.col("up").alias("next"))
-    )
-    chains = outlet_chains(below)
-    return nearest.join(chains.select(F.col("node").alias("outlet"), F.col("below")), "outlet").select(
-        F.col("below").alias("outlet"), "node"
-    )
+    sizes = fold_upstream(edges.select("node", "next", F.lit(1).cast("bigint").alias("_one")), {"size": "_one"}, "sum")
+    rows = edges.select("node", "next").join(sizes, "node")
+    before = running_sum(rows, [F.col("next").asc_nulls_first(), F.col("node")], "size", "_before")
+    first = cut_lineage(before.groupBy(F.col("next").alias("_next")).agg(F.min("_before").alias("_first")))
+    ahead = before.join(first, F.col("next").eqNullSafe(F.col("_next"))).select(
+        "node", "size", F.col("next").alias("_p"), (F.col("_before") - F.col("_first") + F.col("next").isNotNull().cast("bigint")).alias("enter")
+    )
+    state = cut_lineage(ahead)
+    for _ in range(MAX_ROUNDS):
+        open_ = state.where("_p IS NOT NULL")
+        if open_.isEmpty():
+            break
+        hop = state.select(F.col("node").alias("_p"), F.col("_p").alias("_q"), F.col("enter").alias("_e"))
+        moved = open_.join(hop, "_p", "left").select("node", "size", F.col("_q").alias("_p"), (F.col("enter") + F.coalesce("_e", F.lit(0))).alias("enter"))
+        state = cut_lineage(state.where("_p IS NULL").unionByName(moved))
+    else:
+        raise ValueError("the network has a cycle; repair it before numbering")
+    return state.select("node", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"))
+
 
+def is_upstream(enter: Column, of_enter: Column, of_leave: Column) -> Column:
+    """Whether a node lies upstream of another or is it, from the numbers of :func:`forest_intervals`."""
+    return enter.between(of_enter, of_leave)
 
-def outlet_chains(edges: DataFrame) -> DataFrame:
-    """``(node, below)``: every node with itself and all nodes downstream of it.
 
-    Doubling on the pairs: after round k the pairs reach 2^k steps.
+def upstream_members(edges: DataFrame, outlets: DataFrame) -> DataFrame:
+    """``(outlet, node)``: all nodes that reach each outlet, the outlet included.
+
+    Outlets may lie upstream of one another. The interval of an outlet is cut
+    into its largest aligned blocks, and a node meets the blocks above its own
+    number by equality, so the rows made are the members themselves.
     """
-    pairs = cut_lineage(
-        edges.select("node", F.col("node").alias("below"))
-        .unionByName(edges.where("next IS NOT NULL").select("node", F.col("next").alias("below")))
-        .distinct()
+    places = cut_lineage(forest_intervals(edges))
+    wanted = places.join(outlets.select("node").distinct(), "node", "left_semi").select(
+        F.col("node").alias("outlet"), F.inline(aligned_blocks(F.col("enter"), F.col("leave"))).alias("level", "bx")
     )
-    size = pairs.count()
-    for _ in range(MAX_ROUNDS):
-        longer = pairs.join(
-            pairs.select(F.col("node").alias("below"), F.col("below").alias("_b")), "below"
-        ).select("node", F.col("_b").alias("below"))
-        pairs = cut_lineage(longer.distinct())
-        grown = pairs.count()
-        if grown == size:
-            break
-        size = grown
-    else:
-        raise RuntimeError("pairs still grow after 2^64 steps")
-    return pairs
+    top = places.agg(F.coalesce(F.floor(F.log(float(FANOUT), F.max(F.col("leave") - F.col("enter") + 1).cast("double")) + 1e-9), F.lit(0)).cast("int").alias("v")).scalar()
+    spread = places.select("node", "enter", F.explode(F.sequence(F.lit(0), top)).alias("level"))
+    size = F.pow(F.lit(float(FANOUT)), "level").cast("bigint")
+    return spread.withColumn("bx", F.floor(F.col("enter") / size)).join(wanted, ["level", "bx"]).select("outlet", "node")
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
@@ -364,6 +367,23 @@ def suppress_neighbours(points: DataFrame, value: str, distance: int = 5, keep:
 
 # ---------------------------------------------------------------- river segments
 
+def running_sum(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each one in ``order``.
+
+    Rows are dealt out by ranges of the order and summed in each; the ranges'
+    totals, one row each, give what lies before them. ``order`` must tell all
+    rows apart.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    ranged = cut_lineage(ranged)
+    parts = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("_part", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    summed = ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.drop("_part", "_at", "_start")
+
+
 def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int = 0) -> DataFrame:
     """Consecutive numbers in sort order without sorting everything in one task."""
     ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))

@@ -81,15 +81,15 @@ def tile_index(polygons: DataFrame, key: str, ring: str, tile: float, carry: Seq
     row = Window.partitionBy(key, "ty").orderBy("tx")
     marked = asked.unionByName(crossings).withColumn("odd", F.sum("_hit").over(east) % 2 == 1).where("_hit = 0")
     marked = marked.withColumn("_stop", F.lead("tx").over(row) - 1)
-    inner = F.when(F.col("odd") & (F.col("_stop") > F.col("tx")), _blocks(F.col("tx") + 1, F.col("_stop"))).otherwise(F.array().cast("array<struct<level:int,bx:bigint>>"))
+    inner = F.when(F.col("odd") & (F.col("_stop") > F.col("tx")), aligned_blocks(F.col("tx") + 1, F.col("_stop"))).otherwise(F.array().cast("array<struct<level:int,bx:bigint>>"))
     own = F.struct(F.lit(-1).alias("level"), F.col("tx").alias("bx"))
     cells = marked.withColumn("_cell", F.explode(F.concat(F.array(own), inner)))
     level = F.col("_cell.level")
     return cells.select(key, *carry, "ty", level.alias("level"), F.col("_cell.bx").alias("bx"), F.when(level < 0, F.col("edges")).alias("edges"), "odd")
 
 
-def _blocks(start: Column, stop: Column) -> Column:
-    """The largest aligned blocks that the tiles from ``start`` to ``stop`` consist of, as an array of (level, number)."""
+def aligned_blocks(start: Column, stop: Column) -> Column:
+    """The largest aligned blocks that the numbers from ``start`` to ``stop`` consist of, as an array of (level, number)."""
     top = F.floor(F.log(float(FANOUT), (stop - start + 1).cast("double")) + 1e-9).cast("int")
 
     def of(level: Column) -> Column:

@@ -404,31 +404,30 @@ def monthly_sequence(
 ) -> DataFrame:
     """Posterior per key and month with the previous posterior as prior.
 
-    One row per key and month goes in, so a key folds over its calendar only.
     The chain length keeps growing, which turns the prior off for good after
-    ``lookback`` months; ``reset=True`` starts a new chain instead.
+    ``lookback`` months; ``reset=True`` starts a new chain instead. A missing
+    likelihood ends a chain either way. So a month depends on at most
+    ``lookback`` others: months are numbered within their key, cut into chains,
+    and a month folds over its own chain only. No list of a key's months is
+    made.
     """
-    entry = F.struct(F.col(month).alias("m"), F.col(likelihood).alias("lik"))
-    first = F.struct(
-        F.lit(None).cast("array<double>").alias("prev"),
-        F.lit(0).alias("len"),
-        F.array().cast("array<struct<m:string,post:array<double>,prior:boolean>>").alias("out"),
-    )
-
-    def step(acc, x):
-        use = acc["prev"].isNotNull() & (acc["len"] < lookback)
-        blended = F.transform(acc["prev"], lambda p: decay * p + (1.0 - decay) * 0.2)
-        joint = F.zip_with(x["lik"], normalise(blended), lambda a, b: a * b)
-        post = F.when(use, normalise(joint)).otherwise(x["lik"])
-        grown = acc["len"] + 1
-        length = F.when(acc["prev"].isNull(), 1).otherwise(F.when(~use, 1).otherwise(grown) if reset else grown)
-        row = F.struct(x["m"].cast("string").alias("m"), post.alias("post"), use.alias("prior"))
-        return F.struct(post.alias("prev"), length.alias("len"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = df.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_seq"))
-    return folded.select(key, F.inline(F.aggregate("_seq", first, step)["out"])).select(
-        key, F.col("m").alias(month), F.col("post").alias("posterior"), F.col("prior").alias("temporal_prior")
-    )
+    calendar = W.partitionBy(key).orderBy(month, likelihood)
+    broken = F.sum(F.col(likelihood).isNull().cast("int")).over(calendar.rowsBetween(W.unboundedPreceding, -1))
+    rows = df.select(key, F.col(month), F.col(likelihood)).withColumn("_run", F.coalesce(broken, F.lit(0)))
+    place = (F.row_number().over(W.partitionBy(key, "_run").orderBy(month, likelihood)) - 1).alias("_at")
+    length = max(1, lookback)
+    at = F.col("_at")
+    chain = F.floor(at / length) if reset else F.when(at < length, F.lit(0).cast("bigint")).otherwise(at)
+    rows = rows.select("*", place).withColumn("_chain", chain)
+    far = W.partitionBy(key, "_run", "_chain").orderBy(month, likelihood).rowsBetween(1 - length, 0)
+    linked = rows.withColumn("_seq", F.collect_list(F.struct(F.col(likelihood).alias("lik"))).over(far))
+
+    def step(prior, x):
+        blended = normalise(F.transform(prior, lambda p: decay * p + (1.0 - decay) * 0.2))
+        return F.when(prior.isNull(), x["lik"]).otherwise(normalise(F.zip_with(x["lik"], blended, lambda a, b: a * b)))
+
+    folded = F.aggregate("_seq", F.lit(None).cast("array<double>"), step)
+    return linked.select(key, F.col(month).cast("string").alias(month), folded.alias("posterior"), (F.size("_seq") > 1).alias("temporal_prior"))
 
 
 def member_posteriors(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -70,5 +70,6 @@ def write_csv(df: DataFrame, folder: str, stamp: str) -> str:
     return path
 
 
-def sort_lean(df: DataFrame) -> DataFrame:
-    return df.orderBy("gtime", "zone_id", "variable")
+def sort_lean(df: DataFrame, *then: str) -> DataFrame:
+    """Rows in order of time, zone and variable, then of the given columns."""
+    return df.orderBy("gtime", "zone_id", "variable", *then)

@@ -18,11 +18,16 @@ _FEATURE = (
 def read_feature_collections(spark: SparkSession, path: str) -> DataFrame:
     """One row per line feature of the GeoJSON files under ``path``.
 
-    Files are read whole, one task each, as a JSON document has no line breaks
-    to split at; many files spread over the cluster.
+    A feature starts with its type, as every common writer puts it, so the
+    files are cut at the word ``"Feature"`` instead of at line breaks: Spark
+    splits a large file by byte ranges, and each task reads the whole features
+    that start in its range. What follows a feature's last bracket is not read.
+    Files whose features start with another member need :func:`features_of` on
+    whole texts.
     """
-    docs = spark.read.text(path, wholetext=True)
-    return features_of(docs, "value")
+    parts = spark.read.option("lineSep", '"Feature"').text(path)
+    feature = F.from_json(F.concat(F.lit('{"type":"Feature"'), "value"), _FEATURE)
+    return features_to_segments(parts.where(F.col("value").rlike(r"^\s*,")).select(feature.alias("f")), "f")
 
 
 def features_of(docs: DataFrame, column: str) -> DataFrame:
