@@ -347,7 +347,7 @@ def entry_numbers(spark, d):
     w AS (SELECT ch.river_id, ch.node, s.so, s.x2, s.y2, CAST(floor(log2(ch.node)) AS BIGINT) AS hops,
              2 * sqrt(power((x2 - x0) / 2 * 111.0 * cos(radians(-1.25)), 2) + power(0.222, 2)) AS km FROM ch JOIN seg s ON s.linkno + 1 = ch.node)
     SELECT river_id, arg_min(node, hops) AS outlet_linkno, max(so) AS max_order, min(so) AS min_order, count(*) AS n_segments, round(sum(km), 6) AS length_km,
-      round(arg_min(x2, hops), 6) AS outlet_lon, round(arg_min(y2, hops), 6) AS outlet_lat, string_agg(CAST(node AS VARCHAR), ';' ORDER BY hops DESC) AS all_linknos
+      round(arg_min(x2, hops), 6) AS outlet_lon, round(arg_min(y2, hops), 6) AS outlet_lat
     FROM w GROUP BY river_id""",
 )
 def river_summary(spark, d):
@@ -356,3 +356,18 @@ def river_summary(spark, d):
     chains = graph.trace_chains(edges.withColumn("pos", F.col("node")), "pos")
     out = graph.river_summary(seg, edges.select("node", "next"), chains)
     return out.withColumns({c: F.round(c, 6) for c in ("length_km", "outlet_lon", "outlet_lat")})
+
+
+@query(
+    "river_positions",
+    "WITH RECURSIVE "
+    + NET_SQL.strip()
+    + """, heads AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS rk FROM net n WHERE NOT EXISTS (SELECT 1 FROM net m WHERE m.nxt = n.node)),
+    down(rk, cur) AS (SELECT rk, node FROM heads UNION ALL SELECT down.rk, net.nxt FROM down JOIN net ON net.node = down.cur WHERE net.nxt IS NOT NULL),
+    ch AS (SELECT cur AS node, min(rk) AS river_id FROM down GROUP BY cur)
+    SELECT river_id, node, row_number() OVER (PARTITION BY river_id ORDER BY floor(log2(node)) DESC) - 1 AS place FROM ch""",
+)
+def river_positions(spark, d):
+    edges = net(spark, d)
+    chains = graph.trace_chains(edges.withColumn("pos", F.col("node")), "pos")
+    return graph.river_positions(edges.select("node", "next"), chains)

@@ -255,6 +255,21 @@ def attention_decision(spark, d):
     return out.select("id", "risk_level", "attention_state", F.round("confidence", 6).alias("confidence"))
 
 
+_TWENTIETHS = """
+p20 AS (SELECT p_partkey AS id, [(20 - k % 5 - k // 5 % 5 - k // 25 % 5 - k // 125 % 5) / 20e0, (k // 125 % 5) / 20e0, (k // 25 % 5) / 20e0, (k // 5 % 5) / 20e0, (k % 5) / 20e0] AS p FROM (SELECT p_partkey, p_partkey AS k FROM part))
+"""
+
+
+@query("attention_default", bind.with_sql(f"SELECT id, {decided('p', 0.2)} AS attention_state FROM p20", _TWENTIETHS))
+def attention_default(spark, d):
+    """Exact twentieths, so that many masses lie on a limit, under the default ratio."""
+    k = F.col("p_partkey")
+    digit = lambda n: F.floor(k / n) % 5
+    parts = [F.lit(20) - digit(1) - digit(5) - digit(25) - digit(125), digit(125), digit(25), digit(5), digit(1)]
+    p = F.array(*[x / F.lit(20.0) for x in parts])
+    return bind.table(spark, d, "part").select(k.alias("id"), decision.attention(p)["state"].alias("attention_state"))
+
+
 @query(
     "risk_distribution",
     bind.with_sql(f"SELECT {_LEVEL} AS risk_level, count(*) AS n FROM r GROUP BY 1", EVIDENCE_SQL, risk_cte("r", "idx")),

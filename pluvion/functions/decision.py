@@ -44,6 +44,7 @@ def attention(probs: Column, ratio: float = 0.2) -> Column:
     multiples, which have floors.
     """
     p = lambda i: F.element_at(probs, i)
+    # The floors 0.40 and 0.30 and the texts of the rungs.
     rungs = [
         (4, p(4) + p(5), ratio, "High∪Extreme", "C/L="),
         (3, p(3) + p(4) + p(5), max(2 * ratio, 0.40), "Mod∪High∪Extreme", ""),

@@ -457,8 +457,15 @@ def segment_length_km(coords: str, latitude: float = -1.25) -> Column:
     return F.when(F.size(coords) >= 2, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
 
 
+def river_positions(edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """``(river_id, node, place)``: the place of each segment in its river, 0 at the headwater; one row a segment, whatever a river's length."""
+    rows = chains.select("node", "river_id").join(follow_downstream(edges).select("node", "hops"), "node")
+    start = cut_lineage(rows.groupBy("river_id").agg(F.max("hops").alias("_most")))
+    return rows.join(start, "river_id").select("river_id", "node", (F.col("_most") - F.col("hops")).alias("place"))
+
+
 def river_summary(segments: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
-    """Orders, segment count, length, outlet and member list of each river chain."""
+    """Orders, segment count, length and outlet of each river chain; :func:`river_positions` tells its members in order."""
     ends = follow_downstream(edges)
     rows = (
         segments.withColumnRenamed("linkno", "node")
@@ -466,7 +473,6 @@ def river_summary(segments: DataFrame, edges: DataFrame, chains: DataFrame) -> D
         .join(ends.select("node", "hops"), "node")
         .select("river_id", "node", "stream_order", "hops", segment_length_km("coords").alias("km"), F.element_at("coords", -1).alias("e"))
     )
-    path = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("hops", "node")))), lambda x: x["node"].cast("string"))
     return rows.groupBy("river_id").agg(
         F.min_by("node", "hops").alias("outlet_linkno"),
         F.max("stream_order").alias("max_order"),
@@ -474,10 +480,9 @@ def river_summary(segments: DataFrame, edges: DataFrame, chains: DataFrame) -> D
         F.count("*").alias("n_segments"),
         F.sum("km").alias("length_km"),
         F.min_by("e", "hops").alias("_e"),
-        F.concat_ws(";", path).alias("all_linknos"),
     ).select(
         "river_id", "outlet_linkno", "max_order", "min_order", "n_segments", "length_km",
-        F.col("_e.lon").alias("outlet_lon"), F.col("_e.lat").alias("outlet_lat"), "all_linknos",
+        F.col("_e.lon").alias("outlet_lon"), F.col("_e.lat").alias("outlet_lat"),
     )
 
 

@@ -75,16 +75,18 @@ def nearest_site(
 
 
 def inverse_distance(
-    cells: DataFrame, gauges: DataFrame, cell: Sequence[str], x: str, y: str, value: str, power: int = 2, floor: float = 1e6
+    cells: DataFrame, gauges: DataFrame, cell: Sequence[str], x: str, y: str, value: str, power: int = 2, floor: float = 1e6, most: int = 1000
 ) -> DataFrame:
     """Gauge values spread over cells with weight 1 / max(d^2, floor)^power.
 
-    Gauges are a fixed short list (a handful of stations); they travel as one
-    array, so the cells are read once and never shuffled.
+    Gauges are a short list (a handful of stations); they travel as one array,
+    so the cells are read once and never shuffled. More than ``most`` gauges are
+    refused: every gauge bears on every cell, and a larger network has to be
+    thinned by its owner rather than here.
     """
-    stations = gauges.agg(
-        F.array_sort(F.collect_list(F.struct(F.col("gauge"), F.col("x"), F.col("y"), F.col(value).alias("v")))).alias("s")
-    ).scalar()
+    few = F.when(F.count("*") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} gauges")).cast("boolean"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("gauge"), F.col("x"), F.col("y"), F.col(value).alias("v"))))
+    stations = gauges.limit(most + 1).agg(F.when(few, listed).alias("s")).scalar()
     weighted = F.transform(
         "_s",
         lambda g: F.struct(
