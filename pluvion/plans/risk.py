@@ -102,13 +102,34 @@ def special_cases(current: Column, deficit: Column, spatial: Column, trend: Colu
     ]
 
 
-def _widened(values: Sequence[float], agreement: Column) -> Column:
-    """A rule's vector mixed with an even one by agreement and normalised; three constants."""
+def widened(values: Sequence[float]) -> list[list[float]]:
+    """A rule's vector mixed with an even one by agreement and normalised; three constant vectors."""
     rows = []
     for mix in EVEN_MIX:
         mixed = [(1.0 - mix) * v + mix * 0.2 for v in values]
-        rows.append(_vector([m / sum(mixed) for m in mixed]))
-    return F.element_at(F.array(*rows), agreement.cast("int"))
+        rows.append([m / sum(mixed) for m in mixed])
+    return rows
+
+
+def _widened(values: Sequence[float], agreement: Column) -> Column:
+    return F.element_at(F.array(*map(_vector, widened(values))), agreement.cast("int"))
+
+
+def risk_tensor(shared_signal: float = SHARED_SIGNAL) -> np.ndarray:
+    """The risk vectors of all combinations as an array (agreement, current, deficit, spatial, trend, tail, indicator, risk).
+
+    The same rules as :func:`risk_probabilities`, worked out when a plan is built; no Spark job.
+    """
+    agr, cur, deficit, spa, trn, tail, cdi = np.meshgrid(*(np.arange(1, k + 1) for k in (3, 5, 5, 3, 3, 4, 6)), indexing="ij")
+    of = lambda values, index: np.array(values)[index - 1]
+    d = deficit - 1
+    fresh = 1.0 - shared_signal * d / 4.0
+    score = (cur - 1) * CURRENT_WEIGHT + of(FORECAST_TRUST, agr) * (d * DEFICIT_WEIGHT + (of(SPATIAL_ADD, spa) + of(TAIL_ADD, tail)) * fresh)
+    score = score + of(TREND_ADD, trn)
+    score = score + of(CDI_ADD, cdi)
+    rules = special_cases(cur, deficit, spa, trn, tail, cdi) + [(score < limit if limit is not None else score == score, values) for limit, values in SCORE_BANDS]
+    chosen = np.argmax(np.stack([met for met, _ in rules]), axis=0)
+    return np.array([widened(values) for _, values in rules])[chosen, agr - 1]
 
 
 def risk_table(spark: SparkSession, shared_signal: float = SHARED_SIGNAL) -> DataFrame:
@@ -208,11 +229,10 @@ def infer_soft_long(df: DataFrame, key: Sequence[str], agreement: Column, includ
 def infer_soft(df: DataFrame, agreement: Column, include_cdi: bool = True) -> DataFrame:
     """The same posterior without expanding rows: a vectorised contraction per batch.
 
-    The risk table has a fixed size; it is read once and travels with the
-    function. Use it when rows carry wide evidence.
+    The risk table has a fixed size and travels with the function. Use it when
+    rows carry wide evidence.
     """
-    rows = risk_table(df.sparkSession).orderBy("agr", "cur", "def", "spa", "trn", "tail", "cdi").select("risk").collect()
-    tensor = np.array([r.risk for r in rows]).reshape(3, 5, 5, 3, 3, 4, 6, 5)
+    tensor = risk_tensor()
     flat = tensor if include_cdi else tensor[..., :1, :]
 
     @F.pandas_udf("array<double>")

@@ -218,3 +218,10 @@ def test_full_assessment_switches(spark):
     assert "agri" not in off.asDict()
     soft = risk.assess(df.drop("cdi_level_idx"), include_agreement=False).head()
     assert soft.posterior == pytest.approx(plain.posterior, abs=1e-12)
+
+
+def test_tensor_is_the_table(spark):
+    rows = risk.risk_table(spark).orderBy("agr", "cur", "def", "spa", "trn", "tail", "cdi").select("risk").collect()
+    tensor = risk.risk_tensor()
+    assert tensor.shape == (3, 5, 5, 3, 3, 4, 6, 5)
+    assert [list(r.risk) for r in rows] == tensor.reshape(-1, 5).tolist()
