@@ -9,6 +9,7 @@ from pluvion.catalog.tables import LEAN_SQL, lean_rows
 from pluvion.functions.statistics import normal_cdf
 from pluvion.operators import align
 from pluvion.plans import bias, evidence, forcing, nodes, spi, zonefiles
+from pluvion.session import cut_lineage
 
 QUERIES, ORACLES, query = bind.area()
 
@@ -68,7 +69,7 @@ fin AS (SELECT z.zone_id, st.*, CASE WHEN tot > 0 THEN med END AS m, least(1.0,
     ),
 )
 def wrsi_node(spark, d):
-    cells = _cells(spark, d).withColumnRenamed("v", "wrsi")
+    cells = cut_lineage(_cells(spark, d).withColumnRenamed("v", "wrsi"))
     return nodes.wrsi_node(cells, _zones(spark, d), cells.drop("zone_id"))
 
 

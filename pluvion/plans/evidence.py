@@ -10,6 +10,7 @@ from pluvion.functions import dates
 from pluvion.functions.soft import add_soft_columns
 from pluvion.operators import ensemble, temporal, zonal
 from pluvion.operators.quantiles import exact_quantiles
+from pluvion.session import cut_lineage
 
 
 def observed(obs: DataFrame, last: Column, months: int = 6, clip_at: float = 4.0) -> DataFrame:
@@ -22,10 +23,10 @@ def observed(obs: DataFrame, last: Column, months: int = 6, clip_at: float = 4.0
     window = obs.withColumns({"_last": last, "spi": ensemble.clip(F.col("spi"), clip_at)}).where(
         (F.col("m") > F.col("_last") - months) & (F.col("m") <= F.col("_last"))
     )
-    monthly = window.groupBy("zone_id", "m").agg(
+    monthly = cut_lineage(window.groupBy("zone_id", "m").agg(
         zonal.weighted_mean(F.col("spi"), zonal.latitude_weight(F.col("lat"))).alias("v"),
         F.bool_or("fallback").alias("fallback"), F.max("_last").alias("_last"),
-    )
+    ))
     slopes = temporal.trend_slope(monthly.where(~F.col("fallback")), ["zone_id"], "m", "v", months, "slope")
     current = monthly.where(F.col("m") == F.col("_last")).select("zone_id", F.col("v").alias("current_spi3"))
     return current.join(slopes, "zone_id", "left")
@@ -55,6 +56,7 @@ def forecast_cells(fcst: DataFrame, threshold: str | float, rp: str = "rp", memb
 
 def forecast(cells: DataFrame) -> DataFrame:
     """Area-weighted district values of the cell statistics."""
+    cells = cut_lineage(cells)  # means and quantiles read them, the members only this once
     w = zonal.latitude_weight(F.col("lat"))
     mean = lambda c: zonal.weighted_mean(F.col(c), w)
     share = lambda c: zonal.threshold_share(F.col(c), w, 0.5)

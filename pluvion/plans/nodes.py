@@ -9,6 +9,7 @@ from pluvion.functions import categories as C
 from pluvion.functions.soft import phase_soft
 from pluvion.operators import temporal, zonal
 from pluvion.operators.quantiles import weighted_median
+from pluvion.session import cut_lineage
 
 # Stress limit, cover gate, critical vegetation anomaly, guard share, warning share, maturity.
 STRESS_BELOW, COVER_GATE = 80.0, 0.25
@@ -39,7 +40,7 @@ def wrsi_node(
     """
     rows = _weighted(zonal.with_fallback_cells(zoned, zones, cells, zone, value), cover)
     v, w = F.col(value), F.col("_w")
-    rows = rows.withColumn("_k", F.when(v.isNotNull(), C.wrsi_index(v)))
+    rows = cut_lineage(rows.withColumn("_k", F.when(v.isNotNull(), C.wrsi_index(v))))  # three reductions read them
     live = rows.where(v.isNotNull())
     shares = zonal.class_shares(rows, [zone], "_k", "_w", [1, 2, 3, 4], "w10_p", "_w" if cover else None, COVER_GATE)
     stats = rows.groupBy(zone).agg(
