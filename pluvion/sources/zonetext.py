@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +35,47 @@ def _with_header(lines: DataFrame) -> DataFrame:
     return lines.join(header, "file").where(F.col("pos") > F.col("_first"))
 
 
-def parse_zone_lines(lines: DataFrame) -> DataFrame:
-    """``(file, julian, zone_id, value)`` of ``NA,id,id..`` files.
+def _zone_days(lines: DataFrame) -> DataFrame:
+    """``(file, julian, _ids, _parts)``: one row a day with the zone ids of its file and the texts of their values.
 
-    Rows are padded with 0 or cut to the header; empty, ``NA`` and unreadable
-    values are 0. A repeated day keeps its last line. The lines are read once:
-    they are put together by file and first word, which leaves one row a day,
-    and the first of a file's rows carries its header to the others.
+    The lines are read once: they are put together by file and first word,
+    which leaves one row a day, and the first of a file's rows gives its ids to
+    the others. The header is taken apart once a file.
     """
     text = F.trim("value")
-    fits = F.size(F.split(text, ",")) >= 2
-    days = lines.groupBy("file", F.trim(F.split(text, ",")[0]).alias("julian")).agg(
+    fits = F.contains(text, F.lit(","))
+    days = lines.groupBy("file", F.trim(F.substring_index(text, ",", 1)).alias("julian")).agg(
         F.min("pos").alias("_from"), F.min_by(text, "pos").alias("_head"),
         F.max(F.when(fits, F.col("pos"))).alias("_to"), F.max_by(F.when(fits, text), F.when(fits, F.col("pos"))).alias("_line"),
     )
     file = Window.partitionBy("file")
     ids = F.transform(
-        F.filter(F.split(F.expr("substring(_header, 4)"), ","), lambda x: F.trim(x).rlike("^[0-9]+$")), lambda x: F.trim(x).cast("int")
+        F.filter(F.split(F.expr("substring(_head, 4)"), ","), lambda x: F.trim(x).rlike("^[0-9]+$")), lambda x: F.trim(x).cast("int")
     )
-    rows = (
-        days.withColumns({"_start": F.min("_from").over(file), "_header": F.min_by("_head", "_from").over(file)})
-        .where(F.startswith(F.col("_header"), F.lit("NA,")) & (F.col("_to") > F.col("_start")) & (F.col("_line") != ""))
-        .select("file", "julian", F.split("_line", ",").alias("_parts"), F.posexplode(ids).alias("_i", "zone_id"))
+    heads = (F.col("_from") == F.col("_start")) & F.startswith(F.col("_head"), F.lit("NA,"))
+    return (
+        days.withColumn("_start", F.min("_from").over(file))
+        .withColumn("_ids", F.first(F.when(heads, ids), ignorenulls=True).over(file))
+        .where(F.col("_ids").isNotNull() & (F.col("_to") > F.col("_start")) & (F.col("_line") != ""))
+        .select("file", "julian", "_ids", F.slice(F.split("_line", ","), F.lit(2), F.size("_ids")).alias("_parts"))
     )
-    number = F.nanvl(F.trim(F.get(F.col("_parts"), F.col("_i") + 1)).try_cast("double"), F.lit(0.0))
-    return rows.select("file", "julian", "zone_id", F.coalesce(number, F.lit(0.0)).alias("value"))
+
+
+def _zone_cells(days: DataFrame) -> DataFrame:
+    """One row per zone id of the rows of :func:`_zone_days`; a cell carries the day's other columns, not its arrays."""
+    rest = [c for c in days.columns if c not in ("_ids", "_parts")]
+    cells = days.select(*rest, F.inline(F.arrays_zip("_ids", "_parts")).alias("zone_id", "_text"))
+    number = F.nanvl(F.trim("_text").try_cast("double"), F.lit(0.0))
+    return cells.select(*rest, "zone_id", F.coalesce(number, F.lit(0.0)).alias("value"))
+
+
+def parse_zone_lines(lines: DataFrame) -> DataFrame:
+    """``(file, julian, zone_id, value)`` of ``NA,id,id..`` files.
+
+    Rows are padded with 0 or cut to the header; empty, ``NA`` and unreadable
+    values are 0. A repeated day keeps its last line.
+    """
+    return _zone_cells(_zone_days(lines))
 
 
 def zone_lines_to_lean(lines: DataFrame, processed_at: str, source_day: str, variable: Column | None = None) -> DataFrame:
@@ -66,18 +84,16 @@ def zone_lines_to_lean(lines: DataFrame, processed_at: str, source_day: str, var
     code = variable if variable is not None else F.element_at(
         F.create_map(*[F.lit(x) for kv in ZONE_FILE_CODES.items() for x in kv]), name
     )
-    return (
-        parse_zone_lines(lines)
-        .select(
-            julian_to_gtime(F.col("julian")).alias("gtime"),
-            "zone_id",
-            F.lit(1).alias("zone_nu"),
-            code.alias("variable"),
-            F.col("value").alias("mean_value"),
-            F.lit(processed_at).alias("processed_at"),
-            F.lit(f"hc_{source_day}").alias("source_date"),
-        )
-        .where(F.col("gtime").isNotNull() & F.col("variable").isNotNull())
+    days = _zone_days(lines).withColumns({"gtime": julian_to_gtime(F.col("julian")), "variable": code})
+    known = days.where(F.col("gtime").isNotNull() & F.col("variable").isNotNull())
+    return _zone_cells(known).select(
+        "gtime",
+        "zone_id",
+        F.lit(1).alias("zone_nu"),
+        "variable",
+        F.col("value").alias("mean_value"),
+        F.lit(processed_at).alias("processed_at"),
+        F.lit(f"hc_{source_day}").alias("source_date"),
     )
 
 
@@ -128,10 +144,10 @@ def positions_by_code(shapes: DataFrame) -> DataFrame:
     )
 
 
-def day_line(day: Column, cells: Column, size: Column) -> Column:
+def day_line(day: Column, cells: Column, size: Column, text: Callable[[Column], Column] = lambda x: zone_value_text(x["value"])) -> Column:
     """Text line of a day from its ``(pos, value)`` cells in order of their positions; positions without a value read 0."""
     before = lambda i: F.coalesce(F.get(cells, i - 1)["pos"], F.lit(-1))
-    pieces = F.transform(cells, lambda x, i: F.concat(F.repeat(F.lit("0,"), x["pos"] - before(i) - 1), zone_value_text(x["value"])))
+    pieces = F.transform(cells, lambda x, i: F.concat(F.repeat(F.lit("0,"), x["pos"] - before(i) - 1), text(x)))
     rest = F.repeat(F.lit(",0"), size - 1 - F.element_at(cells, -1)["pos"])
     return F.concat(day, F.lit(","), F.array_join(pieces, ","), rest)
 
@@ -142,8 +158,10 @@ def zone_lines(values: DataFrame, zone_size: DataFrame, day: str = "julian") ->
     ``values`` has zone, day, pos, value; positions without a value read 0. A
     line is as long as the zone's header, whatever the number of days.
     """
-    cells = values.groupBy("zone", day).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_v"))
-    return cells.join(zone_size, "zone").select("zone", day, day_line(F.col(day), F.col("_v"), F.col("size")).alias("line"))
+    texts = values.select("zone", day, "pos", "value", zone_value_text(F.col("value")).alias("text"))
+    cells = texts.groupBy("zone", day).agg(F.array_sort(F.collect_list(F.struct("pos", "value", "text"))).alias("_v"))
+    line = day_line(F.col(day), F.col("_v"), F.col("size"), lambda x: x["text"])
+    return cells.join(zone_size, "zone").select("zone", day, line.alias("line"))
 
 
 def header_lines(zone_header: DataFrame) -> DataFrame:
