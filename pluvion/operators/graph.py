@@ -465,7 +465,7 @@ def river_positions(edges: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def river_summary(segments: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
-    """Orders, segment count, length and outlet of each river chain; :func:`river_positions` tells its members in order."""
+    """Orders, segment count, length, outlet and member list of each river chain; :func:`river_positions` tells the members as rows."""
     ends = follow_downstream(edges)
     rows = (
         segments.withColumnRenamed("linkno", "node")
@@ -473,6 +473,7 @@ def river_summary(segments: DataFrame, edges: DataFrame, chains: DataFrame) -> D
         .join(ends.select("node", "hops"), "node")
         .select("river_id", "node", "stream_order", "hops", segment_length_km("coords").alias("km"), F.element_at("coords", -1).alias("e"))
     )
+    path = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("hops", "node")))), lambda x: x["node"].cast("string"))
     return rows.groupBy("river_id").agg(
         F.min_by("node", "hops").alias("outlet_linkno"),
         F.max("stream_order").alias("max_order"),
@@ -480,9 +481,10 @@ def river_summary(segments: DataFrame, edges: DataFrame, chains: DataFrame) -> D
         F.count("*").alias("n_segments"),
         F.sum("km").alias("length_km"),
         F.min_by("e", "hops").alias("_e"),
+        F.concat_ws(";", path).alias("all_linknos"),
     ).select(
         "river_id", "outlet_linkno", "max_order", "min_order", "n_segments", "length_km",
-        F.col("_e.lon").alias("outlet_lon"), F.col("_e.lat").alias("outlet_lat"),
+        F.col("_e.lon").alias("outlet_lon"), F.col("_e.lat").alias("outlet_lat"), "all_linknos",
     )
 
 
