@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvion.llm import bpe, minhash, mixing, quality, substrings
+from pluvion.llm import bpe, mixing, quality, simhash, substrings
 from pluvion.llm.base import fresh, saved, table
 from pluvion.llm.queries import PATTERN, RANKS
 
@@ -25,8 +25,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word Jaccard similarity of 0.8 and more), that with the smallest id."""
-    return minhash.deduplicate(docs, words=5, least=0.8)
+    """One document of each group of near-copies, that with the smallest id.
+
+    SimHash fingerprints of five-word shingles within four bits link after an
+    exact check (Jaccard similarity of 0.8 and more); pairs that similar whose
+    fingerprints lie further apart are found by min-wise hashes.
+    """
+    return simhash.deduplicate(docs, words=5, least=0.8)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +140,11 @@ def prefixes(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return made
 
 
-def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+#: Makes links ``(a, b)`` of keys to be checked from ``docs(doc_id, text_mark, text)`` and ``nodes(key, doc_id, text_mark)``.
+Offer = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, offer: Offer | None = None) -> tuple[DataFrame, DataFrame]:
     """``nodes(key, doc_id, text_mark)`` with the first row of each set of shingles, and ``(node, component)`` of the linked keys.
 
     ``docs`` has ``doc_id``, ``text_mark`` and ``text``. Keys that share a
@@ -151,7 +155,8 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[Da
     others were copied from, and then, where their components still differ and
     the positions of the shingle allow the similarity, with each other. So the
     pairs grow with the shared rare shingles, not with the square of a bucket,
-    and no pair of open keys is left out.
+    and no pair of open keys is left out. Links that ``offer`` makes are checked
+    along with the first pairs.
     """
     marked = saved(sketches(docs, words), "sketches")
     nodes = saved(
@@ -164,7 +169,11 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[Da
     shared = saved(places.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("low"), F.max("key").alias("high")).where("low.key < high").drop("high"), "buckets")
     members = saved(places.join(shared, "bucket"), "members")
     forget(shared)
-    wanted = nodes.join(members.select("key").distinct(), "key").select("key", "doc_id", "text_mark")
+    offered = saved(offer(docs, nodes.select("key", "doc_id", "text_mark")), "offered") if offer else None
+    touched = members.select("key")
+    if offered is not None:
+        touched = touched.union(offered.select("a")).union(offered.select("b"))
+    wanted = nodes.join(touched.distinct(), "key").select("key", "doc_id", "text_mark")
     texts = docs.join(wanted, ["doc_id", "text_mark"]).dropDuplicates(["doc_id", "text_mark"])
     sets = saved(shingle_sets(texts, words), "sets")
     close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
@@ -188,7 +197,10 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[Da
         return placed.join(mixed, by)
 
     first = members.where("key <> low.key").where(close("n", "low.n"))
-    links = checked(first.select(F.col("key").alias("a"), F.col("low.key").alias("b")))
+    pairs = first.select(F.col("key").alias("a"), F.col("low.key").alias("b"))
+    links = checked(pairs if offered is None else pairs.union(offered))
+    if offered is not None:
+        forget(offered)
     open_ = saved(labelled(members, "bucket", links).select("key", "n").distinct(), "open")
     forget(members)
     rare = prefixes(open_, sets, least)
@@ -210,7 +222,9 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[Da
     return nodes.select("key", "doc_id", "text_mark"), found
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, offer: Offer | None = None
+) -> DataFrame:
     """The row with the smallest id of each group of near-duplicates, columns unchanged.
 
     Texts are linked from a Jaccard similarity of ``least`` on; those without
@@ -220,7 +234,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     name, an empty table gives an empty table.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_mark"), F.col(text).alias("text"))
-    nodes, found = near_groups(plain.where("doc_id is not null"), words, least)
+    nodes, found = near_groups(plain.where("doc_id is not null"), words, least, offer)
     placed = nodes.join(found, nodes["key"] == found["node"], "left").withColumn("component", F.coalesce("component", "key"))
     keep = saved(placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_mark")).alias("first")).select("first.doc_id", "first.text_mark"), "keep")
     forget(nodes)

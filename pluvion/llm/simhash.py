@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvion.llm.base import forest, map_text, representatives, saved
+from pluvion.llm import minhash
+from pluvion.llm.base import forest, forget, map_text, representatives, saved
 from pluvion.llm.components import components
 
 SHINGLE_BLOCK = 1 << 16
@@ -146,13 +147,43 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     return marked.join(placed, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
+def key_links(docs: DataFrame, nodes: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+    """Links ``(a, b)`` of the keys of ``nodes(key, doc_id, text_mark)`` whose texts in ``docs`` have fingerprints within ``radius`` bits.
+
+    Keys of one fingerprint are linked to the smallest, which stands for it in the ball search.
+    """
+    prints = saved(fingerprints(docs.select("doc_id", "text_mark", "text"), words=words), "fingerprints")
+    marked = saved(prints.join(nodes, ["doc_id", "text_mark"]).select("key", "fingerprint").distinct(), "marked")
+    forget(prints)
+    marks = saved(marked.groupBy("fingerprint").agg(F.min("key").alias("node")), "marks")
+    same = marked.join(marks, "fingerprint").where("key <> node").select(F.col("node").alias("a"), F.col("key").alias("b"))
+    links = ball_links(marks.select(F.col("fingerprint").alias("mark")), radius)
+    ends = (
+        links.join(marks.select(F.col("fingerprint").alias("a"), F.col("node").alias("na")), "a")
+        .join(marks.select(F.col("fingerprint").alias("b"), F.col("node").alias("nb")), "b")
+        .select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    )
+    made = saved(same.union(ends), "links")
+    forget(marked)
+    forget(marks)
+    return made
+
+
+def deduplicate(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, words: int = 4, least: float | None = None
+) -> DataFrame:
     """The row with the smallest id of each near-duplicate group, columns unchanged.
 
     Groups are made of fingerprints, so rows that share an id but not a group
     stand for themselves; in one group they count once, by the smallest text
     hash. Rows without an id belong to no group and stay.
+
+    With ``least`` a link counts only if the exact Jaccard similarity of the
+    word shingles is at least that, and pairs that similar whose fingerprints
+    lie further apart are linked too (see :mod:`minhash`).
     """
+    if least is not None:
+        return minhash.deduplicate(docs, doc_id, text, words, least, lambda texts, nodes: key_links(texts, nodes, radius, words))
     plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_mark"), F.col(text).alias("text"))
     marked = saved(fingerprints(plain, words=words), "fingerprints")
     found = components(ball_links(marked.select(F.col("fingerprint").alias("mark")).distinct(), radius))
