@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvion.session import cut_lineage
+from pluvion.session import cut_lineage, spread
 
 
 # ---------------------------------------------------------------- time
@@ -222,15 +222,32 @@ def apply_weights(
 
     All values go through one join and one aggregate; the number of corners
     comes from the weights. Without ``by`` every target appears, also one whose
-    corners are all absent; with ``by`` the steps are those of the grid.
+    corners are all absent; with ``by`` the steps are those of the grid. Targets
+    with the same corner cells share what the grid has there: the values of a
+    set of corners are put together once a step, and a target meets one row a
+    step that holds all it needs, so nothing is summed across a shuffle.
     """
-    summed = weights.join(grid, ["row", "col"], "inner" if by else "left").groupBy(key, *by).agg(
+    if by:
+        corners = F.array_sort(F.collect_list(F.struct("row", "col", "weight")))
+        of = lambda *names: F.transform("_c", lambda c: F.struct(*[c[n].alias(n) for n in names]) if len(names) > 1 else c[names[0]])
+        targets = weights.groupBy(key).agg(F.max("corners").alias("_need"), corners.alias("_c")).select(
+            key, "_need", of("row", "col").alias("_at"), of("weight").alias("_w")
+        )
+        places = targets.select("_at").distinct().select("_at", F.posexplode("_at").alias("_i", "_p")).select("_at", "_i", "_p.*")
+        held = places.join(grid, ["row", "col"]).groupBy("_at", *by).agg(
+            F.collect_list(F.struct("_i", *values)).alias("_f"), *[F.count(v).alias(f"_n_{v}") for v in values]
+        )
+        dot = lambda v: F.aggregate("_f", F.lit(0.0), lambda a, f: a + F.coalesce(F.get("_w", f["_i"]) * f[v], F.lit(0.0)))
+        return spread(targets).join(held, "_at").select(
+            key, *by, *[F.when(F.col(f"_n_{v}") == F.col("_need"), dot(v)).alias(v) for v in values]
+        )
+    summed = weights.join(grid, ["row", "col"], "left").groupBy(key).agg(
         F.max("corners").alias("_need"),
         *[F.sum(F.col("weight") * F.col(v)).alias(f"_s_{v}") for v in values],
         *[F.count(v).alias(f"_n_{v}") for v in values],
     )
     return summed.select(
-        key, *by, *[F.when(F.col(f"_n_{v}") == F.col("_need"), F.col(f"_s_{v}")).alias(v) for v in values]
+        key, *[F.when(F.col(f"_n_{v}") == F.col("_need"), F.col(f"_s_{v}")).alias(v) for v in values]
     )
 
 
