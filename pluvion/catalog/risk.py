@@ -8,6 +8,7 @@ from pluvion.catalog import bind
 from pluvion.functions import categories as C
 from pluvion.functions import decision, soft
 from pluvion.plans import cdi, risk
+from pluvion.session import spread
 
 QUERIES, ORACLES, query = bind.area()
 
@@ -288,7 +289,7 @@ crop AS (SELECT *, list_transform([1, 2, 3, 4], lambda i: CASE WHEN i = floor(t)
 
 
 def _crop_rows(spark, d):
-    rows = risk.infer_hard(risk.with_indices(evidence(spark, d)), include_tail=True, include_cdi=True)
+    rows = risk.infer_hard(risk.with_indices(spread(evidence(spark, d))), include_tail=True, include_cdi=True)
     phase = (F.col("id") % 3 + 1).cast("int")
     crop = risk.infer_crop(
         risk.one_hot(C.wrsi_index(F.col("wrsi10_value")), 4),
@@ -346,7 +347,7 @@ ag AS (SELECT id, [{", ".join(f"sum(wt * CASE WHEN floor(t) = {i} THEN 1 - (t -
     ),
 )
 def full_assessment(spark, d):
-    out = risk.assess(evidence(spark, d), include_tail=True, include_cdi=True, include_crop=True, include_fpar=True, ratio=RATIO)
+    out = risk.assess(spread(evidence(spark, d)), include_tail=True, include_cdi=True, include_crop=True, include_fpar=True, ratio=RATIO)
     agri = F.col("agri")
     return out.select(
         "id", "risk_level", "attention_state_met", "crop_stress", "attention_state", F.round("confidence_met", 6).alias("confidence_met"),

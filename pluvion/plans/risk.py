@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pluvion.functions import categories as C
-from pluvion.functions.decision import array_sum, attention, confidence, normalise, top_state
+from pluvion.functions.decision import array_sum, attention, bound, confidence, normalise, top_state
 from pluvion.operators.filters import soft_columns
 
 # Weights of the additive risk score.
@@ -308,12 +308,11 @@ def crop_table(spark: SparkSession) -> DataFrame:
 
 def infer_crop(water: Column, leaf: Column, phase: Column) -> Column:
     """Crop posterior from the three evidence vectors; the 60 terms stay in one row."""
-    weights = F.flatten(
-        F.flatten(F.transform(water, lambda w: F.transform(leaf, lambda f: F.transform(phase, lambda p: w * f * p))))
-    )
+    terms = lambda a, b, c: F.flatten(F.flatten(F.transform(a, lambda w: F.transform(b, lambda f: F.transform(c, lambda p: w * f * p)))))
+    weights = bound(F.struct(water.alias("w"), leaf.alias("f"), phase.alias("p")), lambda e: terms(e["w"], e["f"], e["p"]))
     combos = [(w, f, p) for w in range(1, 5) for f in range(1, 6) for p in range(1, 4)]
     shares = [_vector([_crop_constant(*c)[k] for c in combos]) for k in range(4)]
-    return normalise(F.array(*[_dot(weights, s) for s in shares]))
+    return normalise(bound(weights, lambda w: F.array(*[_dot(w, s) for s in shares])))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -347,14 +346,14 @@ def crop_shift(met: Column, crop: Column) -> Column:
 
 def agricultural_risk(met: Column, crop: Column) -> Column:
     """Sum over the 20 combinations of met state and crop state."""
-    weights = F.flatten(F.transform(met, lambda m: F.transform(crop, lambda c: m * c)))
+    weights = bound(crop, lambda q: F.flatten(F.transform(met, lambda m: F.transform(q, lambda c: m * c))))
     targets = [
         min(m + CROP_SHIFT[c - 1] * (1.0 - CROP_SHARED_SIGNAL * (m - 1) / 4.0), 5.0)
         for m in range(1, 6)
         for c in range(1, 5)
     ]
     shares = [_vector([_split(t, 5)[k] for t in targets]) for k in range(5)]
-    return normalise(F.array(*[_dot(weights, s) for s in shares]))
+    return normalise(bound(weights, lambda w: F.array(*[_dot(w, s) for s in shares])))
 
 
 def assess(
