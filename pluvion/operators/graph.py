@@ -326,42 +326,36 @@ def name_entries(entries: DataFrame, channel_top: Column) -> DataFrame:
 def suppress_neighbours(points: DataFrame, value: str, distance: int = 5, keep: int | None = None) -> DataFrame:
     """Keep points with no kept higher point within ``distance`` rows and columns.
 
-    Equal to going through the points from the highest down. Each point lists
-    the higher ones around it (a bounded neighbourhood); a round keeps points
-    whose higher neighbours are all dropped and drops points with a kept one.
+    Equal to going through the points from the highest down. A round keeps the
+    points that are the highest of the open ones around them and takes them and
+    their neighbours out; the points left are the next round's. Pairs of
+    neighbours are compared tile by tile and never written.
     """
     size = distance + 1
     rank = lambda p: F.struct(F.col(f"{p}{value}"), -F.col(f"{p}row"), -F.col(f"{p}col"))
-    tile = points.select("row", "col", value, F.floor(F.col("row") / size).alias("tr"), F.floor(F.col("col") / size).alias("tc"))
     step = F.sequence(F.lit(-1), F.lit(1))
-    spread = tile.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).select(
-        F.col("row").alias("h_row"), F.col("col").alias("h_col"), F.col(value).alias(f"h_{value}"),
-        (F.col("tr") + F.col("i")).alias("tr"), (F.col("tc") + F.col("j")).alias("tc"),
-    )
     close = (F.abs(F.col("row") - F.col("h_row")) <= distance) & (F.abs(F.col("col") - F.col("h_col")) <= distance)
-    above = cut_lineage(
-        tile.join(spread, ["tr", "tc"]).where(close & (rank("h_") > rank(""))).select("row", "col", "h_row", "h_col")
+
+    def spread(tiled: DataFrame) -> DataFrame:
+        return tiled.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).select(
+            F.col("row").alias("h_row"), F.col("col").alias("h_col"), F.col(value).alias(f"h_{value}"),
+            (F.col("tr") + F.col("i")).alias("tr"), (F.col("tc") + F.col("j")).alias("tc"),
+        )
+
+    placed = F.col("row").isNotNull() & F.col("col").isNotNull()
+    rows = points.select("row", "col", value)
+    open_ = cut_lineage(
+        rows.where(placed).withColumns({"tr": F.floor(F.col("row") / size), "tc": F.floor(F.col("col") / size)})
     )
-    state = cut_lineage(points.select("row", "col", value, F.lit("open").alias("state")))
-    before = None
-    while left := state.where("state = 'open'").count():
-        if left == before:
+    kept = rows.where(~placed)  # a point without a place has no neighbours
+    while not open_.isEmpty():
+        lower = open_.join(spread(open_), ["tr", "tc"]).where(close & (rank("h_") > rank(""))).select("row", "col").distinct()
+        tops = cut_lineage(open_.join(lower, ["row", "col"], "left_anti").select(*open_.columns))
+        if tops.isEmpty():
             raise RuntimeError("a round settled no point; two points share row and column")
-        before = left
-        known = state.select(F.col("row").alias("h_row"), F.col("col").alias("h_col"), F.col("state").alias("_s"))
-        seen = above.join(known, ["h_row", "h_col"]).groupBy("row", "col").agg(
-            F.bool_or(F.col("_s") == "kept").alias("_kept"), F.bool_or(F.col("_s") == "open").alias("_open")
-        )
-        fresh = (
-            F.when(F.col("state") != "open", F.col("state"))
-            .when(F.col("_kept"), "dropped")
-            .when(F.col("_open"), "open")
-            .otherwise("kept")
-        )
-        state = cut_lineage(
-            state.join(seen, ["row", "col"], "left").select("row", "col", value, fresh.alias("state"))
-        )
-    kept = state.where("state = 'kept'").drop("state")
+        near = open_.join(spread(tops), ["tr", "tc"]).where(close).select("row", "col").distinct()
+        open_ = cut_lineage(open_.join(near, ["row", "col"], "left_anti").select(*open_.columns))
+        kept = kept.unionByName(tops.select("row", "col", value))
     return kept if keep is None else kept.orderBy(F.col(value).desc(), "row", "col").limit(keep)
 
 
