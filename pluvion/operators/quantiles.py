@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Distinct values of a bucket; the number of buckets follows from the size of the group.
 BUCKET_ROWS = 20_000
-#: Cuts that the sketch places at most, and cuts that are looked at together.
-FINEST, STRIDE = 1024, 32
+#: Buckets at most; the sketch places the cuts between them.
+FINEST = 1024
 
 
 def with_value_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -27,8 +27,7 @@ def with_value_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
 
     ``df`` has one row per distinct value. A group is cut into buckets of about
     ``BUCKET_ROWS`` values; beyond ``FINEST`` buckets they grow with the group,
-    each still a thousandth of it. The bucket is found in two steps, first
-    among every ``STRIDE``-th cut and then among those that follow.
+    each still a thousandth of it. The bucket is found by halving the cuts.
     """
     sketch = F.percentile_approx(value, [i / FINEST for i in range(1, FINEST)], 10000)
     kind = df.schema[value].dataType.simpleString()
@@ -42,11 +41,10 @@ def with_value_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
         joined = df.join(cuts, list(keys))
     else:
         joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    below = lambda c: c <= F.col(value)
-    coarse = F.filter("_cuts", lambda c, i: ((i + 1) % STRIDE == 0) & below(c))
-    before = F.size(coarse) * STRIDE
-    fine = F.filter(F.slice("_cuts", F.col("_bucket") + 1, F.lit(STRIDE)), below)
-    return joined.withColumn("_bucket", before).withColumn("_bucket", F.col("_bucket") + F.size(fine)).drop("_cuts")
+    # Cuts at or under the value, by halving: a row looks at one cut per power of two, however many there are.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((FINEST - 1).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda n, s: n + F.when(F.get("_cuts", n + s - 1) <= F.col(value), s).otherwise(0))
+    return joined.withColumn("_bucket", found).drop("_cuts")
 
 
 def _running_buckets(bucketed: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
